@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 GRID_SCHEMA = "grid string, ix int, iy int, x double, y double, z double"
 
@@ -54,17 +54,22 @@ class Grids:
 
 
 def load_grids(table: DataFrame) -> Grids:
-    """Collect a grid table once; its size is checked first."""
+    """Collect a grid table once; its size is checked on the way."""
     rows = table.select("grid", "ix", "iy", "x", "z").limit(MAX_GRID_ROWS + 1).collect()
     if len(rows) > MAX_GRID_ROWS:
         raise ValueError("not a lookup grid table: too many rows")
+    return _assemble(rows)
+
+
+def _assemble(rows) -> Grids:
+    """Grids of ``(grid, ix, iy, x, z)`` rows."""
     breaks: dict[str, dict[int, float]] = {}
     cells: dict[str, dict[tuple[int, int], float]] = {}
-    for r in rows:
-        if r.grid in BREAKS:
-            breaks.setdefault(r.grid, {})[r.ix] = r.x
+    for name, ix, iy, x, z in rows:
+        if name in BREAKS:
+            breaks.setdefault(name, {})[ix] = x
         else:
-            cells.setdefault(r.grid, {})[r.ix, r.iy] = r.z
+            cells.setdefault(name, {})[ix, iy] = z
     missing = [n for n in BREAKS if n not in breaks] + [n for n in RATE_GRIDS + SOC_GRIDS if n not in cells]
     if missing:
         raise ValueError(f"lookup grid table lacks {missing}")
@@ -97,33 +102,30 @@ SAMPLE_BREAKS = {
 }
 
 
-def sample_grid_table(spark: SparkSession) -> DataFrame:
-    """The grid table used by tests and the registered queries."""
-    formulas = {
-        "R0": F.lit(0.002) * (1 + F.col("y")) * (1 - F.col("x") / 200),
-        "R1": F.lit(0.001) * (1 + F.col("y")) * (1 - F.col("x") / 200),
-        "tao": 20 + 40 * F.col("y"),
-        "OCV": F.lit(3.2) + F.lit(0.6) * F.col("y") + F.lit(0.0005) * F.col("x"),
-        "dVdS": F.lit(0.6),
-    }
-    flat = [(n, i, v) for n, values in SAMPLE_BREAKS.items() for i, v in enumerate(values)]
-    points = spark.createDataFrame(flat, "grid string, ix int, x double")
-    breaks = points.select("grid", "ix", F.lit(None).cast("int").alias("iy"), "x",
-                           F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
-
-    def axis(name: str, index: str, value: str) -> DataFrame:
-        return points.where(F.col("grid") == name).select(F.col("ix").alias(index), F.col("x").alias(value))
-
-    result = breaks
+SAMPLE_FORMULAS = {
+    "R0": lambda x, y: 0.002 * (1 + y) * (1 - x / 200),
+    "R1": lambda x, y: 0.001 * (1 + y) * (1 - x / 200),
+    "tao": lambda x, y: 20 + 40 * y,
+    "OCV": lambda x, y: 3.2 + 0.6 * y + 0.0005 * x,
+    "dVdS": lambda x, y: 0.6,
+}
+
+
+def _sample_rows() -> list[tuple]:
+    """Rows of the sample grid table in the columns of ``GRID_SCHEMA``."""
+    rows = [(name, i, None, x, None, None) for name, values in SAMPLE_BREAKS.items() for i, x in enumerate(values)]
     for name in RATE_GRIDS + SOC_GRIDS:
-        y_axis = "CRate_break" if name in RATE_GRIDS else "SOC_break"
-        formula = next(f for part, f in formulas.items() if part in name.split("2")[1])
-        nodes = axis("T_break", "ix", "x").withColumn("one", F.lit(1)).join(
-            axis(y_axis, "iy", "y").withColumn("one", F.lit(1)), "one")
-        result = result.unionByName(
-            nodes.select(F.lit(name).alias("grid"), "ix", "iy", "x", "y", formula.alias("z")))
-    return result
+        formula = next(f for part, f in SAMPLE_FORMULAS.items() if name.split("2")[1].startswith(part))
+        y_axis = SAMPLE_BREAKS["CRate_break" if name in RATE_GRIDS else "SOC_break"]
+        for ix, x in enumerate(SAMPLE_BREAKS["T_break"]):
+            rows += [(name, ix, iy, x, y, float(formula(x, y))) for iy, y in enumerate(y_axis)]
+    return rows
+
+
+def sample_grid_table(spark: SparkSession) -> DataFrame:
+    """The grid table that tests and registered queries use."""
+    return spark.createDataFrame(_sample_rows(), GRID_SCHEMA)
 
 
-def sample_grids(spark: SparkSession) -> Grids:
-    return load_grids(sample_grid_table(spark))
+def sample_grids() -> Grids:
+    return _assemble((name, ix, iy, x, z) for name, ix, iy, x, _, z in _sample_rows())
