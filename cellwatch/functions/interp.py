@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 NAN = float("nan")
 
@@ -20,14 +20,6 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.when(F.isnan(x), x).when(x < lo, F.lit(float(lo))).when(x > hi, F.lit(float(hi))).otherwise(x)
 
 
-def _bracket(x: Column, breaks: Sequence[float]) -> Column:
-    """One-based index of the left break of the interval that holds ``x``."""
-    index = F.lit(1)
-    for b in breaks[1:-1]:
-        index = index + (x >= F.lit(float(b))).cast("int")
-    return index
-
-
 def _literal(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -45,20 +37,26 @@ def interp_1d(x: Column, breaks: Sequence[float], values: Sequence[float]) -> Co
     return result.otherwise(pieces[-1])
 
 
-def interp_2d(x: Column, y: Column, x_breaks, y_breaks, grid) -> Column:
-    """Bilinear over ``grid[ix][iy]``; outside the table the nearest edge counts."""
-    grid = np.asarray(grid, dtype=float)
-    height = len(y_breaks)
-    flat = _literal(grid.reshape(-1))
-    cx, cy = clamp(x, x_breaks[0], x_breaks[-1]), clamp(y, y_breaks[0], y_breaks[-1])
-    ix, iy = _bracket(cx, x_breaks), _bracket(cy, y_breaks)
-    xs, ys = _literal(x_breaks), _literal(y_breaks)
+def left_break(x: Column, breaks: Sequence[float]) -> Column:
+    """One-based index of the break at or left of ``x``, which is inside the breaks."""
+    index = F.lit(1)
+    for b in breaks[1:-1]:
+        index = index + (x >= F.lit(float(b))).cast("int")
+    return index
+
+
+def share_of_interval(x: Column, index: Column, breaks: Sequence[float]) -> Column:
+    """Where ``x`` lies between the break at ``index`` and the next, from 0 to 1."""
+    points = _literal(breaks)
+    left = F.element_at(points, index)
+    return (x - left) / (F.element_at(points, index + 1) - left)
 
-    def share(v, breaks, i):
-        left = F.element_at(breaks, i)
-        return (v - left) / (F.element_at(breaks, i + 1) - left)
 
-    wx, wy = share(cx, xs, ix), share(cy, ys, iy)
+def bilinear(grid, ix: Column, wx: Column, iy: Column, wy: Column) -> Column:
+    """Blend the four nodes of ``grid[ix][iy]`` around a located point."""
+    grid = np.asarray(grid, dtype=float)
+    height = grid.shape[1]
+    flat = _literal(grid.reshape(-1))
 
     def corner(dx: int, dy: int) -> Column:
         return F.element_at(flat, (ix - 1 + dx) * height + iy + dy)
@@ -66,3 +64,23 @@ def interp_2d(x: Column, y: Column, x_breaks, y_breaks, grid) -> Column:
     low = corner(0, 0) * (1 - wx) + corner(1, 0) * wx
     high = corner(0, 1) * (1 - wx) + corner(1, 1) * wx
     return low * (1 - wy) + high * wy
+
+
+def with_location(df: DataFrame, name: str, x: Column, breaks: Sequence[float]) -> DataFrame:
+    """Add ``name_i`` and ``name_w``, the place of ``x`` among the breaks.
+
+    Columns in steps, because a lookup uses each of them many times over.
+    Outside the breaks the nearest edge counts.
+    """
+    at = F.col(f"{name}_x")
+    return (
+        df.withColumn(f"{name}_x", clamp(x, breaks[0], breaks[-1]))
+        .withColumn(f"{name}_i", left_break(at, breaks))
+        .withColumn(f"{name}_w", share_of_interval(at, F.col(f"{name}_i"), breaks))
+        .drop(f"{name}_x")
+    )
+
+
+def lookup(grid, x: str, y: str) -> Column:
+    """Grid value at two located points, by their names."""
+    return bilinear(grid, *[F.col(f"{n}_{part}") for n in (x, y) for part in ("i", "w")])

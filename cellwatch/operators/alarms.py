@@ -78,13 +78,16 @@ class AlarmTable:
 
     names: list[str]
     cuts: np.ndarray
-    next_state: list[int]
-    level: list[int]
+    next_state: np.ndarray
+    level: np.ndarray
 
     def intervals(self, x: np.ndarray) -> np.ndarray:
         """Row offsets into the flat tables."""
-        found = np.searchsorted(self.cuts, x, side="right")
-        return np.where(np.isnan(x), len(self.cuts) + 1, found) * len(self.names)
+        found = self.cuts.searchsorted(x, side="right")
+        blank = np.isnan(x)
+        if blank.any():
+            found = np.where(blank, len(self.cuts) + 1, found)
+        return found * len(self.names)
 
 
 def alarm_table(thresholds: FourLevel | TwoLevel) -> AlarmTable:
@@ -103,6 +106,6 @@ def alarm_table(thresholds: FourLevel | TwoLevel) -> AlarmTable:
     return AlarmTable(
         names=[state_name(s) for s in states],
         cuts=np.array(cuts),
-        next_state=[position[s] for s, _ in pairs],
-        level=[lvl for _, lvl in pairs],
+        next_state=np.array([position[s] for s, _ in pairs]),
+        level=np.array([lvl for _, lvl in pairs], dtype=np.int32),
     )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import Config
 from ..functions import cells as C
-from ..functions.interp import clamp, interp_1d, interp_2d
+from ..functions.interp import clamp, interp_1d, lookup, with_location
 from ..functions.parse import epoch_seconds, highest, parse_list, pick_extreme, scalar_or_list, to_double
-from ..sources.grids import Grids
+from ..sources.grids import Grids, RATE_GRIDS
 
 KEY = "orderid"
 NEEDED = ("cell_min_volt", "cell_max_tem")
@@ -120,33 +120,38 @@ def rate_and_sign(current: Column, capacity: float) -> tuple[Column, Column]:
     return F.abs(current / capacity), F.when(current > 0, 1).otherwise(-1)
 
 
-def soc_of_voltage(volt: Column, grids: Grids) -> Column:
-    """State of charge from open-circuit voltage, clamped to the curve."""
-    return interp_1d(clamp(volt, min(grids.ocv), max(grids.ocv)), grids.ocv, grids.soc)
-
-
 def with_soc(feats: DataFrame, grids: Grids) -> DataFrame:
     """Add the state of charge of the average and of the weakest cell."""
+    lo, hi = min(grids.ocv), max(grids.ocv)
     return feats.withColumns({
-        "soc_avg": soc_of_voltage(F.col("volt_avg"), grids),
-        "soc_min": soc_of_voltage(F.col("volt_min"), grids),
-    })
+        "soc_avg": clamp(F.col("volt_avg"), lo, hi),
+        "soc_min": clamp(F.col("volt_min"), lo, hi),
+    }).withColumns({c: interp_1d(F.col(c), grids.ocv, grids.soc) for c in ("soc_avg", "soc_min")})
+
 
+def with_cell_model(feats: DataFrame, grids: Grids, config: Config,
+                    temp: str = "temp_avg", soc: str = "soc_avg") -> DataFrame:
+    """Add resistances ``r0`` and ``r1``, time constant ``tao``, voltage ``ocv`` and slope ``dvds``.
 
-def cell_model(temp: Column, current: Column, soc: Column, grids: Grids, config: Config) -> dict[str, Column]:
-    """Resistances, time constant, voltage and slope of the cell model, looked up per row."""
-    rate, sign = rate_and_sign(current, config.cell.capacity)
+    Looked up by temperature and by C-rate or state of charge; resistances and
+    time constant have a table per direction of current.
+    """
+    rate, sign = rate_and_sign(F.col("current"), config.cell.capacity)
+    located = feats.withColumns({"rate": rate, "sign": sign})
+    for name, x, breaks in (("at_temp", temp, grids.temp), ("at_rate", "rate", grids.rate),
+                            ("at_soc", soc, grids.soc)):
+        located = with_location(located, name, F.col(x), breaks)
 
-    def look(name: str, y: Column) -> Column:
-        return interp_2d(temp, y, grids.temp, grids.y_breaks(name), grids.tables[name])
+    def look(name: str) -> Column:
+        return lookup(grids.tables[name], "at_temp", "at_rate" if name in RATE_GRIDS else "at_soc")
 
     def by_direction(build) -> Column:
-        return F.when(sign > 0, build("C")).otherwise(build("D"))
-
-    return {
-        "r0": by_direction(lambda d: look(f"TI2R0_{d}", rate) * look(f"TSOC2R0_{d}", soc)),
-        "r1": by_direction(lambda d: look(f"TI2R1_{d}", rate) * look(f"TSOC2R1_{d}", soc)),
-        "tao": by_direction(lambda d: look(f"TSOC2tao_{d}", soc)),
-        "ocv": look("TSOC2OCV", soc),
-        "dvds": look("TSOC2dVdS", soc),
-    }
+        return F.when(F.col("sign") > 0, build("C")).otherwise(build("D"))
+
+    return located.withColumns({
+        "r0": by_direction(lambda d: look(f"TI2R0_{d}") * look(f"TSOC2R0_{d}")),
+        "r1": by_direction(lambda d: look(f"TI2R1_{d}") * look(f"TSOC2R1_{d}")),
+        "tao": by_direction(lambda d: look(f"TSOC2tao_{d}")),
+        "ocv": look("TSOC2OCV"),
+        "dvds": look("TSOC2dVdS"),
+    }).drop("rate", "sign", *[f"{n}_{p}" for n in ("at_temp", "at_rate", "at_soc") for p in ("i", "w")])

@@ -27,6 +27,7 @@ from .segments import SEGMENT, split_long
 ENTRY = "entry_state"
 STATE = "state"
 ERROR = "error"
+SOUND = "sound"
 
 
 @dataclass(frozen=True)
@@ -85,21 +86,29 @@ def _pieces(batch: pa.RecordBatch, key: str) -> list[tuple[int, int]]:
 
 
 class _Walker:
-    """Walks a sorted partition batch by batch and tells where an order or segment begins."""
+    """Walks a sorted partition batch by batch and tells where an order or segment begins.
 
-    def __init__(self, program: Program, key: str):
-        self.program = program
+    Orders that begin with an unsound row are stepped over.
+    """
+
+    def __init__(self, key: str):
         self.key = key
         self.here = None
+        self.lost = False
 
     def parts(self, batch: pa.RecordBatch):
-        """Yield ``(lo, hi, ident, begins, entry)``; entry-only rows are stepped over."""
+        """Yield ``(lo, hi, ident, begins, entry)``; a row that only brings a state is stepped over."""
         keys, entries = batch.column(self.key), batch.column(ENTRY)
         marks = batch.column(SEGMENT) if SEGMENT in batch.schema.names else None
         snapshots = batch.column("snapshot").to_numpy(zero_copy_only=False)
+        sound = batch.column(SOUND).to_numpy(zero_copy_only=False)
         for lo, hi in _pieces(batch, self.key):
             ident = (keys[lo].as_py(), marks[lo].as_py() if marks is not None else 0)
             begins, self.here = ident != self.here, ident
+            if begins:
+                self.lost = not sound[lo]
+            if self.lost:
+                continue
             entry = entries[lo].as_py() if begins else None
             yield lo + int(snapshots[lo]), hi, ident, begins, entry
 
@@ -114,7 +123,7 @@ def _run_rows(program: Program, key: str, carry: list[str], schema: pa.Schema, w
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker, states, previous = _Walker(program, key), None, None
+        walker, states, previous = _Walker(key), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,7 +136,8 @@ def _run_rows(program: Program, key: str, carry: list[str], schema: pa.Schema, w
                     states, previous = {**program.initial(), **json.loads(entry or "{}")}, ident
                 if lo < hi:
                     ranges.append((lo, hi))
-                    results.append(program.run({n: c[lo:hi] for n, c in cols.items()}, states))
+                    done = program.run({n: c[lo:hi] for n, c in cols.items()}, states)
+                    results.append({n: done[n] for n in program.outputs})
             if results:
                 rows = batch
                 if sum(hi - lo for lo, hi in ranges) < batch.num_rows:
@@ -156,7 +166,7 @@ def _per_segment(program: Program, key: str, depth: int, exits: bool):
     schema = pa.schema([(key, pa.string()), (SEGMENT, pa.int32()), ("known", pa.string()), ("told", pa.string())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker, ident, known, states, told = _Walker(program, key), None, None, None, None
+        walker, ident, known, states, told = _Walker(key), None, None, None, None
 
         def report():
             row = {key: ident[0], SEGMENT: ident[1], "known": json.dumps(known), "told": json.dumps(told)}
@@ -232,7 +242,7 @@ class _LongOrders:
         return joined.withColumn(ENTRY, F.coalesce(ENTRY, "entry")).drop("entry")
 
     def _ask(self, rows: DataFrame, depth: int, exits: bool) -> DataFrame:
-        needed = [self.key, SEGMENT, ENTRY, "snapshot", *self.program.inputs]
+        needed = [self.key, SEGMENT, ENTRY, SOUND, "snapshot", *self.program.inputs]
         return rows.select(*dict.fromkeys(needed)).mapInArrow(
             _per_segment(self.program, self.key, depth, exits),
             f"{self.key} string, {SEGMENT} int, known string, told string")
@@ -310,12 +320,13 @@ def keyed_fold(
     """
     if ERROR not in rows.columns:
         rows = rows.withColumn(ERROR, F.lit(None).cast("string"))
-    needed = list(dict.fromkeys([key, *order, ERROR, *carry, *program.inputs]))
-    rows = rows.select(*needed, F.lit(None).cast("string").alias(ENTRY), F.lit(False).alias("snapshot"))
+    needed = list(dict.fromkeys([key, *order, *carry, *program.inputs]))
+    rows = rows.select(*needed, F.col(ERROR).isNull().alias(SOUND), F.lit(None).cast("string").alias(ENTRY),
+                       F.lit(False).alias("snapshot"))
     if states is not None:
         # A state row has no time, so it sorts before all rows of its order.
         rows = rows.unionByName(
-            states.select(key, F.col(STATE).alias(ENTRY), F.lit(True).alias("snapshot")),
+            states.select(key, F.col(STATE).alias(ENTRY), F.lit(True).alias(SOUND), F.lit(True).alias("snapshot")),
             allowMissingColumns=True)
     split = split_long(rows, key, order, sizes, limit)
 
@@ -326,19 +337,17 @@ def keyed_fold(
         fields.append(T.StructField(STATE, T.StringType()))
 
     def mapped(part: DataFrame, schema: T.StructType) -> DataFrame:
-        return part.drop(ERROR).mapInArrow(
+        return part.mapInArrow(
             _run_rows(program, key, kept, to_arrow_schema(schema), with_state), schema)
 
-    # The window brings each order together and tells its rows of any error;
-    # the fold then reads the very order the window sorted.
-    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    sound = split.short.withColumn("failed", F.max(F.col(ERROR).isNotNull()).over(whole)).where(~F.col("failed"))
-    result = mapped(sound.drop("failed").sortWithinPartitions(key, *order), T.StructType(fields))
+    # Rows in error sort before all others of their order, so the fold knows at
+    # an order's first row whether the order is lost.
+    together = split.short.repartition(key).sortWithinPartitions(key, SOUND, *order)
+    result = mapped(together, T.StructType(fields))
     if split.long is None:
         return result
 
-    failed = split.long.where(F.col(ERROR).isNotNull()).select(key).distinct()
+    failed = split.long.where(~F.col(SOUND)).select(key).distinct()
     long_rows = split.long.join(F.broadcast(failed), key, "left_anti")
     solver = _LongOrders(program, long_rows, key, order)
     long_fields = T.StructType([*fields, T.StructField(SEGMENT, T.IntegerType())])

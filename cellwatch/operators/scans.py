@@ -68,6 +68,7 @@ class Alarm(Scan):
     def __init__(self, name: str, x: str, thresholds: FourLevel | TwoLevel, with_state: bool = False):
         super().__init__(name, x)
         self.table = alarm_table(thresholds)
+        self._steps = self.table.next_state.tolist()
         self.with_state = with_state
 
     @property
@@ -77,37 +78,34 @@ class Alarm(Scan):
     def initial(self):
         return "start"
 
-    def _walk(self, offsets, at):
-        next_state, level = self.table.next_state, self.table.level
-        levels, states = [], []
-        for offset in offsets:
-            at += offset
-            levels.append(level[at])
-            at = next_state[at]
-            states.append(at)
-        return levels, states
+    def _walk(self, offsets: np.ndarray, at: int) -> np.ndarray:
+        """The state before each row, and after the last."""
+        if (self.table.next_state[offsets + at] == at).all():
+            return np.full(len(offsets) + 1, at)
+        step = self._steps
+        return np.array(list(accumulate(offsets.tolist(), lambda now, offset: step[offset + now], initial=at)))
 
     def run(self, cols, state):
         names = self.table.names
-        levels, states = self._walk(self.table.intervals(cols[self.inputs[0]]).tolist(), names.index(state))
-        out = {self.name: np.array(levels, dtype=np.int32)}
+        offsets = self.table.intervals(cols[self.inputs[0]])
+        states = self._walk(offsets, names.index(state))
+        out = {self.name: self.table.level[offsets + states[:-1]]}
         if self.with_state:
-            out[f"{self.name}_state"] = np.array(names, dtype=object)[states]
+            out[f"{self.name}_state"] = np.array(names, dtype=object)[states[1:]]
         return out, names[states[-1]]
 
     def unknown(self):
         return list(range(len(self.table.names)))
 
     def absorb(self, summary, cols):
-        offsets = self.table.intervals(cols[self.inputs[0]]).tolist()
+        offsets = self.table.intervals(cols[self.inputs[0]])
         at = {first: first for first in summary}
-        for i, offset in enumerate(offsets):
+        for i, offset in enumerate(offsets.tolist()):
             if len(set(at.values())) == 1:
                 # All starts have met: from here on a single walk is enough.
-                _, states = self._walk(offsets[i:], next(iter(at.values())))
-                at = dict.fromkeys(at, states[-1])
+                at = dict.fromkeys(at, int(self._walk(offsets[i:], next(iter(at.values())))[-1]))
                 break
-            at = {first: self.table.next_state[offset + now] for first, now in at.items()}
+            at = {first: self._steps[offset + now] for first, now in at.items()}
         return [at[first] for first in summary]
 
     def resolve(self, summary, state):
@@ -139,13 +137,20 @@ class SpikeHold(Scan):
         return [0, 0.0]
 
     def run(self, cols, state):
+        xs = cols[self.inputs[0]]
         count, held = state
-        after, before = [], []
-        for x in cols[self.inputs[0]].tolist():
-            before.append(held)
-            count, held = hold_step(count, held, x)
+        if count == 1 and (xs == held).all():
+            return {self.name: xs, f"{self.name}_before": xs}, state
+        after = []
+        for x in xs.tolist():
+            if x == held and count:
+                count = 1
+            else:
+                count, held = hold_step(count, held, x)
             after.append(held)
-        return {self.name: np.array(after), f"{self.name}_before": np.array(before)}, [count, held]
+        after = np.array(after)
+        before = np.concatenate(([state[1]], after[:-1]))
+        return {self.name: after, f"{self.name}_before": before}, [count, held]
 
     def unknown(self):
         return {"seen": [], "met": [], "gave_up": []}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..config import Config, FourLevel, SOC_DECAY, VOLT_DECAY
 from ..functions import cells as C
-from ..functions.interp import interp_1d, interp_2d
+from ..functions.interp import interp_1d, lookup, with_location
 from ..functions.parse import epoch_list, epoch_of_text, highest, parse_list, scalar_or_list
 from ..operators import features as S1, windows
 from ..operators.fold import Level, Program, STATE, keyed_fold
@@ -20,7 +20,7 @@ from ..operators.scans import Alarm, Decay, SpikeHold
 from ..operators.timeline import Timeline
 from ..session import scratch_path
 from ..sources.grids import read_grids, sample_grid_table, sample_grids, write_grids
-from ..sources.sinks import write_events
+from ..sources.sinks import DAY, read_events, write_events
 from ..sources.telemetry import between_dates, derived_telemetry, order_sizes
 from . import safety
 
@@ -72,13 +72,14 @@ def grid_load(spark, sf):
 
 def sink_roundtrip(spark, sf):
     """Events written twice to the same table, then read back: no row appears twice."""
-    path = scratch_path(spark, "events")
-    events = _events(spark, sf)
+    path, rows = scratch_path(spark, "events"), scratch_path(spark, "rows")
+    _fault_rows(spark, sf).write.parquet(rows)
+    events = safety.event_columns(spark.read.parquet(rows), ("event_id", F.col("dt").alias(DAY)))
     write_events(events, path)
-    write_events(spark.read.parquet(path), path + "-copy")
-    write_events(spark.read.parquet(path), path + "-copy")
-    return spark.read.parquet(path + "-copy").groupBy("dt").agg(
-        F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"))
+    write_events(events, path)
+    return read_events(spark, path).groupBy(DAY).agg(
+        F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"),
+        F.sum("Cap_dep_FAULT").alias("cap_total"))
 
 
 # --- parsing and filters -----------------------------------------------------
@@ -204,10 +205,10 @@ def interp_1d_query(spark, sf):
 
 def interp_2d_query(spark, sf):
     grids = sample_grids()
-    x, y = F.col("bcs_currentmeasure") + 20, (F.col("event_id") % 23) / 20 - 0.05
-    return derived_telemetry(spark, sf).select(
-        "event_id", F.round(interp_2d(x, y, grids.temp, grids.soc, grids.tables["TSOC2R0_C"]), 9).alias("r0"),
-        r6(interp_2d(x, y, grids.temp, grids.soc, grids.tables["TSOC2OCV"])).alias("ocv"))
+    rows = with_location(derived_telemetry(spark, sf), "x", F.col("bcs_currentmeasure") + 20, grids.temp)
+    rows = with_location(rows, "y", (F.col("event_id") % 23) / 20 - 0.05, grids.soc)
+    return rows.select("event_id", F.round(lookup(grids.tables["TSOC2R0_C"], "x", "y"), 9).alias("r0"),
+                       r6(lookup(grids.tables["TSOC2OCV"], "x", "y")).alias("ocv"))
 
 
 def soc_ocv(spark, sf):
@@ -217,10 +218,9 @@ def soc_ocv(spark, sf):
 
 def lookup_params(spark, sf):
     grids = sample_grids()
-    feats = _features(spark, sf, grids)
-    model = S1.cell_model(F.col("temp_avg"), F.col("current"), F.col("soc_avg"), grids, Config())
     digits = {"r0": 12, "r1": 12, "tao": 6, "ocv": 6, "dvds": 6}
-    return feats.select("event_id", *[F.round(c, digits[n]).alias(n) for n, c in model.items()])
+    rows = S1.with_cell_model(_features(spark, sf, grids), grids, Config())
+    return rows.select("event_id", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 # --- windows and aggregates --------------------------------------------------
@@ -250,8 +250,7 @@ def _fault_rows(spark, sf, config: Config = Config(), **options) -> DataFrame:
 
 
 def _fault_line(spark, sf) -> Timeline:
-    rows = _fault_rows(spark, sf).select("event_id", KEY, "reltime", "isc", "cap", "heat",
-                                         F.date_format("reltime", "yyyy-MM-dd").alias("dt"))
+    rows = _fault_rows(spark, sf).select("event_id", KEY, "reltime", "dt", "isc", "cap", "heat")
     return _line(spark, sf, rows)
 
 
@@ -396,21 +395,13 @@ def resume_equals_full(spark, sf):
 
 
 def stream_equals_batch(spark, sf):
-    """Rows on which a stream in two triggers and the batch disagree, with the number compared."""
+    """Events of a stream in two triggers; the batch has to agree with them."""
     from ..streaming.stream import replay
 
-    batch = _fault_rows(spark, sf)
     telemetry = derived_telemetry(spark, sf)
     parts = [telemetry.where(F.col("dt") < RESUME_AT), telemetry.where(F.col("dt") >= RESUME_AT)]
-    stream = replay(spark, parts, sample_grids(), Config(), TIE)
-    levels = ("wp", "wsoc", "wtt", "wv", "wt", "isc", "cap", "heat", "isc_ret", "cap_ret", "heat_ret", "event_dt")
-    left = batch.select("event_id", r6("delta_p").alias("b_p"), *[F.col(c).alias(f"b_{c}") for c in levels])
-    right = stream.select("event_id", r6("delta_p").alias("s_p"), *[F.col(c).alias(f"s_{c}") for c in levels])
-    same = F.col("b_p").eqNullSafe(F.col("s_p"))
-    for c in levels:
-        same = same & F.col(f"b_{c}").eqNullSafe(F.col(f"s_{c}"))
-    return left.join(right, "event_id", "full").agg(
-        F.count("*").alias("compared"), F.sum(F.when(same, 0).otherwise(1)).alias("different"))
+    rows = replay(spark, parts, sample_grids(), Config(), TIE)
+    return _round_events(safety.event_columns(rows, ("event_id", F.col("wp").alias("wp_level"))))
 
 
 QUERIES: dict[str, Query] = {

@@ -427,4 +427,7 @@ def statements() -> dict[str, str]:
                               f" where b.orderid = f.orderid and {ROW_ERROR.replace('cell_max', 'b.cell_max').replace('when bcs', 'when b.bcs').replace('usable', 'b.usable')} is not null))",
             source=HEAT_SOURCE.replace("from feat", "from sound")),
         "resume_equals_full": _safety(EVENT_SELECT),
+        "stream_equals_batch": _safety(EVENT_SELECT),
+        "sink_roundtrip": _safety('select dt "day", count(*) "rows", count(distinct row_id) events,'
+                                  " sum(cap)::bigint cap_total from flagged group by 1"),
     }

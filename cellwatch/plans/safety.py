@@ -17,7 +17,7 @@ from ..operators.fold import Level, Program, STATE, keyed_fold
 from ..operators.scans import Alarm, Before, Decay, LatestMarked, RunLength, SpikeHold, Total
 from ..session import scratch_path
 from ..sources.grids import Grids
-from ..sources.sinks import write_events
+from ..sources.sinks import DAY, read_events, write_events
 from ..sources.telemetry import read_telemetry
 
 TIME = "reltime"
@@ -175,7 +175,7 @@ def fold_features(
 ) -> DataFrame:
     return keyed_fold(
         feats, safety_program(config, grids), KEY, [TIME, *tiebreak],
-        carry=[*tiebreak, TIME, "batteryid", "volt_min", "temp_id", "temp_max"],
+        carry=[*tiebreak, TIME, "dt", "batteryid", "volt_min", "temp_id", "temp_max"],
         sizes=sizes, limit=limit, states=states, with_state=with_state)
 
 
@@ -206,7 +206,11 @@ def failed_orders(feats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RunResult:
-    """Tables a run has written, as lazily readable frames."""
+    """Tables a run has written, as lazily readable frames.
+
+    ``events`` is the whole event table; ``failed`` and ``states`` belong to
+    the run.  Pass ``states`` to the run of the next range.
+    """
 
     events: DataFrame
     failed: DataFrame
@@ -239,9 +243,10 @@ def run_batch(
     fold_features(feats, grids, config, tiebreak, states, with_state=True, limit=limit,
                   sizes=feats.select(KEY)).write.parquet(f"{work}/folded")
     folded = spark.read.parquet(f"{work}/folded")
-    write_events(event_columns(folded.where(F.col(STATE).isNull())), target, mode)
+    rows = folded.where(F.col(STATE).isNull())
+    write_events(event_columns(rows, (*tiebreak, F.col("dt").alias(DAY))), target, mode)
     return RunResult(
-        events=spark.read.parquet(target) if "/" in target else spark.read.table(target),
+        events=read_events(spark, target),
         failed=failed_orders(feats),
         states=folded.where(F.col(STATE).isNotNull()).select(KEY, STATE),
     )

@@ -49,9 +49,6 @@ class Grids:
     def ocv(self):
         return self.breaks["OCV_break"]
 
-    def y_breaks(self, name: str):
-        return self.rate if name in RATE_GRIDS else self.soc
-
 
 def load_grids(table: DataFrame) -> Grids:
     """Collect a grid table once; its size is checked on the way."""

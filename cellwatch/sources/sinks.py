@@ -1,24 +1,41 @@
-"""Writing events."""
+"""Writing and reading the event table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Partition column: the date of the telemetry row itself.  An event's ``dt`` is
+#: the date of the order's latest faulty row and may lie before the run's range,
+#: where overwriting a partition would lose the events of an earlier run.
+DAY = "day"
+
+
+def is_path(target: str) -> bool:
+    return "/" in target
 
 
 def write_events(events: DataFrame, target: str, mode: str = "overwrite") -> None:
-    """Write events partitioned by ``dt`` to a parquet path or a catalog table.
+    """Write events, partitioned by ``day``, to a parquet path or a catalog table.
 
-    ``overwrite`` replaces just the dates that occur in ``events``, so running a
+    ``overwrite`` replaces just the days that occur in ``events``, so running a
     range again does not duplicate it; ``append`` adds rows.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be overwrite or append, not {mode!r}")
-    writer = events.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("dt")
-    if "/" in target:
+    spark = events.sparkSession
+    if not is_path(target) and spark.catalog.tableExists(target):
+        # insertInto goes by position, so take the table's own column order.
+        ordered = events.select(*spark.table(target).columns)
+        ordered.write.option("partitionOverwriteMode", "dynamic").insertInto(target, overwrite=mode == "overwrite")
+        return
+    writer = events.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(DAY)
+    if is_path(target):
         writer.parquet(target)
-    elif events.sparkSession.catalog.tableExists(target):
-        columns = events.sparkSession.table(target).columns
-        events.select(*columns).write.mode(mode).option(
-            "partitionOverwriteMode", "dynamic").insertInto(target, overwrite=mode == "overwrite")
     else:
         writer.saveAsTable(target)
+
+
+def read_events(spark: SparkSession, target: str) -> DataFrame:
+    """The event table; ``day`` is text however the folder names were read."""
+    table = spark.read.parquet(target) if is_path(target) else spark.read.table(target)
+    return table.withColumn(DAY, F.col(DAY).cast("string"))

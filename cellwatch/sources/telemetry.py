@@ -26,7 +26,8 @@ def read_telemetry(spark: SparkSession, source: str, start: str, end: str) -> Da
     missing = [c for c in TELEMETRY_COLUMNS if c not in table.columns]
     if missing:
         raise ValueError(f"{source} lacks the telemetry columns {missing}")
-    return between_dates(table, start, end)
+    # Folder names that look like dates are read as such; the cast still prunes.
+    return between_dates(table.withColumn("dt", F.col("dt").cast("string")), start, end)
 
 
 def derived_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

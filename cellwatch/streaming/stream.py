@@ -62,7 +62,7 @@ def stream_rows(
     """Processed rows of a telemetry stream, and one ``error`` row per failed order."""
     program = safety_program(config, grids)
     feats = with_soc(features(telemetry, tuple(tiebreak)), grids)
-    carry = [KEY, *tiebreak, TIME, "batteryid", "volt_min", "temp_id", "temp_max", ERROR]
+    carry = [KEY, *tiebreak, TIME, "dt", "batteryid", "volt_min", "temp_id", "temp_max", ERROR]
     schema = T.StructType(
         [T.StructField(c, feats.schema[c].dataType) for c in carry]
         + [T.StructField(n, t) for n, t in program.outputs.items()])
