@@ -244,9 +244,10 @@ def run_batch(
                   sizes=feats.select(KEY)).write.parquet(f"{work}/folded")
     folded = spark.read.parquet(f"{work}/folded")
     rows = folded.where(F.col(STATE).isNull())
-    write_events(event_columns(rows, (*tiebreak, F.col("dt").alias(DAY))), target, mode)
+    events = event_columns(rows, (*tiebreak, F.col("dt").alias(DAY)))
+    write_events(events, target, mode)
     return RunResult(
-        events=read_events(spark, target),
+        events=read_events(spark, target, events.schema),
         failed=failed_orders(feats),
         states=folded.where(F.col(STATE).isNotNull()).select(KEY, STATE),
     )

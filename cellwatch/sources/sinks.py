@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Partition column: the date of the telemetry row itself.  An event's ``dt`` is
 #: the date of the order's latest faulty row and may lie before the run's range,
@@ -35,7 +35,13 @@ def write_events(events: DataFrame, target: str, mode: str = "overwrite") -> Non
         writer.saveAsTable(target)
 
 
-def read_events(spark: SparkSession, target: str) -> DataFrame:
-    """The event table; ``day`` is text however the folder names were read."""
-    table = spark.read.parquet(target) if is_path(target) else spark.read.table(target)
-    return table.withColumn(DAY, F.col(DAY).cast("string"))
+def read_events(spark: SparkSession, target: str, schema: T.StructType | None = None) -> DataFrame:
+    """The event table.
+
+    A path that may hold no events yet needs the ``schema``.  ``day`` is text
+    however the folder names were read.
+    """
+    if not is_path(target):
+        return spark.read.table(target)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(target).withColumn(DAY, F.col(DAY).cast("string"))

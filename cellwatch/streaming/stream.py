@@ -24,8 +24,8 @@ class OrderProcessor(StatefulProcessor):
     """Runs the program over the rows that arrive for an order.
 
     Rows of one micro-batch are put in order; rows of different micro-batches
-    have to arrive in order.  An order with an unusable row reports it once and
-    yields nothing from then on.  What a call holds in memory is bounded by
+    have to arrive in order.  An order with an unusable row reports that row
+    once and yields nothing from then on; rows of earlier micro-batches are out.  What a call holds in memory is bounded by
     what a trigger admits (``maxFilesPerTrigger`` and the like).
     """
 
@@ -40,17 +40,17 @@ class OrderProcessor(StatefulProcessor):
         if FAILED in states:
             return
         arrived = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
-        errors = arrived[ERROR].dropna()
-        if len(errors):
-            self.carried.update((json.dumps({FAILED: errors.min()}),))
-            yield pd.DataFrame({KEY: [key[0]], ERROR: [errors.min()]}).reindex(columns=self.columns)
+        broken = arrived[arrived[ERROR].notna()].head(1)
+        if len(broken):
+            self.carried.update((json.dumps({FAILED: broken[ERROR].iloc[0]}),))
+            yield broken.assign(**dict.fromkeys(self.program.outputs, None))[self.columns]
             return
         cols = {n: arrived[n].to_numpy() for n in self.program.inputs}
         cols = {n: c if n in self.program.text_inputs else c.astype(float) for n, c in cols.items()}
         results = self.program.run(cols, states)
         self.carried.update((json.dumps(states),))
         out = arrived.assign(**{n: results[n] for n in self.program.outputs})
-        yield out.reindex(columns=self.columns)
+        yield out[self.columns]
 
     def close(self) -> None:
         pass
