@@ -38,49 +38,43 @@ def interp_1d(x: Column, breaks: Sequence[float], values: Sequence[float]) -> Co
 
 
 def left_break(x: Column, breaks: Sequence[float]) -> Column:
-    """One-based index of the break at or left of ``x``, which is inside the breaks."""
-    index = F.lit(1)
+    """Zero-based index of the break at or left of ``x``, which is inside the breaks."""
+    index = F.lit(0)
     for b in breaks[1:-1]:
         index = index + (x >= F.lit(float(b))).cast("int")
     return index
 
 
-def share_of_interval(x: Column, index: Column, breaks: Sequence[float]) -> Column:
-    """Where ``x`` lies between the break at ``index`` and the next, from 0 to 1."""
-    points = _literal(breaks)
-    left = F.element_at(points, index)
-    return (x - left) / (F.element_at(points, index + 1) - left)
-
-
-def bilinear(grid, ix: Column, wx: Column, iy: Column, wy: Column) -> Column:
-    """Blend the four nodes of ``grid[ix][iy]`` around a located point."""
-    grid = np.asarray(grid, dtype=float)
-    height = grid.shape[1]
-    flat = _literal(grid.reshape(-1))
-
-    def corner(dx: int, dy: int) -> Column:
-        return F.element_at(flat, (ix - 1 + dx) * height + iy + dy)
-
-    low = corner(0, 0) * (1 - wx) + corner(1, 0) * wx
-    high = corner(0, 1) * (1 - wx) + corner(1, 1) * wx
-    return low * (1 - wy) + high * wy
-
-
 def with_location(df: DataFrame, name: str, x: Column, breaks: Sequence[float]) -> DataFrame:
-    """Add ``name_i`` and ``name_w``, the place of ``x`` among the breaks.
+    """Add ``name_i`` and ``name_w``: the interval that holds ``x``, and its share of it.
 
     Columns in steps, because a lookup uses each of them many times over.
     Outside the breaks the nearest edge counts.
     """
-    at = F.col(f"{name}_x")
+    at, index, points = F.col(f"{name}_x"), F.col(f"{name}_i"), _literal(breaks)
+    share = (at - F.get(points, index)) / (F.get(points, index + 1) - F.get(points, index))
     return (
         df.withColumn(f"{name}_x", clamp(x, breaks[0], breaks[-1]))
         .withColumn(f"{name}_i", left_break(at, breaks))
-        .withColumn(f"{name}_w", share_of_interval(at, F.col(f"{name}_i"), breaks))
+        .withColumn(f"{name}_w", share)
         .drop(f"{name}_x")
     )
 
 
-def lookup(grid, x: str, y: str) -> Column:
-    """Grid value at two located points, by their names."""
-    return bilinear(grid, *[F.col(f"{n}_{part}") for n in (x, y) for part in ("i", "w")])
+def lower_node(x: str, y: str, y_breaks: Sequence[float]) -> Column:
+    """Position of the lower left node of a located point in a flattened grid."""
+    return F.col(f"{x}_i") * len(y_breaks) + F.col(f"{y}_i")
+
+
+def lookup(grids: Sequence[np.ndarray], node: str, x: str, y: str) -> Column:
+    """Bilinear value at a located point.
+
+    ``grids`` are tables of one shape, flattened one behind the other;
+    ``node`` is the position of the point's lower left node among them.
+    """
+    height = grids[0].shape[1]
+    flat = _literal(np.concatenate([g.reshape(-1) for g in grids]))
+    at, wx, wy = F.col(node), F.col(f"{x}_w"), F.col(f"{y}_w")
+    low = F.get(flat, at) * (1 - wx) + F.get(flat, at + height) * wx
+    high = F.get(flat, at + 1) * (1 - wx) + F.get(flat, at + height + 1) * wx
+    return low * (1 - wy) + high * wy

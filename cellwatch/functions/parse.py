@@ -7,13 +7,16 @@ row or fails an order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WHITESPACE = " \t\n\r\f\x0b"
 
 # Number spellings the JVM reads but the data contract does not: hexadecimal
 # digits and the type suffixes of Java literals ("1d", "2.f").
-JAVA_ONLY_NUMBER = r"[dDxXpP_]|[0-9.][fF]"
+JAVA_ONLY_NUMBER = r"[dDxX]|[0-9.][fF]"
 
 # Fixed pattern: date and time with an optional fraction of one to six digits.
 TIMESTAMP_TEXT = r"^\d{4}-\d\d?-\d\d? \d\d?:\d\d?:\d\d?(\.\d{1,6})?$"
@@ -42,7 +45,7 @@ def to_double(col: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.ArrayType):
         return F.lit(None).cast("double")
     if dtype is None or isinstance(dtype, T.StringType):
-        return F.when(~col.rlike(JAVA_ONLY_NUMBER), col.try_cast("double"))
+        return F.when(~foreign_number(col), col.try_cast("double"))
     return col.try_cast("double")
 
 
@@ -57,15 +60,42 @@ def parse_list(col: Column, dtype: T.DataType | None = None) -> Column:
         return whole(col.try_cast("array<double>"))
     if dtype is not None and not isinstance(dtype, T.StringType):
         return F.lit(None).cast("array<double>")
-    items = F.split(F.trim(col, F.lit("[]")), ",")
+    items = F.transform(F.split(F.trim(col, F.lit("[]")), ","), lambda x: F.trim(x, F.lit(WHITESPACE)))
+    filled = F.filter(items, lambda x: x != "")
+    return F.when(~foreign_number(col), whole(filled.try_cast("array<double>")))
+
 
-    def without_blanks() -> Column:
-        filled = F.filter(F.transform(items, lambda x: F.trim(x, F.lit(WHITESPACE))), lambda x: x != "")
-        return whole(filled.try_cast("array<double>"))
+def foreign_number(col: Column) -> Column:
+    """Text with a number spelling that only the JVM reads.
+
+    Such a spelling needs one of a few letters, which hardly any text has, so
+    the pattern is tried only where one occurs.
+    """
+    letters = reduce(or_, (col.contains(letter) for letter in "dDfFxX"))
+    return letters & col.rlike(JAVA_ONLY_NUMBER)
 
-    # Most lists have neither blank nor bad items: one array cast settles those.
-    quick = bind(items.try_cast("array<double>"), lambda a: F.when(~has_null(a), a))
-    return F.when(~col.rlike(JAVA_ONLY_NUMBER), F.coalesce(quick, without_blanks()))
+
+def with_lists(df: DataFrame, lists: dict[str, str]) -> DataFrame:
+    """Add ``parse_list`` of columns, by the shortest way for ordinary texts.
+
+    Texts of the form ``[a, b, …]`` with numbers throughout need only a split
+    and a cast, both in generated code.  All other texts go through
+    ``parse_list``.
+    """
+    quick, columns = {}, {}
+    for name, source in lists.items():
+        col, dtype = F.col(source), df.schema[source].dataType
+        if not isinstance(dtype, T.StringType):
+            columns[name] = parse_list(col, dtype)
+            continue
+        inner = F.substring(col, F.lit(2), F.length(col) - 2)
+        bracketed = col.startswith("[") & col.endswith("]") & (F.length(col) > 2) & ~foreign_number(col)
+        quick[f"{name}_quick"] = F.when(bracketed, F.split(inner, ",").try_cast("array<double>"))
+        cells = F.col(f"{name}_quick")
+        # Looking for any value answers null, not false, when an item is null.
+        complete = F.array_contains(cells, F.lit(-1e300)).eqNullSafe(F.lit(False))
+        columns[name] = F.when(complete, cells).otherwise(parse_list(col, dtype))
+    return df.withColumns(quick).withColumns(columns).drop(*quick)
 
 
 def pick_extreme(values: Column, largest: bool) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import Config
 from ..functions import cells as C
-from ..functions.interp import clamp, interp_1d, lookup, with_location
-from ..functions.parse import epoch_seconds, highest, parse_list, pick_extreme, scalar_or_list, to_double
-from ..sources.grids import Grids, RATE_GRIDS
+from ..functions.interp import clamp, interp_1d, lookup, lower_node, with_location
+from ..functions.parse import epoch_seconds, highest, pick_extreme, scalar_or_list, to_double, with_lists
+from ..sources.grids import Grids
 
 KEY = "orderid"
 NEEDED = ("cell_min_volt", "cell_max_tem")
@@ -71,10 +71,8 @@ def features(telemetry: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     with it its order, unusable.  Columns in ``keep`` pass through.
     """
     schema = telemetry.schema
-    parsed = pack_extremes(drop_incomplete(cast_pack_columns(telemetry))).withColumns({
-        "cells": parse_list(F.col("bmv_singlevolt"), schema["bmv_singlevolt"].dataType),
-        "temps": parse_list(F.col("bmt_singletemp"), schema["bmt_singletemp"].dataType),
-    })
+    complete = drop_incomplete(cast_pack_columns(telemetry))
+    parsed = pack_extremes(with_lists(complete, {"cells": "bmv_singlevolt", "temps": "bmt_singletemp"}))
     # An unreadable text list counts as missing, an unreadable array as an error.
     sizes, broken_array = [], F.lit(False)
     for raw, read in (("bmv_singlevolt", "cells"), ("bmt_singletemp", "temps")):
@@ -141,17 +139,28 @@ def with_cell_model(feats: DataFrame, grids: Grids, config: Config,
     for name, x, breaks in (("at_temp", temp, grids.temp), ("at_rate", "rate", grids.rate),
                             ("at_soc", soc, grids.soc)):
         located = with_location(located, name, F.col(x), breaks)
+    # Charge and discharge tables lie one behind the other; a row starts in its own.
+    discharging = (F.col("sign") < 0).cast("int")
+    located = located.withColumns({
+        "node_rate": lower_node("at_temp", "at_rate", grids.rate) + discharging * len(grids.temp) * len(grids.rate),
+        "node_soc": lower_node("at_temp", "at_soc", grids.soc),
+        "node_soc_directed": lower_node("at_temp", "at_soc", grids.soc)
+        + discharging * len(grids.temp) * len(grids.soc),
+    })
 
-    def look(name: str) -> Column:
-        return lookup(grids.tables[name], "at_temp", "at_rate" if name in RATE_GRIDS else "at_soc")
+    def by_rate(name: str) -> Column:
+        tables = [grids.tables[f"{name}_C"], grids.tables[f"{name}_D"]]
+        return lookup(tables, "node_rate", "at_temp", "at_rate")
 
-    def by_direction(build) -> Column:
-        return F.when(F.col("sign") > 0, build("C")).otherwise(build("D"))
+    def by_soc(name: str) -> Column:
+        tables = [grids.tables[f"{name}_C"], grids.tables[f"{name}_D"]]
+        return lookup(tables, "node_soc_directed", "at_temp", "at_soc")
 
     return located.withColumns({
-        "r0": by_direction(lambda d: look(f"TI2R0_{d}") * look(f"TSOC2R0_{d}")),
-        "r1": by_direction(lambda d: look(f"TI2R1_{d}") * look(f"TSOC2R1_{d}")),
-        "tao": by_direction(lambda d: look(f"TSOC2tao_{d}")),
-        "ocv": look("TSOC2OCV"),
-        "dvds": look("TSOC2dVdS"),
-    }).drop("rate", "sign", *[f"{n}_{p}" for n in ("at_temp", "at_rate", "at_soc") for p in ("i", "w")])
+        "r0": by_rate("TI2R0") * by_soc("TSOC2R0"),
+        "r1": by_rate("TI2R1") * by_soc("TSOC2R1"),
+        "tao": by_soc("TSOC2tao"),
+        "ocv": lookup([grids.tables["TSOC2OCV"]], "node_soc", "at_temp", "at_soc"),
+        "dvds": lookup([grids.tables["TSOC2dVdS"]], "node_soc", "at_temp", "at_soc"),
+    }).drop("rate", "sign", "node_rate", "node_soc", "node_soc_directed",
+            *[f"{n}_{p}" for n in ("at_temp", "at_rate", "at_soc") for p in ("i", "w")])

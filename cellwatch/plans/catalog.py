@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..config import Config, FourLevel, SOC_DECAY, VOLT_DECAY
 from ..functions import cells as C
-from ..functions.interp import interp_1d, lookup, with_location
-from ..functions.parse import epoch_list, epoch_of_text, highest, parse_list, scalar_or_list
+from ..functions.interp import interp_1d, lookup, lower_node, with_location
+from ..functions.parse import epoch_list, epoch_of_text, highest, scalar_or_list, with_lists
 from ..operators import features as S1, windows
 from ..operators.fold import Level, Program, STATE, keyed_fold
 from ..operators.scans import Alarm, Decay, SpikeHold
@@ -105,7 +105,7 @@ def null_skip(spark, sf):
 def parse_cells(spark, sf):
     text = (F.when(_every(29), "[3.1, x]").when(_every(31), "").when(_every(37), "[[1],2]")
             .when(_every(41), " [3.4 , ,3.5]").when(_every(43), "[3.4d, 3.5]").otherwise(F.col("bmv_singlevolt")))
-    cells = derived_telemetry(spark, sf).select("event_id", parse_list(text).alias("cells"))
+    cells = with_lists(derived_telemetry(spark, sf).select("event_id", text.alias("text")), {"cells": "text"})
     return cells.select(
         "event_id", F.coalesce(F.size("cells"), F.lit(-1)).alias("n_cells"),
         F.get("cells", F.lit(0)).alias("first_cell"),
@@ -125,9 +125,7 @@ def scalar_or_list_query(spark, sf):
 
 def _arrays(spark, sf) -> DataFrame:
     """Parsed arrays of the rows that have both, and the repaired voltages."""
-    parsed = derived_telemetry(spark, sf).select(
-        "event_id", parse_list(F.col("bmv_singlevolt")).alias("cells"),
-        parse_list(F.col("bmt_singletemp")).alias("temps"))
+    parsed = with_lists(derived_telemetry(spark, sf), {"cells": "bmv_singlevolt", "temps": "bmt_singletemp"})
     return parsed.where((F.size("cells") > 0) & (F.size("temps") > 0)).withColumn(
         "volts", C.repair_low(F.col("cells")))
 
@@ -207,8 +205,9 @@ def interp_2d_query(spark, sf):
     grids = sample_grids()
     rows = with_location(derived_telemetry(spark, sf), "x", F.col("bcs_currentmeasure") + 20, grids.temp)
     rows = with_location(rows, "y", (F.col("event_id") % 23) / 20 - 0.05, grids.soc)
-    return rows.select("event_id", F.round(lookup(grids.tables["TSOC2R0_C"], "x", "y"), 9).alias("r0"),
-                       r6(lookup(grids.tables["TSOC2OCV"], "x", "y")).alias("ocv"))
+    rows = rows.withColumn("node", lower_node("x", "y", grids.soc))
+    return rows.select("event_id", F.round(lookup([grids.tables["TSOC2R0_C"]], "node", "x", "y"), 9).alias("r0"),
+                       r6(lookup([grids.tables["TSOC2OCV"]], "node", "x", "y")).alias("ocv"))
 
 
 def soc_ocv(spark, sf):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwatch.config import Cell, Config
-from cellwatch.functions.interp import interp_1d, lookup, with_location
+from cellwatch.functions.interp import interp_1d, lookup, lower_node, with_location
 from cellwatch.operators.ekf import KalmanSoc
 from cellwatch.operators.features import with_cell_model
 from cellwatch.sources.grids import load_grids, read_grids, sample_grid_table, write_grids
@@ -28,7 +28,8 @@ def test_two_dimensions_match_numpy(spark):
     points = [(float(x), float(y)) for x in (-1, 0, .4, 1, 2.9, 3, 9) for y in (-1, 0, 1, 2, 5.5, 6, 8)]
     df = spark.createDataFrame(points, "x double, y double")
     df = with_location(with_location(df, "a", F.col("x"), xs), "b", F.col("y"), ys)
-    for r in df.withColumn("z", lookup(grid, "a", "b")).collect():
+    df = df.withColumn("n", lower_node("a", "b", ys))
+    for r in df.withColumn("z", lookup([grid], "n", "a", "b")).collect():
         along = [np.interp(r.y, ys, row) for row in grid]
         assert r.z == pytest.approx(np.interp(r.x, xs, along), abs=1e-12)
 

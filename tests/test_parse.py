@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from cellwatch.functions import cells as C
-from cellwatch.functions.parse import epoch_list, epoch_seconds, parse_list, scalar_or_list, to_double
+from cellwatch.functions.parse import (
+    epoch_list, epoch_seconds, parse_list, scalar_or_list, to_double, with_lists)
 
 
 def evaluate(spark, schema, values, column):
@@ -38,6 +39,13 @@ def test_text_lists(spark):
     assert got == [want for _, want in LISTS]
 
 
+def test_the_short_way_reads_the_same_lists(spark):
+    texts = [text for text, _ in LISTS] + ["[", "]", "[3.4]", "[-1e300, 2]", "[nan, 3.5, inf]", "[3.4,]"]
+    df = with_lists(spark.createDataFrame(list(enumerate(texts)), "i int, v string"), {"short": "v"})
+    for r in df.withColumn("plain", parse_list(F.col("v"))).collect():
+        assert repr(r.short) == repr(r.plain), r.v
+
+
 def test_nan_items_are_numbers(spark):
     got, = evaluate(spark, "string", ["[nan, 3.5]"], parse_list)
     assert math.isnan(got[0]) and got[1] == 3.5
