@@ -17,6 +17,7 @@ import time
 from pyspark.sql import SparkSession, functions as F
 
 from cellwatch.plans import catalog, safety
+from cellwatch.session import RECOMMENDED
 from cellwatch.sources.grids import sample_grids
 from cellwatch.sources.telemetry import derived_telemetry
 
@@ -40,6 +41,7 @@ def session(work: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", f"{work}/checkpoints")
+        .config(map=RECOMMENDED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -12,6 +12,15 @@ SPLIT_ROWS_SETTING = "cellwatch.split.rows"
 DEFAULT_SPLIT_ROWS = 2_000_000
 
 
+#: Session settings that suit this package.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    # Generated methods over 8000 bytes of bytecode are never compiled by the
+    # JVM; beyond it the projection is better left out of whole-stage code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def split_rows(spark: SparkSession, override: int | None = None) -> int:
     if override is not None:
         return override
