@@ -30,12 +30,21 @@ def read_telemetry(spark: SparkSession, source: str, start: str, end: str) -> Da
     return between_dates(table.withColumn("dt", F.col("dt").cast("string")), start, end)
 
 
+def spread(scan: DataFrame, column: str) -> DataFrame:
+    """A scan over all cores when its files make fewer tasks than there are cores.
+
+    Larger inputs have a task per split anyway and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, column)
+
+
 def derived_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry derived from the ``events`` and ``embeddings`` tables.
 
     One row per event; ``event_id`` is kept as row identity and tiebreak.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     slots = vectors.agg(F.count("*")).scalar()
     e = F.col("event_id")
