@@ -6,12 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, mixing
+from cellwatch.llm import bpe, htmltext, langid, mixing, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, index, payloads=False).drop("payload")
+
+
+def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op4_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -21,6 +42,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_seekable_warc": op1_seekable_warc,
+    "op2_toxic_spans": op2_toxic_spans,
+    "op3_html_tree_scoring": op3_html_tree_scoring,
+    "op4_url_equivalence": op4_url_equivalence,
+    "op6_language_bitmasks": op6_language_bitmasks,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_bpe_codec": op10_bpe_codec,
 }

@@ -19,6 +19,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -88,12 +89,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column, A-Z lower-cased, as 64-bit hashes.
 
+    Of kind ``alphanumeric``: runs of ASCII letters and digits and all other characters
+    beyond ASCII, capitals of Latin-1 lower-cased as well.
+
     ``hashes`` and ``starts`` (byte positions in the slice) run over all words; the
     words of row ``i`` are those from ``bounds[i]`` to ``bounds[i + 1]``.  Equal words
     get equal hashes; unequal ones collide with a probability of about 2**-64.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, kind: str = "plain"):
         column = column.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
         low, high = int(offsets[0]), int(offsets[-1])
@@ -101,7 +105,14 @@ class Words:
         self.data = np.frombuffer(raw, np.uint8)[low:high] if raw is not None and high > low else np.zeros(0, np.uint8)
         self.offsets = offsets - low
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        lowered = _LOWER[self.data]
+        if kind == "alphanumeric":
+            inside = _ALPHANUMERIC[self.data]
+            after_c3 = np.flatnonzero(self.data[:-1] == 0xC3) + 1
+            capital = after_c3[(self.data[after_c3] <= 0x9E) & (self.data[after_c3] != 0x97)]
+            lowered[capital] += 0x20
+        else:
+            inside = ~_SPACE[self.data]
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         before = np.concatenate([np.zeros(1, bool), inside[:-1]]) if n else inside
@@ -110,10 +121,18 @@ class Words:
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         powers, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[_LOWER[self.data]] * powers[:n], out=sums[1:])
+        np.cumsum(_BYTE_VALUES[lowered] * powers[:n], out=sums[1:])
         spread = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
         self.hashes = mixed(spread + (self.ends - self.starts).astype(np.uint64))
+        self._sums = sums
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes; 0 for words that aren't longer."""
+        stop = np.minimum(self.starts + size, len(self._sums) - 1)
+        _, inverse = _power_tables(len(self._sums))
+        spread = (self._sums[stop] - self._sums[self.starts]) * inverse[self.starts]
+        return np.where(self.ends - self.starts > size, mixed(spread ^ np.uint64(size << 56)), np.uint64(0))
