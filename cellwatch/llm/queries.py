@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, htmltext, langid, mixing, toxicity, urls, warc
+from cellwatch.llm import bpe, htmltext, langid, mixing, ngramjoin, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_vertical_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxic_spans": op2_toxic_spans,
     "op3_html_tree_scoring": op3_html_tree_scoring,
     "op4_url_equivalence": op4_url_equivalence,
+    "op5_vertical_ngram_join": op5_vertical_ngram_join,
     "op6_language_bitmasks": op6_language_bitmasks,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_bpe_codec": op10_bpe_codec,
