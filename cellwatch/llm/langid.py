@@ -205,6 +205,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text is in a known language, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            names, _ = shared.value.predict(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 FOLDS, HELD_OUT = 4, 2
 
 

@@ -41,9 +41,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cellwatch.llm.components import components
-from cellwatch.llm.shared import Words, mixed, random_words, slices, stored
+from cellwatch.llm.shared import Words, mixed, own_column, random_words, slices, stored
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -90,8 +91,8 @@ def text_keys(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())],
                 ["doc_id", "key", "n"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, key binary, n long")
+    schema = StructType([docs.schema["doc_id"], StructField("key", BinaryType()), StructField("n", LongType())])
+    return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
 def _pack(grams: np.ndarray) -> bytes:
@@ -347,3 +348,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = base.join(texts, "key", "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, nulls last; ``docs`` keeps its columns.
+
+    Rows are told apart by doc_id and a hash of all columns; of equal rows one stays.
+    """
+    key = own_column(docs, "row_key")
+    keyed = docs.withColumn(key, F.struct(
+        F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, htmltext, langid, mixing, ngramjoin, toxicity, urls, warc
+from cellwatch.llm import bpe, embedjoin, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def op6_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op7_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return lshforest.search(embeddings, lshforest.queries_of(embeddings))
+
+
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +61,8 @@ QUERIES: dict[str, Query] = {
     "op4_url_equivalence": op4_url_equivalence,
     "op5_vertical_ngram_join": op5_vertical_ngram_join,
     "op6_language_bitmasks": op6_language_bitmasks,
+    "op7_subspace_pigeonhole": op7_subspace_pigeonhole,
+    "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_bpe_codec": op10_bpe_codec,
 }

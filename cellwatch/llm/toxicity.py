@@ -338,6 +338,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            found = tokens(batch.column(text))
+            p = marginals(model.emissions(token_features(found)), found.bounds, model.transitions)
+            yield batch.filter(pa.array(model.document_score(document_features(p, found.bounds)) < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the spans, with a model of labels that aren't held out."""
     model = train(docs, labels)

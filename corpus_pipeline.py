@@ -6,12 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, mixing
+from cellwatch.llm import bpe, langid, mixing, ngramjoin, toxicity
 from cellwatch.llm.shared import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labelled ones doesn't find toxic."""
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the labelled languages; those without a letter go."""
+    return langid.identified(docs, langid.train_on_documents(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by word 5-grams."""
+    return ngramjoin.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources come to their target weights, in one random order."""
     return mixing.mix(docs).select(*docs.columns)
@@ -23,6 +38,9 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("drop toxic", drop_toxic),
+    ("keep known languages", keep_known_languages),
+    ("drop near copies", drop_near_copies),
     ("mix sources", mix_sources),
     ("encode", encode_texts),
 ]
