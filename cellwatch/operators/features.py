@@ -15,9 +15,8 @@ NEEDED = ("cell_min_volt", "cell_max_tem")
 
 
 def cast_pack_columns(telemetry: DataFrame) -> DataFrame:
-    """The two required pack columns as doubles; text that is no number becomes null."""
-    return telemetry.withColumns(
-        {c: to_double(F.col(c), telemetry.schema[c].dataType) for c in NEEDED})
+    """The two required pack columns as doubles, by Spark's cast; text that it cannot read becomes null."""
+    return telemetry.withColumns({c: F.col(c).try_cast("double") for c in NEEDED})
 
 
 def drop_incomplete(telemetry: DataFrame) -> DataFrame:

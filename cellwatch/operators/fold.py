@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle
 from .scans import Scan
-from .segments import SEGMENT, split_long
+from .segments import SEGMENT, listed, split_long
 
 ENTRY = "entry_state"
 STATE = "state"
@@ -88,13 +88,14 @@ def _pieces(batch: pa.RecordBatch, key: str) -> list[tuple[int, int]]:
 class _Walker:
     """Walks a sorted partition batch by batch and tells where an order or segment begins.
 
-    Orders that begin with an unsound row are stepped over.
+    Orders that begin with an unsound row are stepped over; ``kept`` has the states they were entered with.
     """
 
     def __init__(self, key: str):
         self.key = key
         self.here = None
         self.lost = False
+        self.kept: list[tuple[tuple, str]] = []
 
     def parts(self, batch: pa.RecordBatch):
         """Yield ``(lo, hi, ident, begins, entry)``; a row that only brings a state is stepped over."""
@@ -108,6 +109,7 @@ class _Walker:
             if begins:
                 self.lost = not sound[lo]
             if self.lost:
+                self.kept.extend((ident, entries[i].as_py()) for i in range(lo, hi) if snapshots[i])
                 continue
             entry = entries[lo].as_py() if begins else None
             yield lo + int(snapshots[lo]), hi, ident, begins, entry
@@ -117,7 +119,7 @@ def _run_rows(program: Program, key: str, carry: list[str], schema: pa.Schema, w
     """Arrow map: every row with its results, and on request a state row per segment."""
 
     def state_row(ident, states):
-        row = {key: ident[0], STATE: json.dumps(states)}
+        row = {key: ident[0], STATE: states if isinstance(states, str) else json.dumps(states)}
         if SEGMENT in schema.names:
             row[SEGMENT] = ident[1]
         return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -153,6 +155,9 @@ def _run_rows(program: Program, key: str, carry: list[str], schema: pa.Schema, w
                         arrays.append(rows.column(field.name).cast(field.type))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
             yield from finished
+            if with_state:
+                yield from (state_row(*kept) for kept in walker.kept)
+            walker.kept.clear()
         if with_state and previous is not None:
             yield state_row(previous, states)
 
@@ -202,19 +207,23 @@ def _per_segment(program: Program, key: str, depth: int, exits: bool):
 
 
 def _chain(program: Program, key: str, depth: int):
-    """Pandas map of one order's summaries: the state each segment is entered with."""
+    """Pandas map of one order's summaries: the state each segment is entered with.
+
+    ``known`` has the states of earlier levels, ``tried`` those of this one, ``entry`` both.
+    """
     scans = program.levels[depth].scans
 
     def apply(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(SEGMENT)
-        states, entries = None, []
+        states, entries, tried = None, [], []
         for known, told in zip(group["known"], group["told"]):
             known, told = json.loads(known), json.loads(told)
             if states is None:
                 states = {s.name: known.get(s.name, s.initial()) for s in scans}
             entries.append(json.dumps({**known, **states}))
+            tried.append(json.dumps(states))
             states = {s.name: s.resolve(told[s.name], states[s.name]) for s in scans}
-        return pd.DataFrame({key: group[key], SEGMENT: group[SEGMENT], "entry": entries})
+        return pd.DataFrame({key: group[key], SEGMENT: group[SEGMENT], "entry": entries, "known": group["known"], "tried": tried})
 
     return apply
 
@@ -222,9 +231,8 @@ def _chain(program: Program, key: str, depth: int):
 class _LongOrders:
     """Entry states of the segments of long orders, level by level."""
 
-    def __init__(self, program: Program, rows: DataFrame, key: str, order: list[str]):
-        self.program, self.key, self.order, self.rows = program, key, order, rows
-        # One row per segment: bounded by partitions plus long orders.
+    def __init__(self, program: Program, rows: DataFrame, key: str, order: list[str], bound: int):
+        self.program, self.key, self.order, self.rows, self.bound = program, key, order, rows, bound
         heads = rows.groupBy(key, SEGMENT).agg(F.min(F.struct(*order)).alias("head"))
         within = Window.partitionBy(key)
         self.heads = settle(heads.withColumn(
@@ -237,9 +245,11 @@ class _LongOrders:
         if entries is None:
             return self.rows
         at_head = entries.join(self.heads, [self.key, SEGMENT]).where(~F.col("first")).select(
-            self.key, SEGMENT, *[F.col(f"head.{c}").alias(c) for c in self.order], "entry")
-        joined = self.rows.join(F.broadcast(at_head), [self.key, SEGMENT, *self.order], "left")
-        return joined.withColumn(ENTRY, F.coalesce(ENTRY, "entry")).drop("entry")
+            self.key, SEGMENT, "head", "entry")
+        # The join may leave rows where and as they are or not; either way a segment stays together.
+        joined = self.rows.join(listed(at_head, self.bound), [self.key, SEGMENT], "left")
+        entry = F.when(F.struct(*self.order) == F.col("head"), F.coalesce(ENTRY, "entry")).otherwise(F.col(ENTRY))
+        return joined.withColumn(ENTRY, entry).drop("head", "entry").sortWithinPartitions(self.key, SEGMENT, *self.order)
 
     def _ask(self, rows: DataFrame, depth: int, exits: bool) -> DataFrame:
         needed = [self.key, SEGMENT, ENTRY, SOUND, "snapshot", *self.program.inputs]
@@ -249,28 +259,36 @@ class _LongOrders:
 
     def solve(self) -> DataFrame:
         for depth, level in enumerate(self.program.levels):
-            if all(s.summarizes for s in level.scans):
-                told = self._ask(self.entered(self.entries), depth, exits=False)
-                self.entries = settle(told.groupBy(self.key).applyInPandas(
-                    _chain(self.program, self.key, depth), f"{self.key} string, {SEGMENT} int, entry string"))
-            else:
+            if not all(s.summarizes for s in level.scans):
                 self.entries = self._settle_by_trial(depth)
+                continue
+            told = self._ask(self.entered(self.entries), depth, exits=False)
+            chained = settle(told.groupBy(self.key).applyInPandas(
+                _chain(self.program, self.key, depth),
+                f"{self.key} string, {SEGMENT} int, entry string, known string, tried string"))
+            if all(s.exact for s in level.scans):
+                self.entries = chained.select(self.key, SEGMENT, "entry")
+            else:
+                self.entries = self._settle_by_trial(depth, chained)
         return self.entered(self.entries)
 
-    def _settle_by_trial(self, depth: int) -> DataFrame:
-        """Entry states of a level without summaries.
+    def _settle_by_trial(self, depth: int, chained: DataFrame | None = None) -> DataFrame:
+        """Entry states of a level whose summaries are missing, or not exact to the last bit.
 
-        All segments run from a guess; a segment whose predecessor ended
+        All segments run from a guess, that of the summaries (``chained``) if there are any; a segment whose predecessor ended
         otherwise than assumed runs again.  When none is left, every segment
         has been entered with exactly the state its predecessor ended in.
         Each round settles at least one more segment of every order, and
         recurrences that forget their start settle in a few.
         """
         scans = self.program.levels[depth].scans
-        guess = json.dumps({s.name: s.guess() for s in scans})
-        known = self.entries
-        if known is None:
-            known = self.heads.select(self.key, SEGMENT, F.lit("{}").alias("entry"))
+        guess = json.dumps({s.name: s.guess() for s in scans}) if chained is None else None
+        if chained is not None:
+            known = chained.select(self.key, SEGMENT, F.col("known").alias("entry"), "tried")
+        elif self.entries is not None:
+            known = self.entries.withColumn("tried", F.lit(guess))
+        else:
+            known = self.heads.select(self.key, SEGMENT, F.lit("{}").alias("entry"), F.lit(guess).alias("tried"))
 
         def merged(base: str, added: str):
             """Two flat JSON objects as one, by text: both are written by this module."""
@@ -278,15 +296,15 @@ class _LongOrders:
                 F.concat(F.expr(f"substring({base}, 1, length({base}) - 1)"), F.lit(", "),
                          F.expr(f"substring({added}, 2)")))
 
-        state = settle(known.withColumn("tried", F.lit(guess)).withColumn("told", F.lit(None).cast("string")))
+        state = settle(known.withColumn("told", F.lit(None).cast("string")))
         ordered = Window.partitionBy(self.key).orderBy(SEGMENT)
         while True:
             open_ = state.where(F.col("told").isNull())
             trial = open_.select(self.key, SEGMENT, merged("entry", "tried").alias("entry"))
-            rows = self.rows.join(F.broadcast(open_.select(self.key, SEGMENT)), [self.key, SEGMENT], "left_semi")
+            rows = self.rows.join(listed(open_.select(self.key, SEGMENT), self.bound), [self.key, SEGMENT], "left_semi")
             fresh = self._ask(_LongOrders.entered(self._over(rows), trial), depth, exits=True)
             ended = fresh.select(self.key, SEGMENT, F.col("told").alias("fresh"))
-            state = state.join(F.broadcast(ended), [self.key, SEGMENT], "left").withColumn(
+            state = state.join(listed(ended, self.bound), [self.key, SEGMENT], "left").withColumn(
                 "told", F.coalesce("fresh", "told")).drop("fresh")
             state = state.withColumn("due", F.coalesce(F.lag("told").over(ordered), "tried"))
             state = settle(state.withColumn("told", F.when(F.col("due") == F.col("tried"), F.col("told")))
@@ -321,7 +339,8 @@ def keyed_fold(
     if ERROR not in rows.columns:
         rows = rows.withColumn(ERROR, F.lit(None).cast("string"))
     needed = list(dict.fromkeys([key, *order, *carry, *program.inputs]))
-    rows = rows.select(*needed, F.col(ERROR).isNull().alias(SOUND), F.lit(None).cast("string").alias(ENTRY),
+    # A row without a key belongs to no order.
+    rows = rows.where(F.col(key).isNotNull()).select(*needed, F.col(ERROR).isNull().alias(SOUND), F.lit(None).cast("string").alias(ENTRY),
                        F.lit(False).alias("snapshot"))
     if states is not None:
         # A state row has no time, so it sorts before all rows of its order.
@@ -347,13 +366,16 @@ def keyed_fold(
     if split.long is None:
         return result
 
-    failed = split.long.where(~F.col(SOUND)).select(key).distinct()
-    long_rows = split.long.join(F.broadcast(failed), key, "left_anti")
-    solver = _LongOrders(program, long_rows, key, order)
+    failed = listed(settle(split.long.where(~F.col(SOUND)).select(key).distinct()), split.bound)
+    long_rows = split.long.join(failed, key, "left_anti")
+    solver = _LongOrders(program, long_rows, key, order, split.bound)
     long_fields = T.StructType([*fields, T.StructField(SEGMENT, T.IntegerType())])
     long_result = mapped(solver.solve(), long_fields)
     if with_state:
-        last = F.broadcast(solver.heads.where("last").select(key, SEGMENT, F.lit(True).alias("is_last")))
+        last = listed(solver.heads.where("last").select(key, SEGMENT, F.lit(True).alias("is_last")), split.bound)
         long_result = long_result.join(last, [key, SEGMENT], "left").where(
             F.col(STATE).isNull() | F.col("is_last")).drop("is_last")
+        # A failed order leaves with the state it came with.
+        kept = split.long.where("snapshot").join(failed, key, "left_semi").select(key, F.col(ENTRY).alias(STATE))
+        long_result = long_result.unionByName(kept, allowMissingColumns=True)
     return result.unionByName(long_result.drop(SEGMENT))

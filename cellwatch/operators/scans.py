@@ -25,6 +25,8 @@ class Scan:
 
     #: False for recurrences without a fixed-size summary.
     summarizes = True
+    #: Whether ``resolve`` gives the very state that ``run`` would end in; else it is a guess to be tried.
+    exact = True
 
     def __init__(self, name: str, *inputs: str):
         self.name = name
@@ -36,7 +38,12 @@ class Scan:
 
 
 class Decay(Scan):
-    """Exponential smoothing ``y = keep * y_before + (1 - keep) * x`` from 0."""
+    """Exponential smoothing ``y = keep * y_before + (1 - keep) * x`` from 0.
+
+    Its summary rounds otherwise than the rows do.
+    """
+
+    exact = False
 
     def __init__(self, name: str, x: str, keep: float):
         super().__init__(name, x)

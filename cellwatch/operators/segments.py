@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import settle, split_rows
 
 SEGMENT = "segment_no"
+#: A frame of one row per long order or segment is broadcast up to this many rows, and else joined as it comes.
+MOST_BROADCAST_ROWS = 20_000
+
+
+def listed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it is known to have few rows."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST_ROWS else df
 
 
 @dataclass
@@ -24,11 +31,13 @@ class Split:
     Within a partition of ``long``, rows are sorted by key and row order, and
     every segment lies in one partition.  ``long`` is None when no order is
     long.  ``keys`` are the long orders: fewer than rows / limit of them.
+    ``bound`` is at least the number of segments, and so of long orders.
     """
 
     short: DataFrame
     long: DataFrame | None
     keys: DataFrame | None
+    bound: int = 0
 
 
 def split_long(
@@ -40,17 +49,18 @@ def split_long(
     """
     limit = split_rows(rows.sparkSession, limit)
     counts = (sizes if sizes is not None else rows).groupBy(key).agg(F.count("*").alias("rows"))
-    long_counts = counts.where(F.col("rows") > limit)
-    total = long_counts.agg(F.sum("rows")).first()[0]
+    keys = settle(counts.where(F.col("rows") > limit))
+    total, count = keys.agg(F.sum("rows"), F.count("*")).first()
     if not total:
         return Split(rows, None, None)
-    keys = settle(long_counts)
-    listed = F.broadcast(keys.select(key))
-    # At most `limit` rows are meant for a segment, so this many segments.
+    # At most `limit` rows are meant for a segment, so this many parts; an order's end and the next one's start share one.
+    parts = max(2, ceil(total / limit))
+    bound = parts + count
+    names = listed(keys.select(key), bound)
     cut = (
-        rows.join(listed, key, "left_semi")
-        .repartitionByRange(max(2, ceil(total / limit)), key, *order)
+        rows.join(names, key, "left_semi")
+        .repartitionByRange(parts, key, *order)
         .sortWithinPartitions(key, *order)
         .withColumn(SEGMENT, F.spark_partition_id())
     )
-    return Split(rows.join(listed, key, "left_anti"), settle(cut), keys)
+    return Split(rows.join(names, key, "left_anti"), settle(cut), keys, bound)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
-from .segments import SEGMENT, split_long
+from .segments import SEGMENT, listed, split_long
 
 
 class Timeline:
@@ -26,7 +26,7 @@ class Timeline:
                  sizes: DataFrame | None = None, limit: int | None = None):
         split = split_long(rows, key, order, sizes, limit)
         self.key, self.order = key, order
-        self.short, self.long = split.short, split.long
+        self.short, self.long, self.bound = split.short, split.long, split.bound
 
     def _add(self, name: str, running: Callable, part: Column, combine: Callable, joined: Callable) -> "Timeline":
         """Add a column.
@@ -42,9 +42,8 @@ class Timeline:
             earlier = Window.partitionBy(self.key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
             parts = self.long.groupBy(self.key, SEGMENT).agg(part.alias("part"))
             carried = parts.select(self.key, SEGMENT, combine(F.col("part")).over(earlier).alias("carried"))
-            # One row per segment: bounded by partitions plus long orders.
             self.long = settle(
-                self.long.join(F.broadcast(carried), [self.key, SEGMENT], "left")
+                self.long.join(listed(carried, self.bound), [self.key, SEGMENT], "left")
                 .withColumn("first_row", F.row_number().over(local) == 1)
                 .withColumn(name, joined(running(local), F.col("carried")))
                 .drop("carried", "first_row"))

@@ -31,6 +31,7 @@ ORDER = ["reltime", "event_id"]
 TIE = ("event_id",)
 RANGE = ("2024-01-05", "2024-01-12")
 RESUME_AT = "2024-01-15"
+SECOND_END = "2024-01-19"
 #: Thresholds of the four-level alarm query, on the scale of ``events.value``.
 VALUE_ALARM = FourLevel(rise=(20.0, 40.0, 60.0, 80.0), settle=(15.0, 35.0, 55.0, 75.0), clear=(10.0, 30.0, 50.0, 70.0))
 VALUE_DECAY = 0.9
@@ -58,16 +59,15 @@ def stored_grids(spark):
 
 
 def grid_load(spark, sf):
-    """Per telemetry row, a node of a stored and loaded grid: tau is mirrored, voltage is not."""
+    """Per telemetry row a node of each of the stored and loaded grids, all nodes in turn; tau is mirrored."""
     grids = stored_grids(spark)
 
-    def nodes(name: str) -> Column:
-        return F.array(*[F.lit(float(z)) for z in grids.tables[name][0]])
+    def node(name: str) -> Column:
+        flat = [float(z) for row in grids.tables[name] for z in row]
+        return F.element_at(F.array(*map(F.lit, flat)), (F.col("event_id") % len(flat) + 1).cast("int"))
 
-    node = (F.col("event_id") % len(grids.soc) + 1).cast("int")
-    return derived_telemetry(spark, sf).select(
-        "event_id", r6(F.element_at(nodes("TSOC2tao_C"), node)).alias("tao"),
-        r6(F.element_at(nodes("TSOC2OCV"), node)).alias("ocv"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return events.select("event_id", *[F.round(node(n), 9).alias(n.lower()) for n in grids.tables])
 
 
 def sink_roundtrip(spark, sf):
@@ -102,14 +102,16 @@ def null_skip(spark, sf):
     return rows.select("event_id", "cell_min_volt", "cell_max_tem")
 
 
+def _joined(column: str, digits: int) -> Column:
+    """All items of an array as text: whole numbers of the last digit, so that engines write them alike."""
+    return F.array_join(F.transform(column, lambda x: F.round(x * 10 ** digits).cast("long").cast("string")), ",", "null")
+
+
 def parse_cells(spark, sf):
     text = (F.when(_every(29), "[3.1, x]").when(_every(31), "").when(_every(37), "[[1],2]")
             .when(_every(41), " [3.4 , ,3.5]").when(_every(43), "[3.4d, 3.5]").otherwise(F.col("bmv_singlevolt")))
     cells = with_lists(derived_telemetry(spark, sf).select("event_id", text.alias("text")), {"cells": "text"})
-    return cells.select(
-        "event_id", F.coalesce(F.size("cells"), F.lit(-1)).alias("n_cells"),
-        F.get("cells", F.lit(0)).alias("first_cell"),
-        F.try_element_at(F.col("cells"), F.lit(-1)).alias("last_cell"))
+    return cells.select("event_id", F.coalesce(F.size("cells"), F.lit(-1)).alias("n_cells"), _joined("cells", 4).alias("cells"))
 
 
 def scalar_or_list_query(spark, sf):
@@ -131,9 +133,7 @@ def _arrays(spark, sf) -> DataFrame:
 
 
 def clean_cells(spark, sf):
-    return _arrays(spark, sf).select(
-        "event_id", F.size("volts").alias("n_cells"),
-        *[F.get("volts", F.lit(i)).alias(f"cell_{i}") for i in range(8)])
+    return _arrays(spark, sf).select("event_id", F.size("volts").alias("n_cells"), _joined("volts", 4).alias("cells"))
 
 
 def arg_extremes(spark, sf):
@@ -170,8 +170,7 @@ def parse_time_list(spark, sf):
             .when(_every(7), F.concat(F.lit(","), one, F.lit(",")))
             .when(_every(11), F.concat(one, F.lit(",later"))).otherwise(one))
     times = derived_telemetry(spark, sf).select("event_id", epoch_list(text).alias("times"))
-    return times.select("event_id", F.coalesce(F.size("times"), F.lit(-1)).alias("n_times"),
-                        F.get("times", F.lit(0)).alias("first_epoch"))
+    return times.select("event_id", F.coalesce(F.size("times"), F.lit(-1)).alias("n_times"), _joined("times", 0).alias("epochs"))
 
 
 # --- features and lookups ----------------------------------------------------
@@ -248,23 +247,16 @@ def _fault_rows(spark, sf, config: Config = Config(), **options) -> DataFrame:
                               sizes=order_sizes(spark, sf), **options)
 
 
-def _fault_line(spark, sf) -> Timeline:
-    rows = _fault_rows(spark, sf).select("event_id", KEY, "reltime", "dt", "isc", "cap", "heat")
-    return _line(spark, sf, rows)
-
-
 def running_faults(spark, sf):
-    return windows.running_faults(_fault_line(spark, sf)).table().select(
-        "event_id", "isc_total", "cap_total", "heat_total")
+    return _fault_rows(spark, sf).select("event_id", "isc_total", "cap_total", "heat_total")
 
 
 def fault_ret(spark, sf):
-    return windows.fault_codes(windows.running_faults(_fault_line(spark, sf)).table()).select(
-        "event_id", "isc_ret", "cap_ret", "heat_ret")
+    return _fault_rows(spark, sf).select("event_id", "isc_ret", "cap_ret", "heat_ret")
 
 
 def last_fault_dt(spark, sf):
-    return windows.latest_fault_date(_fault_line(spark, sf)).select("event_id", "event_dt")
+    return _fault_rows(spark, sf).select("event_id", "event_dt")
 
 
 def distinct_orders(spark, sf):
@@ -272,7 +264,7 @@ def distinct_orders(spark, sf):
 
 
 def fault_rate(spark, sf):
-    rates = windows.fault_rates(_fault_rows(spark, sf), derived_telemetry(spark, sf).select(KEY), KEY)
+    rates = windows.fault_rates(_fault_rows(spark, sf), order_sizes(spark, sf), KEY)
     return r6_all(rates, "isc_rate", "cap_rate", "heat_rate")
 
 
@@ -358,6 +350,28 @@ def event_output(spark, sf):
     return _events(spark, sf)
 
 
+def event_output_cut(spark, sf):
+    """The same events with nearly every order cut into segments."""
+    return _events(spark, sf, limit=40)
+
+
+def event_output_ekf(spark, sf):
+    """Events with the filtered state of charge."""
+    return _events(spark, sf, config=Config(soc_method="ekf"))
+
+
+#: The heat power alarm on the scale of the derived data, the drift alarm on the temperature gap.
+DRIFT_CONFIG = Config(
+    wtt_input="delta_t",
+    wp=FourLevel(rise=(5.0, 10.0, 20.0, 40.0), settle=(4.0, 8.0, 16.0, 32.0), clear=(3.0, 6.0, 12.0, 24.0)))
+
+
+def event_output_drift(spark, sf):
+    """Events and all alarm levels with the drift alarm on the temperature gap."""
+    rows = _fault_rows(spark, sf, DRIFT_CONFIG)
+    return rows.select("event_id", "wp", "wsoc", "wtt", "wv", "wt", "isc", "cap", "heat", "isc_ret", "cap_ret", "heat_ret", "event_dt")
+
+
 def _with_broken_rows(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumns({
         "bcs_currentmeasure": F.when(_every(487), F.lit("off")).otherwise(F.col("bcs_currentmeasure").cast("string")),
@@ -393,6 +407,27 @@ def resume_equals_full(spark, sf):
     return _round_events(safety.event_columns(both, ("event_id", F.col("wp").alias("wp_level"))))
 
 
+def resume_after_failure(spark, sf):
+    """Events of the last of three runs; in the second, some orders fail and keep the state of the first.
+
+    The orders that fail have an unusable row between the two dates, so the third run goes on from the first.
+    """
+    telemetry, grids, sizes = derived_telemetry(spark, sf), sample_grids(), order_sizes(spark, sf)
+    fails = F.col(KEY).cast("long") % 3 == 0
+    parts = [
+        telemetry.where(F.col("dt") < RESUME_AT),
+        telemetry.where(F.col("dt").between(RESUME_AT, SECOND_END)).withColumn(
+            "cell_max_volt", F.when(~fails, F.col("cell_max_volt"))),
+        telemetry.where(F.col("dt") > SECOND_END)]
+    states, rows = None, None
+    for number, part in enumerate(parts):
+        path = scratch_path(spark, f"run-{number}")
+        safety.safety_rows(part, grids, tiebreak=TIE, states=states, with_state=True, sizes=sizes).write.parquet(path)
+        folded = spark.read.parquet(path)
+        states, rows = folded.where(F.col(STATE).isNotNull()).select(KEY, STATE), folded.where(F.col(STATE).isNull())
+    return _round_events(safety.event_columns(rows, ("event_id", F.col("wp").alias("wp_level"))))
+
+
 def stream_equals_batch(spark, sf):
     """Events of a stream in two triggers; the batch has to agree with them."""
     from ..streaming.stream import replay
@@ -440,8 +475,12 @@ QUERIES: dict[str, Query] = {
     "alarm_two_level": alarm_two_level,
     "fault_flags": fault_flags,
     "event_output": event_output,
+    "event_output_cut": event_output_cut,
+    "event_output_ekf": event_output_ekf,
+    "event_output_drift": event_output_drift,
     "failed_orders": failed_orders,
     "surviving_events": surviving_events,
     "resume_equals_full": resume_equals_full,
+    "resume_after_failure": resume_after_failure,
     "stream_equals_batch": stream_equals_batch,
 }

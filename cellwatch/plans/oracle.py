@@ -25,9 +25,9 @@ tel as (
   e.ts reltime, strftime(e.ts, '%Y-%m-%d') dt,
   case when e.event_id % 97 = 0 then null else round(3.45::double-0.1::double*(e.event_id % 5)/5,4) end cell_min_volt,
   case when e.event_id % 101 = 0 then null else 30::double+(e.event_id % 9) end cell_max_tem,
-  case when e.event_id % 11 = 0 then '[]' else concat('[', array_to_string(list_transform(m.embedding[1:8],
+  case when e.event_id % 11 = 0 then '[]' else concat('[', array_to_string(list_transform(m.embedding[1:48],
    lambda x: cast(round(3.45::double+0.4::double*cast(x as double),4) as varchar)), ', '), ']') end bmv_singlevolt,
-  case when e.event_id % 13 = 0 then null else concat('[', array_to_string(list_transform(m.embedding[9:12],
+  case when e.event_id % 13 = 0 then null else concat('[', array_to_string(list_transform(m.embedding[49:64],
    lambda x: cast(round(25::double+40::double*cast(x as double),2) as varchar)), ', '), ']') end bmt_singletemp,
   round(3.45::double-0.1::double*(e.event_id % 5)/5+0.02::double*(e.event_id % 8),4) cell_max_volt,
   30::double+(e.event_id % 9)-(e.event_id % 17) cell_min_tem,
@@ -42,6 +42,12 @@ def parse(text: str) -> str:
     return f"case when len(list_filter({cast}, lambda x: x is null)) = 0 then {cast} end"
 
 
+def joined(column: str, digits: int) -> str:
+    """All items of a list as text, as whole numbers of the last digit."""
+    item = f"round(x * {d(10 ** digits)})::bigint::varchar"
+    return f"array_to_string(list_transform({column}, lambda x: coalesce({item}, 'null')), ',')"
+
+
 ARRAYS = f"""
 parsed as (select *, {parse('bmv_singlevolt')} cells, {parse('bmt_singletemp')} temps from tel),
 arrays as (select *, list_transform(cells, lambda v: case when v > 3.35e0 then v else list_max(cells) end) volts
@@ -284,6 +290,48 @@ def kalman(side: str, temp: str, volt: str) -> tuple[dict[str, str], list[dict[s
     return state, stages
 
 
+def grid_nodes() -> dict[str, list[float]]:
+    """The nodes of all grids by the formulas of the test data, row by row; tau runs the other way along its rows."""
+    temps, rates = SAMPLE_BREAKS["T_break"], SAMPLE_BREAKS["CRate_break"]
+    nodes = {}
+    for side in "CD":
+        for part, scale in (("R0", 0.002), ("R1", 0.001)):
+            nodes[f"TI2{part}_{side}"] = [scale * (1 + y) * (1 - x / 200) for x in temps for y in rates]
+            nodes[f"TSOC2{part}_{side}"] = [scale * (1 + y) * (1 - x / 200) for x in temps for y in SOC]
+        nodes[f"TSOC2tao_{side}"] = [20 + 40 * y for _ in temps for y in reversed(SOC)]
+    nodes["TSOC2OCV"] = [3.2 + 0.6 * y + 0.0005 * x for x in temps for y in SOC]
+    nodes["TSOC2dVdS"] = [0.6 for _ in temps for _ in SOC]
+    return nodes
+
+
+def _events_ekf() -> str:
+    """The event job on the filtered state of charge: both recurrences in one walk."""
+    avg_state, avg_stages = kalman("avg", "temp_avg", "volt_avg")
+    min_state, min_stages = kalman("min", "temp_max", "volt_min")
+    soc_stages = [{**a, **m} for a, m in zip(avg_stages, min_stages)]
+    stages = [*soc_stages, *[
+        {**s, "delta_soc": smooth("delta_soc", "(n_avg_soc - n_min_soc)", 0.99)} if "delta_soc" in s else s for s in SAFETY_STAGES]]
+    return f"with recursive {FEATURES}, {fold_sql(HEAT_SOURCE, {**avg_state, **min_state, **SAFETY_STATE}, stages)}, {FLAGS} {EVENT_SELECT}"
+
+
+def _events_drift() -> str:
+    """The event job with the drift alarm on the temperature gap, and another heat alarm."""
+    config = catalog.DRIFT_CONFIG
+    stages = [{**s, "drift": smooth("drift", "delta_t", 0.9)} if "drift" in s else s for s in SAFETY_STAGES[:-1]]
+    stages.append({**SAFETY_STAGES[-1], **_alarm_stage("wp", config.wp, "n_delta_p")})
+    return (f"with recursive {FEATURES}, {fold_sql(HEAT_SOURCE, SAFETY_STATE, stages)}, {FLAGS} select row_id event_id,"
+            " wp, wsoc, wtt, wv, wt, isc, cap, heat, isc_ret, cap_ret, heat_ret, event_dt from events_out")
+
+
+def _resumed() -> str:
+    """Events after the second date; rows of orders that fail in between play no part."""
+    source = HEAT_SOURCE.replace("from feat", f"""from (select * from feat where not (orderid::bigint % 3 = 0
+ and dt between '{catalog.RESUME_AT}' and '{catalog.SECOND_END}' and exists (select 1 from tel t
+ where t.orderid = feat.orderid and t.dt between '{catalog.RESUME_AT}' and '{catalog.SECOND_END}'
+ and t.cell_min_volt is not null and t.cell_max_tem is not null)))""")
+    return _safety(EVENT_SELECT + f" where reltime::date > '{catalog.SECOND_END}'", source=source)
+
+
 def _soc_ekf() -> str:
     avg_state, avg_stages = kalman("avg", "temp_avg", "volt_avg")
     min_state, min_stages = kalman("min", "temp_max", "volt_min")
@@ -326,16 +374,15 @@ def statements() -> dict[str, str]:
     cells_text = """case when event_id % 29 = 0 then '[3.1, x]' when event_id % 31 = 0 then ''
  when event_id % 37 = 0 then '[[1],2]' when event_id % 41 = 0 then ' [3.4 , ,3.5]'
  when event_id % 43 = 0 then '[3.4d, 3.5]' else bmv_singlevolt end"""
-    tau = ", ".join(d(20 + 40 * y) for y in reversed(SOC))
-    volts = ", ".join(d(3.2 + 0.6 * y + 0.0005 * -20.0) for y in SOC)
+    nodes = grid_nodes()
     order = "(partition by orderid order by reltime, event_id)"
     four_next, four_level = alarm_sql(catalog.VALUE_ALARM, "level_state", "value")
     current = "case when current > 0 then 1 else -1 end"
     return {
         "scan_date_range": f"{tel} select event_id, orderid, dt, cell_min_volt from tel "
                            f"where dt between '{scan_lo}' and '{scan_hi}'",
-        "grid_load": f"{tel} select event_id, round(([{tau}])[event_id % 6 + 1], 6) tao,"
-                     f" round(([{volts}])[event_id % 6 + 1], 6) ocv from tel",
+        "grid_load": "select event_id, " + ", ".join(
+            f"round(([{', '.join(map(d, z))}])[event_id % {len(z)} + 1], 9) {name.lower()}" for name, z in nodes.items()) + " from events",
         "cast_double": f"""{tel} select event_id,
  try_cast(case when event_id % 19 = 0 then 'n/a' when event_id % 23 = 0 then '[3.4]'
   else cell_min_volt::varchar end as double) cell_min_volt,
@@ -344,13 +391,12 @@ def statements() -> dict[str, str]:
                      "where cell_min_volt is not null and cell_max_tem is not null",
         "parse_cells": f"""{tel}, given as (select event_id, {cells_text} txt from tel),
  lists as (select event_id, {parse('txt')} cells from given)
- select event_id, coalesce(len(cells), -1)::int n_cells, cells[1] first_cell, cells[-1] last_cell from lists""",
+ select event_id, coalesce(len(cells), -1)::int n_cells, {joined('cells', 4)} cells from lists""",
         "scalar_or_list": f"""{tel}, given as (select event_id, event_id % 5 = 0 v, event_id % 7 = 0 t,
   {parse('bmv_singlevolt')} cells, {parse('bmt_singletemp')} temps, cell_max_volt, cell_min_tem from tel)
  select event_id, case when v then list_max(cells) else cell_max_volt end pack_max_volt,
   case when t then list_min(temps) else cell_min_tem end pack_min_tem, cell_max_volt plain_max_volt from given""",
-        "clean_cells": f"{arrays} select event_id, len(volts)::int n_cells, "
-                       + ", ".join(f"volts[{i + 1}] cell_{i}" for i in range(8)) + " from arrays",
+        "clean_cells": f"{arrays} select event_id, len(volts)::int n_cells, {joined('volts', 4)} cells from arrays",
         "arg_extremes": f"""{arrays} select event_id, list_min(volts) low_volt,
  (list_position(volts, list_min(volts)) - 1)::bigint low_index, list_max(temps) high_temp,
  (list_position(temps, list_max(temps)) - 1)::bigint high_index from arrays""",
@@ -364,8 +410,8 @@ def statements() -> dict[str, str]:
         "parse_time": f"{tel} select event_id, {TIME_TEXT} epoch from tel",
         "parse_time_list": f"""{tel} select event_id,
  (case when event_id % 5 = 0 then 2 when event_id % 7 = 0 then 1 when event_id % 11 = 0 then -1 else 1 end)::int n_times,
- case when event_id % 5 <> 0 and event_id % 7 <> 0 and event_id % 11 = 0 then null
-  else floor(epoch(reltime))::bigint end first_epoch from tel""",
+ case when event_id % 5 = 0 then concat(moment, ',', moment) when event_id % 7 <> 0 and event_id % 11 = 0 then null
+  else moment end epochs from (select event_id, floor(epoch(reltime))::bigint::varchar moment from tel)""",
         "features": f"{feat} select event_id, orderid, epoch, pack_only, temp_id, "
                     + ", ".join(f"round({c}, 6) {c}" for c in catalog.FEATURE_COLUMNS) + " from feat",
         "crate_sign": f"{feat} select event_id, round(abs(current / 150e0), 6) crate, {current} direction from feat",
@@ -419,6 +465,10 @@ def statements() -> dict[str, str]:
                                  "select row_id event_id, wv, wv_state, wt, wt_state from r where row_id is not null"),
         "fault_flags": _safety("select row_id event_id, wsoc, wtt, wv, wt, isc, cap, heat from flagged"),
         "event_output": _safety(EVENT_SELECT),
+        "event_output_cut": _safety(EVENT_SELECT),
+        "event_output_ekf": _events_ekf(),
+        "event_output_drift": _events_drift(),
+        "resume_after_failure": _resumed(),
         "failed_orders": f"with {BROKEN} select orderid, min({ROW_ERROR}) error from feat "
                          f"where {ROW_ERROR} is not null group by orderid",
         "surviving_events": _safety(

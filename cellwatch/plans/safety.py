@@ -135,6 +135,7 @@ def safety_program(config: Config, grids: Grids | None = None) -> Program:
         outputs={
             **{n: T.IntegerType() for n in (
                 "isc", "cap", "heat", "isc_ret", "cap_ret", "heat_ret", "wp", "wsoc", "wtt", "wv", "wt")},
+            **{f"{n}_total": T.LongType() for n in ("isc", "cap", "heat")},
             **{n: T.DoubleType() for n in ("delta_p", "p_max", "p_avg", "delta_soc", "drift")},
             "event_dt": T.StringType(),
         },

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TELEMETRY_COLUMNS = (
     "orderid", "batteryid", "reltime", "dt",
@@ -11,6 +11,10 @@ TELEMETRY_COLUMNS = (
 )
 
 
+#: Of a vector's values, so many are cell voltages and the rest temperatures.
+CELLS, PROBES = 48, 16
+
+
 def between_dates(telemetry: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of the inclusive date range.
 
@@ -26,17 +30,10 @@ def read_telemetry(spark: SparkSession, source: str, start: str, end: str) -> Da
     missing = [c for c in TELEMETRY_COLUMNS if c not in table.columns]
     if missing:
         raise ValueError(f"{source} lacks the telemetry columns {missing}")
-    # Folder names that look like dates are read as such; the cast still prunes.
-    return between_dates(table.withColumn("dt", F.col("dt").cast("string")), start, end)
-
-
-def spread(scan: DataFrame, column: str) -> DataFrame:
-    """A scan over all cores when its files make fewer tasks than there are cores.
-
-    Larger inputs have a task per split anyway and are left as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, column)
+    if table.schema["dt"].dataType != T.StringType():
+        # Folder names that look like dates are read as such; the cast still prunes.
+        table = table.withColumn("dt", F.col("dt").cast("string"))
+    return between_dates(table, start, end)
 
 
 def derived_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +41,7 @@ def derived_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row per event; ``event_id`` is kept as row identity and tiebreak.
     """
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     slots = vectors.agg(F.count("*")).scalar()
     e = F.col("event_id")
@@ -57,8 +54,8 @@ def derived_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("["), F.array_join(text, ", "), F.lit("]"))
 
     # Many events share a vector, so the texts are made before the join.
-    packs = vectors.select("vec_id", listed(1, 8, 3.45, 0.4, 4).alias("volts"),
-                           listed(9, 4, 25.0, 40.0, 2).alias("temps"))
+    packs = vectors.select("vec_id", listed(1, CELLS, 3.45, 0.4, 4).alias("volts"),
+                           listed(CELLS + 1, PROBES, 25.0, 40.0, 2).alias("temps"))
     volt = F.lit(3.45) - F.lit(0.1) * (e % 5) / 5
     temp = F.lit(30.0) + (e % 9)
     return (
