@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from cellwatch.llm.shared import Words, mixed, random_words, slices
 
-FIT_ROWS = 3000
+FIT_ROWS = 1500
 PREFIXES = (4, 5, 6)
 #: A feature labels tokens if this many toxic documents have it, and if it is so many times as frequent in them.
 LEAST_DOCUMENTS = 5
@@ -133,27 +133,45 @@ def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([most, np.log1p(expected), np.sqrt(expected / np.maximum(1, lengths))], axis=1)
 
 
-def _unlike(text: pa.Array, runs: int = 3, minima: int = 8, alike: int = 3) -> list[int]:
-    """Rows of which no earlier one is a copy or near copy: ``alike`` of ``minima`` smallest hashes of word runs agree."""
-    found = tokens(text)
+def _marks(words: np.ndarray, seeds: np.ndarray, runs: int = 3) -> list[tuple[int, int]]:
+    """The smallest hashes of a text's word runs, one for each seed."""
+    if not len(words):
+        return [(-1, 0)] * len(seeds)
+    size = max(1, len(words) - runs + 1)
+    joined = words[:size].copy()
+    for k in range(1, min(runs, len(words))):
+        joined += words[k:k + size] * seeds[k]
+    return [(k, int(mixed(joined ^ seed).min())) for k, seed in enumerate(seeds)]
+
+
+def _sample_features(rows: pa.Table, minima: int = 8, alike: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token features, bounds and labels of the sample's texts, without copies.
+
+    Of copies and near copies (``alike`` of ``minima`` marks agree) the first counts, or all
+    their words would look telling.
+    """
     seen: dict[tuple[int, int], list[int]] = {}
-    kept, seeds = [], random_words("alike", minima)
-    for i in range(len(found)):
-        words = found.hashes[found.bounds[i]:found.bounds[i + 1]]
-        size = max(1, len(words) - runs + 1)
-        joined = words[:size].copy()
-        for k in range(1, min(runs, len(words))):
-            joined += words[k:k + size] * seeds[k]
-        marks = [(k, int(mixed(joined ^ seed).min())) for k, seed in enumerate(seeds)] if len(words) else [(-1, 0)] * alike
-        votes: dict[int, int] = {}
-        for mark in marks:
-            for earlier in seen.get(mark, ()):
-                votes[earlier] = votes.get(earlier, 0) + 1
-        if max(votes.values(), default=0) < alike:
-            kept.append(i)
+    seeds = random_words("alike", minima)
+    features, lengths, toxic = [], [], []
+    for batch in (part for whole in rows.combine_chunks().to_batches() for part in slices(whole, "text")):
+        found = tokens(batch.column("text"))
+        own = token_features(found)
+        for i, label in enumerate(batch.column("toxic").to_pylist()):
+            low, high = int(found.bounds[i]), int(found.bounds[i + 1])
+            marks = _marks(found.hashes[low:high], seeds)
+            votes: dict[int, int] = {}
+            for mark in marks:
+                for earlier in seen.get(mark, ()):
+                    votes[earlier] = votes.get(earlier, 0) + 1
+            if max(votes.values(), default=0) >= alike:
+                continue
             for mark in set(marks):
-                seen.setdefault(mark, []).append(i)
-    return kept
+                seen.setdefault(mark, []).append(len(lengths))
+            features.append(own[:, low:high])
+            lengths.append(high - low)
+            toxic.append(label)
+    joined = np.concatenate(features, axis=1) if features else np.zeros((1 + len(PREFIXES), 0), np.uint64)
+    return joined, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), np.array(toxic, bool)
 
 
 def _token_labels(features: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,25 +292,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = [labelled.where(F.col("toxic") == F.lit(c)).orderBy(order).limit(FIT_ROWS) for c in (False, True)]
     ids = sample[0].unionByName(sample[1])  # at most twice FIT_ROWS rows, so their size is bounded
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").toArrow()
-    rows = rows.combine_chunks()
-    text = rows.column("text")
-    text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
-    keep = _unlike(text)  # of copies one counts, or all their words would look telling
-    toxic = rows.column("toxic").to_numpy()[keep].astype(bool)
-    found = tokens(text.take(pa.array(keep, pa.int64())))
-    if toxic.all() or not toxic.any() or not len(found.hashes):
+    seen, bounds, toxic = _sample_features(rows)
+    if toxic.all() or not toxic.any() or not seen.shape[1]:
         whole = share[True] / (share[True] + share[False])
         return Model(intercept=float(np.log(whole / (1 - whole))))
-    seen = token_features(found)
-    chosen, token_labels = _token_labels(seen, found.bounds, toxic)
+    chosen, token_labels = _token_labels(seen, bounds, toxic)
     # Known features: those that label tokens, and, as contrast, frequent ones.
-    words, counts = np.unique(seen, return_counts=True)
-    vocabulary = np.union1d(chosen, words[(counts >= 50) & (words != 0)])
+    frequent = []
+    for kind in seen:
+        words, counts = np.unique(kind, return_counts=True)
+        frequent.append(words[(counts >= 50) & (words != 0)])
+    vocabulary = np.union1d(chosen, np.concatenate(frequent))
     model = Model()
     if len(vocabulary):
-        weights, bias, transitions = _fit_chain(seen, found.bounds, token_labels, vocabulary)
+        weights, bias, transitions = _fit_chain(seen, bounds, token_labels, vocabulary)
         model = Model(vocabulary, weights, bias, transitions)
-    features = document_features(marginals(model.emissions(seen), found.bounds, model.transitions), found.bounds)
+    features = document_features(marginals(model.emissions(seen), bounds, model.transitions), bounds)
     weight = np.where(toxic, share[True] / toxic.sum(), share[False] / (~toxic).sum())
     model.document, model.intercept = _fit_documents(features, toxic.astype(np.float64), weight / weight.mean())
     return model
