@@ -118,6 +118,25 @@ class Config:
         }
         return replace(self, **waits)
 
+    @staticmethod
+    def of(values: dict) -> "Config":
+        """The defaults with some fields given; parts of ``cell`` and of the alarms may be left out.
+
+        Example: ``{"soc_method": "ekf", "wp": {"debounce_rows": 5}, "debounced": true}``.
+        """
+        config = Config()
+        values = dict(values)
+        if values.pop("debounced", False):
+            config = config.debounced()
+        for name, value in values.items():
+            if not hasattr(config, name):
+                raise ValueError(f"no parameter {name!r}")
+            if isinstance(value, dict):
+                lists = {k: tuple(v) if isinstance(v, list) else v for k, v in value.items()}
+                value = replace(getattr(config, name), **lists)
+            config = replace(config, **{name: value})
+        return config
+
     def __post_init__(self) -> None:
         if self.wtt_input not in ("delta_v", "delta_t"):
             raise ValueError(f"wtt_input must be delta_v or delta_t, not {self.wtt_input!r}")

@@ -187,7 +187,7 @@ def _per_segment(program: Program, key: str, depth: int, exits: bool):
                         yield report()
                     ident, known = at, json.loads(entry or "{}")
                     states = {**program.initial(), **known}
-                    told = {s.name: s.unknown() for s in scans} if not exits else {}
+                    told = {s.name: states[s.name] if exits else s.unknown() for s in scans}
                 if lo == hi:
                     continue
                 piece = {n: c[lo:hi] for n, c in cols.items()}

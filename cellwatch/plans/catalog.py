@@ -376,6 +376,7 @@ def _with_broken_rows(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumns({
         "bcs_currentmeasure": F.when(_every(487), F.lit("off")).otherwise(F.col("bcs_currentmeasure").cast("string")),
         "cell_max_volt": F.when(~_every(491), F.col("cell_max_volt")),
+        KEY: F.when(~_every(503), F.col(KEY)),
         "reltime": F.when(_every(499), F.date_format("reltime", "yyyy-MM-dd"))
         .otherwise(F.date_format("reltime", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
     })

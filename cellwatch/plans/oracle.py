@@ -349,7 +349,8 @@ def _text(stamp: str, fraction: str = "") -> str:
 
 VALUES = "vals as (select event_id, user_id::varchar orderid, ts reltime, value from events)"
 
-BROKEN = FEATURES.replace("from tel where", """from (select * exclude (cell_max_volt, reltime, bcs_currentmeasure),
+BROKEN = FEATURES.replace("from tel where", """from (select * exclude (orderid, cell_max_volt, reltime, bcs_currentmeasure),
+  case when event_id % 503 <> 0 then orderid end orderid,
   case when event_id % 491 <> 0 then cell_max_volt end cell_max_volt, reltime,
   case when event_id % 487 <> 0 then bcs_currentmeasure end bcs_currentmeasure,
   case when event_id % 499 <> 0 then reltime end usable from tel) where""")
@@ -469,11 +470,12 @@ def statements() -> dict[str, str]:
         "event_output_ekf": _events_ekf(),
         "event_output_drift": _events_drift(),
         "resume_after_failure": _resumed(),
-        "failed_orders": f"with {BROKEN} select orderid, min({ROW_ERROR}) error from feat "
-                         f"where {ROW_ERROR} is not null group by orderid",
+        "failed_orders": f"with {BROKEN}, told as (select orderid, case when orderid is null then 'orderid missing'"
+                         f" else {ROW_ERROR} end error from feat)"
+                         " select orderid, min(error) error from told where error is not null group by orderid",
         "surviving_events": _safety(
             'select orderid, count(*) "rows", sum(cap)::bigint cap_total from flagged group by orderid',
-            features=BROKEN + f", sound as (select * from feat f where not exists (select 1 from feat b"
+            features=BROKEN + f", sound as (select * from feat f where orderid is not null and not exists (select 1 from feat b"
                               f" where b.orderid = f.orderid and {ROW_ERROR.replace('cell_max', 'b.cell_max').replace('when bcs', 'when b.bcs').replace('usable', 'b.usable')} is not null))",
             source=HEAT_SOURCE.replace("from feat", "from sound")),
         "resume_equals_full": _safety(EVENT_SELECT),

@@ -201,8 +201,9 @@ def fault_events(telemetry: DataFrame, grids: Grids, config: Config = Config(),
 
 
 def failed_orders(feats: DataFrame) -> DataFrame:
-    """Orders with an unusable row, with the first reason by name."""
-    return feats.where(F.col("error").isNotNull()).groupBy(KEY).agg(F.min("error").alias("error"))
+    """Orders with an unusable row, with the first reason by name; rows without an order count as one such."""
+    error = F.when(F.col(KEY).isNull(), F.lit("orderid missing")).otherwise(F.col("error"))
+    return feats.withColumn("error", error).where(F.col("error").isNotNull()).groupBy(KEY).agg(F.min("error").alias("error"))
 
 
 @dataclass(frozen=True)
@@ -210,12 +211,20 @@ class RunResult:
     """Tables a run has written, as lazily readable frames.
 
     ``events`` is the whole event table; ``failed`` and ``states`` belong to
-    the run.  Pass ``states`` to the run of the next range.
+    the run.  Pass ``states`` to the run of the next range.  ``failed`` and
+    ``states`` are read from the run's folder in the shared folder; ``close``
+    removes it once they are written elsewhere or no longer needed.
     """
 
     events: DataFrame
     failed: DataFrame
     states: DataFrame
+    work: str
+
+    def close(self) -> None:
+        spark = self.events.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.work)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_batch(
@@ -246,9 +255,10 @@ def run_batch(
     folded = spark.read.parquet(f"{work}/folded")
     rows = folded.where(F.col(STATE).isNull())
     events = event_columns(rows, (*tiebreak, F.col("dt").alias(DAY)))
-    write_events(events, target, mode)
+    write_events(events, target, mode, (start, end))
     return RunResult(
         events=read_events(spark, target, events.schema),
         failed=failed_orders(feats),
         states=folded.where(F.col(STATE).isNotNull()).select(KEY, STATE),
+        work=work,
     )
