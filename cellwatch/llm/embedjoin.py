@@ -46,7 +46,8 @@ FIT_ROWS = 20_000
 HOME_ROWS, OTHER_ROWS = 8_000, 32_000
 #: What rounding to single precision may add to a block's squared distance.
 SLACK = 1e-6
-#: Pairs in memory at a time.
+#: Vectors that are compared with others at a time, and pairs that are verified at a time.
+TOGETHER = 256
 PAIRS = 1 << 17
 
 
@@ -166,16 +167,22 @@ def _cell_links(blocks: Blocks, dimensions: int, cosine: float, exact: type):
         norms = np.linalg.norm(vectors, axis=1)
         homes, others = np.flatnonzero(rows["home"].to_numpy()), np.flatnonzero(~only_home)
         axes = blocks.axes[block]
-        near, own = rotated[:, axes], (rotated[:, axes] ** 2).sum(axis=1)
+        near, own = rotated[:, axes], (rotated[:, axes] ** 2).sum(axis=1)[:, None]
+        # One product of these gives squared distances, in single precision: a first sieve with more slack.
+        one = np.ones_like(own)
+        here, there = (np.concatenate(parts, axis=1).astype(np.float32) for parts in ((-2.0 * near, own, one), (near, one, own)))
+        # Beyond the grid's axes, one more axis in order: a few vectors at a time meet those within reach only.
+        along = near[:, min(GRID_AXES, len(axes) - 1)]
+        homes, others = homes[np.argsort(along[homes])], others[np.argsort(along[others])]
+        reach, ordered, there = blocks.reach[block], along[others], there[others]
         links = np.zeros(len(rows), np.int64)
         lefts, rights = [], []
-        step = max(1, (1 << 22) // max(1, len(others)))
-        for start in range(0, len(homes), step):
-            some = homes[start:start + step]
-            apart = own[some][:, None] + own[others][None, :] - 2.0 * (near[some] @ near[others].T)
-            a, b = np.nonzero(apart <= blocks.budgets[block] + 2 * SLACK)
-            a, b = some[a], others[b]
-            apart = None
+        for start in range(0, len(homes), TOGETHER):
+            some = homes[start:start + TOGETHER]
+            low, high = np.searchsorted(ordered, [along[some[0]] - reach, along[some[-1]] + reach])
+            close = here[some] @ there[low:high].T <= np.float32(blocks.budgets[block] + 4 * SLACK)
+            at = np.flatnonzero(close)
+            a, b = some[at // max(1, high - low)], others[low + at % max(1, high - low)]
             for at in range(0, len(a), PAIRS):
                 x, y = a[at:at + PAIRS], b[at:at + PAIRS]
                 good = ids[x] != ids[y]
