@@ -95,7 +95,7 @@ def _depth_counts(bits: int, cut: int):
         for n in range(cut, bits + 1):
             low = (asked >> (bits - n)) << (bits - n)
             counts[:, n - cut] = np.searchsorted(strings, low + (1 << (bits - n))) - np.searchsorted(strings, low)
-        return pd.DataFrame({"id": queries["id"].to_numpy(np.int64), "counts": list(counts)})
+        return pd.DataFrame({"id": queries["id"].to_numpy(np.int64), "counts": pd.Series(list(counts), dtype=object)})
 
     return work
 
