@@ -14,9 +14,9 @@ set into a segment per fragment.
    all documents have costs a fragment one entry a slice.
 2. The n-grams of the texts left are ordered from rare to frequent.  Linked texts share
    one of the first ``n - ceil(0.8 n) + 1``; those that no other text has come first and
-   need no list.  From each n-gram's texts, pairs with a few pivots are counted exactly:
-   overlaps are counted per fragment, and summed per pair.  The links found are contracted
-   to components.
+   need no list.  Each n-gram's texts are paired with the one among them
+   that has the fewest n-grams alone.  Pairs are counted exactly: overlaps are
+   counted per fragment, and summed per pair.  The links found are contracted to components.
 3. Pairs of texts that share such an n-gram, and are in different components, are
    counted as well.  So a large group of near copies costs a few pairs a text, not all,
    and no link between components is lost.
@@ -51,7 +51,7 @@ WORDS = 5
 SIMILARITY = 80
 KEY_BYTES = 12
 #: N-grams that a fragment should get, and the least number of fragments.
-FRAGMENT_GRAMS = 4_000_000
+FRAGMENT_GRAMS = 3_000_000
 LEAST_FRAGMENTS = 32
 #: Fragments in which the overlap of a pair is counted.
 PAIR_FRAGMENTS = 4
@@ -251,9 +251,9 @@ def _shared_sets(bits: int):
         starts, lengths = _runs(docs)
         keys = texts["keys"]
         return pd.DataFrame({
-            "key": [keys[KEY_BYTES * d:KEY_BYTES * (d + 1)] for d in docs[starts].tolist()],
+            "key": pd.Series([keys[KEY_BYTES * d:KEY_BYTES * (d + 1)] for d in docs[starts].tolist()], dtype=object),
             "n": sizes[docs[starts]],
-            "grams": [grams[s:s + n].view(np.int64) for s, n in zip(starts, lengths)]})
+            "grams": pd.Series([grams[s:s + n].view(np.int64) for s, n in zip(starts, lengths)], dtype=object)})
 
     return work
 
@@ -277,10 +277,22 @@ def _least(n: str) -> str:
     return f"(({SIMILARITY} * {n} + 99) div 100)"
 
 
+def _common(n_a: str, n_b: str) -> str:
+    """The least number of common n-grams of texts that link."""
+    return f"(({SIMILARITY} * ({n_a} + {n_b}) + {99 + SIMILARITY}) div {100 + SIMILARITY})"
+
+
 def _postings(sets: DataFrame) -> DataFrame:
-    """``(gram, id, n)`` of the n-grams of which linked texts share one."""
+    """``(gram, id, n, alone, place, short)`` of the n-grams of which linked texts share one.
+
+    ``alone``: n-grams that no other text has; ``place``: the n-gram's in the text's order, those first.  Of a
+    pair, the text with fewer n-grams needs a shorter prefix, as at least 160 / 180 of them are common;
+    ``short``: the n-gram is in it.
+    """
     first = F.expr(f"greatest(0, n - {_least('n')} + 1 - (n - size(grams)))").cast("int")
-    return sets.select("id", "n", F.explode(F.slice("grams", F.lit(1), first)).alias("gram"))
+    listed = sets.select("id", "n", (F.col("n") - F.size("grams")).alias("alone"), F.posexplode(F.slice("grams", F.lit(1), first)).alias("at", "gram"))
+    listed = listed.withColumn("place", F.col("alone") + F.col("at"))
+    return listed.select("gram", "id", "n", "alone", "place", F.expr(f"place <= n - {_common('n', 'n')}").alias("short"))
 
 
 def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -302,32 +314,53 @@ def _fit(n_a: str, n_b: str) -> str:
     return f"100 * least({n_a}, {n_b}) >= {SIMILARITY} * greatest({n_a}, {n_b})"
 
 
-def _pivot_pairs(postings: DataFrame) -> DataFrame:
-    """Each n-gram's texts with its first, its last and a hashed one."""
-    chance = F.struct(F.xxhash64("gram", "id").alias("chance"), "id", "n")
-    own = F.struct("id", "n")
-    pivots = postings.groupBy("gram").agg(
-        F.min(own).alias("first"), F.max(own).alias("last"), F.min(chance).alias("chance"), F.count(F.lit(1)).alias("texts"))
-    pivots = pivots.where("texts > 1").select(
-        "gram", F.array("first", "last", F.struct(F.col("chance.id").alias("id"), F.col("chance.n").alias("n"))).alias("pivots"))
-    pairs = postings.join(pivots, "gram").select("id", "n", F.explode("pivots").alias("pivot"))
+#: How well a text stands for others: the fewer n-grams it has alone, the better.
+_CENTRAL = ("alone", "id", "n")
+
+
+def _pairs(frame: DataFrame, pivot: str) -> DataFrame:
+    """Pairs ``(a, b)`` of ``id`` and a pivot whose sizes allow the similarity."""
     return (
-        pairs.where(f"id <> pivot.id and {_fit('n', 'pivot.n')}")
-        .select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        frame.where(f"id <> {pivot}.id and {_fit('n', f'{pivot}.n')}")
+        .select(F.least("id", f"{pivot}.id").alias("a"), F.greatest("id", f"{pivot}.id").alias("b")).distinct()
     )
 
 
-def _crossing_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of texts that share an n-gram and are in different components."""
+def _pivot_pairs(postings: DataFrame) -> DataFrame:
+    """Each n-gram's texts with the most central one.
+
+    Near copies may be too unlike each other, and yet each link with what they were made
+    from; that has hardly an n-gram alone.
+    """
+    pivots = postings.groupBy("gram").agg(F.min(F.struct(*_CENTRAL)).alias("pivot"), F.count(F.lit(1)).alias("texts"))
+    return _pairs(postings.join(pivots.where("texts > 1").select("gram", "pivot"), "gram"), "pivot")
+
+
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of n-grams whose texts are in several components, with their components' ``label``."""
     labelled = postings.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     several = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    labelled = labelled.join(several.select("gram"), "gram", "left_semi")
-    left = labelled.select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = labelled.select("gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return (
-        left.join(right, "gram").where(f"label_a < label_b and {_fit('n_a', 'n_b')}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    return labelled.join(several.select("gram"), "gram", "left_semi")
+
+
+def _crossing_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of texts that share an n-gram, can link by their numbers of n-grams, and are in different components.
+
+    What two texts have in common is at most what either shares with any; and if they have ``c`` n-grams in common
+    at least, then one within the first ``n - c + 1`` of both.
+    """
+    labelled = _labelled(postings, labels)
+    left, right = (labelled.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "alone", "place", "short", "label")]) for side in "ab")
+    common = _common("n_a", "n_b")
+    enough = f"least(n_a - alone_a, n_b - alone_b) >= {common} and place_a <= n_a - {common} and place_b <= n_b - {common}"
+    pairs = left.where("short_a").join(right, "gram").where(
+        f"(n_a < n_b or n_a = n_b and id_a < id_b) and label_a <> label_b and {_fit('n_a', 'n_b')} and {enough}")
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _of(links: DataFrame) -> DataFrame:
+    """``(id, component)`` of linked texts."""
+    return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -336,11 +369,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = base.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
     sets = candidates(docs, total)
     postings = stored(_postings(sets), "ngram-postings")
-    pairs = _pivot_pairs(postings)
-    links = stored(linked(sets, pairs), "ngram-links")
-    near = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    more = linked(sets, _crossing_pairs(postings, near.select(F.col("node").alias("id"), "component")))
-    whole = components(links.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    links = stored(linked(sets, _pivot_pairs(postings)), "ngram-links")
+    labels = stored(_of(links), "ngram-labels")
+    whole = _of(links.unionByName(linked(sets, _crossing_pairs(postings, labels)))).withColumnRenamed("id", "node")
     roots = sets.select("id", "key").join(whole.select(F.col("node").alias("id"), "component"), "id").select("key", "component")
     texts = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(roots, "key", "left")
     smallest = texts.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
