@@ -68,5 +68,47 @@ QUERIES: dict[str, Query] = {
 }
 
 
+WARC_SQL = f"""
+with rows as (select page_id, url, coalesce(html, '') as html from pages),
+digests as (select page_id, url, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from rows),
+firsts as (select payload_digest, min(page_id) as first from digests where payload_bytes >= {warc.REVISIT_BYTES} group by 1 having count(*) > 1)
+select page_id, payload_bytes, payload_digest, url,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from digests left join firsts using (payload_digest)
+"""
+
+
+def _rule_sql(column: str) -> str:
+    """Text or verdict of the longest rule that fits ``host`` and ``path``."""
+    cases = " ".join(
+        f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{getattr(r, column)}'"
+        for r in sorted(urls.RULES, key=lambda r: -len(r.text)))
+    return f"case {cases} end"
+
+
+def _ascii_lower_sql(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+#: Only the links that the given pages could have: absolute canonical ones in double quotes.
+URL_SQL = rf"""
+with recursive parts as (
+  select page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+split as (select page_id, url, html, coalesce({_ascii_lower_sql("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') as host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path, regexp_replace(url, '#.*', '') as node from parts),
+judged as (select *, {_rule_sql('text')} as rule, {_rule_sql('verdict')} as own from split),
+links as (select node as a, unnest(regexp_extract_all(html, '<link rel="canonical" href="([^"]*)"', 1)) as b from judged where html is not null),
+both_ways as (select a, b from links union select b, a from links),
+blocked as (select distinct node from judged where own = 'block' and node in (select a from both_ways)
+  union select b from blocked join both_ways on a = node)
+select page_id, host, path, rule,
+  coalesce(own, case when node in (select node from blocked) then 'block' else 'allow' end) as verdict,
+  coalesce(node in (select node from blocked), false) as alias_blocked
+from judged
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op9_poisson_mixing": mixing.oracle_sql()}
+    """SQL of the operators that SQL expresses over whole tables; tests/llm compares the others with brute force."""
+    return {"op1_seekable_warc": WARC_SQL, "op4_url_equivalence": URL_SQL, "op9_poisson_mixing": mixing.oracle_sql()}
