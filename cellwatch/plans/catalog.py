@@ -435,8 +435,8 @@ def stream_equals_batch(spark, sf):
 
     telemetry = derived_telemetry(spark, sf)
     parts = [telemetry.where(F.col("dt") < RESUME_AT), telemetry.where(F.col("dt") >= RESUME_AT)]
-    rows = replay(spark, parts, sample_grids(), Config(), TIE)
-    return _round_events(safety.event_columns(rows, ("event_id", F.col("wp").alias("wp_level"))))
+    events, _ = replay(spark, parts, sample_grids(), Config(), TIE, extra=(F.col("wp").alias("wp_level"),))
+    return _round_events(events)
 
 
 QUERIES: dict[str, Query] = {

@@ -6,16 +6,19 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Config
 from ..operators.features import KEY, features, with_soc
 from ..operators.fold import ERROR, Program
-from ..plans.safety import TIME, safety_program
+from ..plans.safety import TIME, event_columns, safety_program
 from ..session import scratch_path
 from ..sources.grids import Grids
+from ..sources.sinks import DAY
 
+#: Second partition column of what a stream writes: the micro-batch, so that one that runs again replaces itself.
+BATCH = "batch"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FAILED = "failed"
 
@@ -29,11 +32,12 @@ class OrderProcessor(StatefulProcessor):
     what a trigger admits (``maxFilesPerTrigger`` and the like).
     """
 
-    def __init__(self, program: Program, order: Sequence[str], columns: Sequence[str]):
-        self.program, self.order, self.columns = program, list(order), list(columns)
+    def __init__(self, program: Program, order: Sequence[str], columns: Sequence[str], keep_seconds: int | None = None):
+        self.program, self.order, self.columns, self.keep_seconds = program, list(order), list(columns), keep_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.carried = handle.getValueState("carried", "states string")
+        keep = None if self.keep_seconds is None else self.keep_seconds * 1000
+        self.carried = handle.getValueState("carried", "states string", ttlDurationMs=keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         states = json.loads(self.carried.get()[0]) if self.carried.exists() else self.program.initial()
@@ -57,9 +61,14 @@ class OrderProcessor(StatefulProcessor):
 
 
 def stream_rows(
-    telemetry: DataFrame, grids: Grids, config: Config = Config(), tiebreak: Sequence[str] = ()
+    telemetry: DataFrame, grids: Grids, config: Config = Config(), tiebreak: Sequence[str] = (),
+    keep_seconds: int | None = None,
 ) -> DataFrame:
-    """Processed rows of a telemetry stream, and one ``error`` row per failed order."""
+    """Processed rows of a telemetry stream, and one ``error`` row per failed order.
+
+    An order's state goes ``keep_seconds`` after its last rows, by default never; rows
+    that come later start anew.  Rows without an order are left out.
+    """
     program = safety_program(config, grids)
     feats = with_soc(features(telemetry, tuple(tiebreak)), grids)
     carry = [KEY, *tiebreak, TIME, "dt", "batteryid", "volt_min", "temp_id", "temp_max", ERROR]
@@ -67,36 +76,50 @@ def stream_rows(
         [T.StructField(c, feats.schema[c].dataType) for c in carry]
         + [T.StructField(n, t) for n, t in program.outputs.items()])
     needed = list(dict.fromkeys([*carry, *program.inputs]))
-    return feats.select(*needed).groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=OrderProcessor(program, [TIME, *tiebreak], schema.names),
-        outputStructType=schema, outputMode="Append", timeMode="None")
+    return feats.select(*needed).where(F.col(KEY).isNotNull()).groupBy(KEY).transformWithStateInPandas(
+        statefulProcessor=OrderProcessor(program, [TIME, *tiebreak], schema.names, keep_seconds),
+        outputStructType=schema, outputMode="Append", timeMode="None" if keep_seconds is None else "ProcessingTime")
 
 
 def start_events(
-    telemetry: DataFrame, target: str, checkpoint: str, grids: Grids, config: Config = Config(),
-    tiebreak: Sequence[str] = (), trigger: dict | None = None,
+    telemetry: DataFrame, target: str, failed: str, checkpoint: str, grids: Grids, config: Config = Config(),
+    tiebreak: Sequence[str] = (), trigger: dict | None = None, keep_seconds: int | None = None,
+    extra: Sequence[Column | str] = (),
 ):
-    """Start the stream into a parquet folder; returns the streaming query.
+    """Start the stream into two parquet folders, the event table and the failed orders; returns the streaming query.
 
+    Events have the columns of the batch job, those of ``tiebreak`` and ``extra``, and are
+    partitioned by ``day`` and micro-batch.  The source should bound a micro-batch
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): an order's rows of one are in memory together.
     ``config`` must not change between runs on one checkpoint.
     """
     telemetry.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows = rows.withColumn(BATCH, F.lit(number)).persist()
+        events = event_columns(rows.where(F.col(ERROR).isNull()), (*tiebreak, *extra, F.col("dt").alias(DAY), BATCH))
+        lost = rows.where(F.col(ERROR).isNotNull()).select(KEY, ERROR, BATCH)
+        for part, path, by in ((events.hint("rebalance", DAY), target, (DAY, BATCH)), (lost, failed, (BATCH,))):
+            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        rows.unpersist()
+
     return (
-        stream_rows(telemetry, grids, config, tiebreak)
-        .writeStream.format("parquet").outputMode("append")
-        .option("path", target).option("checkpointLocation", checkpoint)
+        stream_rows(telemetry, grids, config, tiebreak, keep_seconds)
+        .writeStream.foreachBatch(write).outputMode("append")
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def replay(
     spark: SparkSession, parts: Sequence[DataFrame], grids: Grids, config: Config = Config(),
-    tiebreak: Sequence[str] = (),
-) -> DataFrame:
-    """Feed ``parts`` to one stream, a trigger each, and return all it has written."""
+    tiebreak: Sequence[str] = (), extra: Sequence[Column | str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Feed ``parts`` to one stream, a run each, and return the events and the failed orders it has written."""
     work = scratch_path(spark, "replay")
     for part in parts:
         part.write.mode("append").parquet(f"{work}/in")
-        source = spark.readStream.schema(part.schema).parquet(f"{work}/in")
-        start_events(source, f"{work}/out", f"{work}/state", grids, config, tiebreak).awaitTermination()
-    return spark.read.parquet(f"{work}/out").where(F.col(ERROR).isNull()).drop(ERROR)
+        source = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1000).parquet(f"{work}/in")
+        start_events(source, f"{work}/events", f"{work}/failed", f"{work}/state", grids, config, tiebreak, extra=extra).awaitTermination()
+    failed = spark.read.schema(f"{KEY} string, {ERROR} string, {BATCH} int").parquet(f"{work}/failed")
+    return spark.read.parquet(f"{work}/events").drop(DAY, BATCH), failed.drop(BATCH)

@@ -168,9 +168,9 @@ def test_stream_keeps_state_and_drops_failed_orders(spark, telemetry, grids, tmp
         "bcs_currentmeasure", F.when(F.col("event_id") == 10, "off").otherwise(F.col("bcs_currentmeasure").cast("string")))
     lost = some.where("event_id = 10").first()[KEY]
     parts = [some.where("event_id < 300"), some.where("event_id >= 300")]
-    got = frame(replay(spark, parts, grids, tiebreak=TIE))
-    want = frame(safety.safety_rows(some, grids, tiebreak=TIE))
+    events, failed = replay(spark, parts, grids, tiebreak=TIE)
+    assert events.columns == ["event_id", *EVENT_COLUMNS] and [r[KEY] for r in failed.collect()] == [lost]
+    got, want = frame(events), frame(safety.event_columns(safety.safety_rows(some, grids, tiebreak=TIE), TIE))
     assert lost not in set(got[KEY]) and len(got) == len(want)
-    for c in ("wsoc", "wv", "wt", "isc", "cap", "heat", "event_dt"):
+    for c in EVENT_COLUMNS:
         assert (got[c] == want[c]).all(), c
-    assert np.allclose(got["delta_p"], want["delta_p"], atol=1e-12)
