@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if configured is None and not sc.master.startswith("local"):
+        if configured is None and sc.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cellwatch-"))
         current = sc.getCheckpointDir()
