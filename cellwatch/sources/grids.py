@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F, SparkSession
 
 GRID_SCHEMA = "grid string, ix int, iy int, x double, y double, z double"
 
@@ -21,11 +21,6 @@ SOC_GRIDS = ("TSOC2R0_C", "TSOC2R1_C", "TSOC2tao_C", "TSOC2R0_D", "TSOC2R1_D", "
              "TSOC2OCV", "TSOC2dVdS")
 MIRRORED = ("TSOC2tao_C", "TSOC2tao_D")
 
-# A cell model has four breaks and twelve grids; the bound only guards against
-# pointing the loader at a table that is not one.
-MAX_GRID_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Grids:
     """Breaks and grids in memory, tau grids already mirrored along SOC."""
@@ -51,11 +46,20 @@ class Grids:
 
 
 def load_grids(table: DataFrame) -> Grids:
-    """Collect a grid table once; its size is checked on the way."""
-    rows = table.select("grid", "ix", "iy", "x", "z").limit(MAX_GRID_ROWS + 1).collect()
-    if len(rows) > MAX_GRID_ROWS:
-        raise ValueError("not a lookup grid table: too many rows")
-    return _assemble(rows)
+    """Collect a grid table once, after a count by grid has shown that it has the shape of one."""
+    known = [*BREAKS, *RATE_GRIDS, *SOC_GRIDS]
+    name = F.when(F.col("grid").isin(known), F.col("grid"))
+    sizes = {r["name"]: r["rows"] for r in table.groupBy(name.alias("name")).agg(F.count("*").alias("rows")).collect()}
+    if None in sizes:
+        raise ValueError("not a lookup grid table: it has rows of other names")
+    missing = [n for n in known if n not in sizes]
+    if missing:
+        raise ValueError(f"lookup grid table lacks {missing}")
+    for grid in (*RATE_GRIDS, *SOC_GRIDS):
+        across = "CRate_break" if grid in RATE_GRIDS else "SOC_break"
+        if sizes[grid] > sizes["T_break"] * sizes[across]:
+            raise ValueError(f"lookup grid {grid} has more rows than its breaks have nodes")
+    return _assemble(table.select("grid", "ix", "iy", "x", "z").collect())
 
 
 def _assemble(rows) -> Grids:
