@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from cellwatch.llm.shared import slices
 
 #: Distinct words a worker keeps before it starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 500_000
 #: White_Space of Unicode, fixed values.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the characters that stand for a byte at a word's end begin; the private use area.
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary_path(vocabulary))
-        for batch in (part for whole in batches for part in slices(whole, text, 8 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, text, 5 << 20)):
             rows = codec.encode_all(batch.column(text).to_pylist())
             columns = [batch.column(f.name) for f in kept] + [
                 pa.array([r[0] for r in rows], pa.int64()),
