@@ -41,9 +41,11 @@ from cellwatch.llm.vectors import matrix, rows_of, usable, width
 TREES = 32
 BITS = 48
 NEAREST = 20
-SHARE = 0.75
+SHARE = 1.25
 PART_ROWS = 100_000
 EVERY = 20
+#: Scores in memory at a time.
+SCORES = 1 << 21
 
 
 @dataclass
@@ -104,29 +106,36 @@ def _best_of_part(bits: int, dimensions: int, nearest: int):
     """The best candidates of a part for each of its queries: those that share the first ``depth`` bits."""
 
     def work(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         index = index.sort_values(["bits", "id"], ignore_index=True)
         strings, ids = index["bits"].to_numpy(np.int64), index["id"].to_numpy(np.int64)
         vectors, asked = rows_of(index, "vector", np.float64, dimensions), rows_of(queries, "vector", np.float64, dimensions)
-        out = []
-        for query, own, depth, x in zip(queries["id"], queries["bits"], queries["depth"], asked):
-            low = (own >> (bits - depth)) << (bits - depth)
-            first, last = np.searchsorted(strings, [low, low + (1 << (bits - depth))])
-            if first == last:
-                continue
-            rough = vectors[first:last] @ x
-            rough[ids[first:last] == query] = -np.inf
-            if len(rough) > nearest:
-                bound = np.partition(rough, -nearest)[-nearest]
-                at = np.flatnonzero(rough >= bound - 1e-9 * max(1.0, abs(bound)))
-            else:
-                at = np.arange(len(rough))
-            at = at[rough[at] > -np.inf] + first
-            exact = (vectors[at] * x).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:nearest]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][order], "score": exact[order]}))
-        return pd.concat(out) if out else work(index[:0], queries)
+        names, depth = queries["id"].to_numpy(np.int64), queries["depth"].to_numpy(np.int64)
+        low = (queries["bits"].to_numpy(np.int64) >> (bits - depth)) << (bits - depth)
+        firsts, lasts = np.searchsorted(strings, low), np.searchsorted(strings, low + (1 << (bits - depth)))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # Queries with the same candidates share a product.
+        order = np.lexsort((lasts, firsts))
+        edges = np.flatnonzero(np.concatenate([[True], (firsts[order][1:] != firsts[order][:-1]) | (lasts[order][1:] != lasts[order][:-1]), [True]]))
+        for start, stop in zip(edges[:-1], edges[1:]):
+            first, last = firsts[order[start]], lasts[order[start]]
+            together = max(1, SCORES // max(1, last - first))
+            for at in range(start, stop, together) if last > first else ():
+                some = order[at:min(stop, at + together)]
+                rough = asked[some] @ vectors[first:last].T
+                for q, scores in zip(some, rough):
+                    own = ids[first:last] == names[q]
+                    if own.any():
+                        scores[own] = -np.inf
+                    best = np.arange(len(scores))
+                    if len(scores) > nearest:
+                        bound = np.partition(scores, -nearest)[-nearest]
+                        best = np.flatnonzero(scores >= bound - 1e-9 * max(1.0, abs(bound)))
+                    best = best[scores[best] > -np.inf] + first
+                    exact = (vectors[best] * asked[q]).sum(axis=1)
+                    top = np.lexsort((ids[best], -exact))[:nearest]
+                    found.append((np.full(len(top), names[q]), ids[best][top], exact[top]))
+        return pd.DataFrame({n: np.concatenate(c) if found else np.zeros(0, t) for n, c, t in zip(
+            ("query_id", "vec_id", "score"), zip(*found) if found else ((),) * 3, (np.int64, np.int64, np.float64))})
 
     return work
 
