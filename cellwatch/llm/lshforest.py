@@ -11,7 +11,9 @@ and returns its best, so candidates are never emitted.
 
 Trees are cut by their strings' first bits into parts of about ``PART_ROWS`` rows; a part
 that is still larger (equal or close vectors share all bits) is dealt over several tasks, and each
-of them answers for its rows.  Queries are rows by contract, their number is the caller's.
+of them answers for its rows.  Repeated rows and queries are made one before they are
+hashed, so they take no places and count no string twice; a row's number tells apart different
+vectors of an id.  Queries are rows by contract, their number is the caller's.
 
 ``share`` is the part of all rows, over all trees and with repetitions, that a query has to
 look at.  Vectors without structure need a large one: at 64 dimensions the twentieth
@@ -71,8 +73,16 @@ class Forest:
         return out
 
 
+def _different(vectors: DataFrame, label: str) -> DataFrame:
+    """``(row, vec_id, embedding)`` of the rows that take part, numbered, repeated ones and zeros at a vector's end left out."""
+    found = vectors.select("vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull())
+    zeros = F.array_position(F.transform(F.reverse("embedding"), lambda x: x != 0), True) - 1
+    found = found.select("vec_id", F.slice("embedding", 1, (F.size("embedding") - zeros).cast("int")).alias("embedding")).distinct()
+    return stored(found.withColumn("row", F.monotonically_increasing_id()), label)
+
+
 def _hashed(rows: DataFrame, forest: Forest, dimensions: int, query: bool) -> DataFrame:
-    """``(id, tree, bits, vector)`` for each row and tree."""
+    """``(row, id, tree, bits, vector)`` for each row and tree."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
@@ -81,11 +91,11 @@ def _hashed(rows: DataFrame, forest: Forest, dimensions: int, query: bool) -> Da
             trees = strings.shape[1]
             raw = [v.tobytes() for v in vectors]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(batch.column("vec_id").to_numpy(), trees)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(raw))),
+                *[pa.array(np.repeat(batch.column(c).to_numpy(), trees)) for c in ("row", "vec_id")], pa.array(np.tile(np.arange(trees, dtype=np.int32), len(raw))),
                 pa.array(strings.reshape(-1)), pa.array([r for r in raw for _ in range(trees)], pa.binary())],
-                ["id", "tree", "bits", "vector"])
+                ["row", "id", "tree", "bits", "vector"])
 
-    return rows.select("vec_id", "embedding").mapInArrow(work, "id long, tree int, bits long, vector binary")
+    return rows.select("row", "vec_id", "embedding").mapInArrow(work, "row long, id long, tree int, bits long, vector binary")
 
 
 def _depth_counts(bits: int, cut: int):
@@ -97,7 +107,7 @@ def _depth_counts(bits: int, cut: int):
         for n in range(cut, bits + 1):
             low = (asked >> (bits - n)) << (bits - n)
             counts[:, n - cut] = np.searchsorted(strings, low + (1 << (bits - n))) - np.searchsorted(strings, low)
-        return pd.DataFrame({"id": queries["id"].to_numpy(np.int64), "counts": pd.Series(list(counts), dtype=object)})
+        return pd.DataFrame({"row": queries["row"].to_numpy(np.int64), "counts": pd.Series(list(counts), dtype=object)})
 
     return work
 
@@ -107,15 +117,15 @@ def _best_of_part(bits: int, dimensions: int, nearest: int):
 
     def work(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         index = index.sort_values(["bits", "id"], ignore_index=True)
-        strings, ids = index["bits"].to_numpy(np.int64), index["id"].to_numpy(np.int64)
+        strings, ids, numbers = (index[c].to_numpy(np.int64) for c in ("bits", "id", "row"))
         vectors, asked = rows_of(index, "vector", np.float64, dimensions), rows_of(queries, "vector", np.float64, dimensions)
         names, depth = queries["id"].to_numpy(np.int64), queries["depth"].to_numpy(np.int64)
         low = (queries["bits"].to_numpy(np.int64) >> (bits - depth)) << (bits - depth)
         firsts, lasts = np.searchsorted(strings, low), np.searchsorted(strings, low + (1 << (bits - depth)))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        # Queries with the same candidates share a product.
+        found: list[tuple[np.ndarray, ...]] = []
+        # Queries with the same candidates share a product; a part may have none.
         order = np.lexsort((lasts, firsts))
-        edges = np.flatnonzero(np.concatenate([[True], (firsts[order][1:] != firsts[order][:-1]) | (lasts[order][1:] != lasts[order][:-1]), [True]]))
+        edges = np.flatnonzero(np.concatenate([[len(order) > 0], (firsts[order][1:] != firsts[order][:-1]) | (lasts[order][1:] != lasts[order][:-1]), [True]]))
         for start, stop in zip(edges[:-1], edges[1:]):
             first, last = firsts[order[start]], lasts[order[start]]
             together = max(1, SCORES // max(1, last - first))
@@ -133,9 +143,9 @@ def _best_of_part(bits: int, dimensions: int, nearest: int):
                     best = best[scores[best] > -np.inf] + first
                     exact = (vectors[best] * asked[q]).sum(axis=1)
                     top = np.lexsort((ids[best], -exact))[:nearest]
-                    found.append((np.full(len(top), names[q]), ids[best][top], exact[top]))
+                    found.append((np.full(len(top), names[q]), ids[best][top], numbers[best][top], exact[top]))
         return pd.DataFrame({n: np.concatenate(c) if found else np.zeros(0, t) for n, c, t in zip(
-            ("query_id", "vec_id", "score"), zip(*found) if found else ((),) * 3, (np.int64, np.int64, np.float64))})
+            ("query_id", "vec_id", "row", "score"), zip(*found) if found else ((),) * 4, (np.int64, np.int64, np.int64, np.float64))})
 
     return work
 
@@ -143,8 +153,7 @@ def _best_of_part(bits: int, dimensions: int, nearest: int):
 def search(embeddings: DataFrame, queries: DataFrame, nearest: int = NEAREST, share: float = SHARE, trees: int = TREES,
            bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's nearest rows; both have ``vec_id`` and ``embedding``."""
-    rows = embeddings.select("vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull())
-    queries = queries.select("vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull())
+    rows, queries = _different(embeddings, "forest-rows"), _different(queries, "forest-asked")
     found = rows.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"),
         F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")).collect()[0]
@@ -156,33 +165,33 @@ def search(embeddings: DataFrame, queries: DataFrame, nearest: int = NEAREST, sh
     sizes = stored(index.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("rows")), "forest-sizes")
     sizes = sizes.withColumn("pieces", F.ceil(F.col("rows") / part_rows).cast("int"))
     pieced = index.join(sizes.select("tree", "part", "pieces"), ["tree", "part"]).withColumn(
-        "piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+        "piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
 
     def pieces_of(part_queries: DataFrame) -> DataFrame:
         return part_queries.join(sizes.select("tree", "part", "pieces"), ["tree", "part"]).withColumn(
             "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
 
     place = ["tree", "part", "piece"]
-    own = pieced.select(*place, "bits").groupBy(*place).cogroup(pieces_of(asked.select("id", "tree", "part", "bits")).groupBy(*place))
-    counts = own.applyInPandas(_depth_counts(bits, cut), "id long, counts array<long>")
-    deep = counts.select("id", F.posexplode("counts").alias("depth", "n")).select("id", (F.col("depth") + cut).alias("depth"), "n")
+    own = pieced.select(*place, "bits").groupBy(*place).cogroup(pieces_of(asked.select("row", "tree", "part", "bits")).groupBy(*place))
+    counts = own.applyInPandas(_depth_counts(bits, cut), "row long, counts array<long>")
+    deep = counts.select("row", F.posexplode("counts").alias("depth", "n")).select("row", (F.col("depth") + cut).alias("depth"), "n")
     # Shorter prefixes than a part's: whole parts.
     above = sizes.select("tree", "part", "rows", F.explode(F.sequence(F.lit(0), F.lit(max(0, cut - 1)))).alias("depth")).where(F.lit(cut > 0))
     above = above.select("tree", "depth", F.expr(f"shiftright(part, {cut} - depth)").alias("prefix"), "rows").groupBy("tree", "depth", "prefix").agg(F.sum("rows").alias("n"))
-    shallow = asked.select("id", "tree", F.explode(F.sequence(F.lit(0), F.lit(max(0, cut - 1)))).alias("depth"), "part").where(F.lit(cut > 0))
-    shallow = shallow.select("id", "tree", "depth", F.expr(f"shiftright(part, {cut} - depth)").alias("prefix")).join(above, ["tree", "depth", "prefix"])
-    total = deep.unionByName(shallow.select("id", "depth", "n")).groupBy("id", "depth").agg(F.sum("n").alias("n"))
+    shallow = asked.select("row", "tree", F.explode(F.sequence(F.lit(0), F.lit(max(0, cut - 1)))).alias("depth"), "part").where(F.lit(cut > 0))
+    shallow = shallow.select("row", "tree", "depth", F.expr(f"shiftright(part, {cut} - depth)").alias("prefix")).join(above, ["tree", "depth", "prefix"])
+    total = deep.unionByName(shallow.select("row", "depth", "n")).groupBy("row", "depth").agg(F.sum("n").alias("n"))
     enough = max(float(nearest + 1) * 2, share * count)
-    depths = total.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("depth"))), F.lit(0)).alias("depth"))
-    deeper = asked.join(stored(depths, "forest-depths"), "id")
+    depths = total.groupBy("row").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("depth"))), F.lit(0)).alias("depth"))
+    deeper = asked.join(stored(depths, "forest-depths"), "row")
     # A prefix that is shorter than a part's takes in all parts below it.
     spread = F.greatest(F.lit(0), F.lit(cut) - F.col("depth"))
     base = F.expr(f"shiftright(part, greatest(0, {cut} - depth))")
     visits = deeper.withColumn("spread", spread).withColumn("base", base).withColumn(
         "part", F.explode(F.expr("sequence(shiftleft(base, spread), shiftleft(base + 1, spread) - 1)"))).drop("spread", "base")
-    answers = pieced.select(*place, "id", "bits", "vector").groupBy(*place).cogroup(
+    answers = pieced.select(*place, "row", "id", "bits", "vector").groupBy(*place).cogroup(
         pieces_of(visits).select(*place, "id", "bits", "vector", "depth").groupBy(*place))
-    best = answers.applyInPandas(_best_of_part(bits, dimensions, nearest), "query_id long, vec_id long, score double")
+    best = answers.applyInPandas(_best_of_part(bits, dimensions, nearest), "query_id long, vec_id long, row long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")

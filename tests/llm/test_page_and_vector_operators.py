@@ -272,3 +272,16 @@ def test_recall_and_parts(spark):
     for part_rows in (100_000, 100):
         found = lshforest.search(table, lshforest.queries_of(table), part_rows=part_rows)
         assert lshforest.measure_recall(found, exact) >= 0.9
+
+
+@pytest.mark.parametrize("copies, part_rows", [(4, 100_000), (25, 100)])
+def test_repeated_rows_take_no_places(spark, copies, part_rows):
+    """With each row there several times the answers are those of the rows once."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(r.standard_normal((400, 16)))]
+    rows += [(7, rows[9][1]), (20, rows[33][1])]  # ids with two vectors, one of them a query
+    once = spark.createDataFrame(rows, VECTORS)
+    often = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
+    often = often.unionByName(once.withColumn("embedding", F.concat("embedding", F.array(F.lit(0.0).cast("float")))))
+    want, got = (sorted(map(tuple, lshforest.search(t, lshforest.queries_of(t), part_rows=part_rows).collect())) for t in (once, often))
+    assert got == want and len(got) == 20 * 20
