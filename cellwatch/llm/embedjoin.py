@@ -9,8 +9,8 @@ ball, brings each vector to its home cell and to the cells that its ball reaches
 Pairs found are verified with the cosine of the original vectors in double precision.
 
 A pair counts in the first block that finds it, which either side's task can tell, so no list
-of pairs is made: a task returns each vector's number of links and a spanning forest
-of its links, and components come from the forests.  Equal vectors are one, with a
+of pairs is made: a task adds its pairs, ``PAIRS`` at a time, to each vector's number of links
+and to a spanning forest, returns these, and components come from the forests.  Equal vectors are one, with a
 weight.  Crowded cells are cut into chunks, and pairs of chunks are tasks of their own.
 The number of cells is bounded by geometry: axes of unit vectors run from -1 to 1.
 
@@ -154,6 +154,19 @@ def _forest(left: np.ndarray, right: np.ndarray, count: int) -> np.ndarray:
             return root
 
 
+def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``root``, the smallest position linked to each position, with more links taken in."""
+    left, right = root[left], root[right]
+    apart = left != right
+    if not apart.any():
+        return root
+    left, right = left[apart], right[apart]
+    used = np.union1d(left, right)
+    whole = np.arange(len(root))
+    whole[used] = used[_forest(np.searchsorted(used, left), np.searchsorted(used, right), len(used))]
+    return whole[root]
+
+
 def _cell_links(blocks: Blocks, dimensions: int, cosine: float, exact: type):
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         block = int(rows["block"].iloc[0])
@@ -175,16 +188,16 @@ def _cell_links(blocks: Blocks, dimensions: int, cosine: float, exact: type):
         along = near[:, min(GRID_AXES, len(axes) - 1)]
         homes, others = homes[np.argsort(along[homes])], others[np.argsort(along[others])]
         reach, ordered, there = blocks.reach[block], along[others], there[others]
-        links = np.zeros(len(rows), np.int64)
-        lefts, rights = [], []
+        # Pairs go into these, a block of them at a time, and are dropped.
+        links, met, root = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool), np.arange(len(rows))
         for start in range(0, len(homes), TOGETHER):
             some = homes[start:start + TOGETHER]
             low, high = np.searchsorted(ordered, [along[some[0]] - reach, along[some[-1]] + reach])
             close = here[some] @ there[low:high].T <= np.float32(blocks.budgets[block] + 4 * SLACK)
-            at = np.flatnonzero(close)
-            a, b = some[at // max(1, high - low)], others[low + at % max(1, high - low)]
-            for at in range(0, len(a), PAIRS):
-                x, y = a[at:at + PAIRS], b[at:at + PAIRS]
+            found = np.flatnonzero(close)
+            for at in range(0, len(found), PAIRS):
+                x, y = np.divmod(found[at:at + PAIRS], high - low)
+                x, y = some[x], others[low + y]
                 good = ids[x] != ids[y]
                 x, y = x[good], y[good]
                 good = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine * norms[x] * norms[y]
@@ -195,13 +208,10 @@ def _cell_links(blocks: Blocks, dimensions: int, cosine: float, exact: type):
                 good = within[:, block] & ~within[:, :block].any(axis=1)
                 x, y = x[good], y[good]
                 np.add.at(links, x, copies[y])
-                lefts.append(x)
-                rights.append(y)
-        left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
-        right = np.concatenate(rights) if rights else left
-        used = np.union1d(left, right)
-        root = _forest(np.searchsorted(used, left), np.searchsorted(used, right), len(used))
-        return pd.DataFrame({"id": ids[used], "links": links[used], "root": ids[used[root]]})
+                met[x] = met[y] = True
+                root = _joined(root, x, y)
+        used = np.flatnonzero(met)
+        return pd.DataFrame({"id": ids[used], "links": links[used], "root": ids[root[used]]})
 
     return work
 

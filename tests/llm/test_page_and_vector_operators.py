@@ -3,8 +3,10 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +226,34 @@ def test_budgets_miss_no_pair():
     assert (cosine >= 0.9).sum() > 500 and within.any(axis=0)[cosine >= 0.9].all()
 
 
+def test_links_of_a_large_group_need_no_list_of_pairs(monkeypatch):
+    """Memory of a cell's task doesn't grow with the pairs that it finds."""
+    monkeypatch.setattr(embedjoin, "PAIRS", 1 << 14)
+    n, d = 3000, 8
+    r = np.random.default_rng(3)
+    vectors = np.concatenate([1.0 + 1e-3 * r.standard_normal((n, d)), r.standard_normal((1, d)) - 3.0])
+    blocks = embedjoin.fit_blocks(vectors[:n], d, 0.9)
+    rows = pd.DataFrame({
+        "block": 0, "home": True, "id": np.arange(n + 1) * 7, "copies": 1, "rotated": [v.tobytes() for v in blocks.rotated(vectors)],
+        "vector": [v.tobytes() for v in vectors]})
+    work = embedjoin._cell_links(blocks, d, 0.9, np.float64)
+    tracemalloc.start()
+    got = work(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got["id"]) == [7 * i for i in range(n)] and set(got["links"]) == {n - 1} and set(got["root"]) == {0}
+    assert peak < n * n * 16 / 2
+
+
+def test_forests_grow_by_blocks_of_links():
+    r = np.random.default_rng(6)
+    left, right = r.integers(0, 500, 350), r.integers(0, 500, 350)
+    root = np.arange(500)
+    for at in range(0, 350, 40):
+        root = embedjoin._joined(root, left[at:at + 40], right[at:at + 40])
+    assert (root == embedjoin._forest(left, right, 500)).all()
+
+
 def test_empty_vectors(spark):
     nothing = spark.createDataFrame([], VECTORS)
     assert embedjoin.near_duplicates(nothing).count() == 0
