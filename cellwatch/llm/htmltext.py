@@ -278,7 +278,7 @@ def _container(order: list[Element]) -> list[Element]:
     while node is not None and node.tag != "article":
         node = node.parent
     if node is not None:
-        return [node]
+        best = node
     if best.parent is None:
         return [best]
     kept = []

@@ -119,6 +119,16 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+def test_main_text_over_two_articles():
+    """Articles and paragraphs beside the one with the best element are its siblings."""
+    strong = [f"Part {i}" + ", and so on" * 6 + ", to the end." for i in range(8)]
+    several = ["".join(f"<p>{x}</p>" for x in part) for part in (strong[:5], strong[5:7], strong[7:])]
+    page = f"<body><div><article>{several[0]}</article><article>{several[1]}</article>{several[2]}<article><p>{ARTICLE}</p></article></div></body>"
+    assert htmltext.main_text(page).split("\n") == strong
+    inner = f"<article><div><section>{several[0]}</section></div></article><article><div>{several[1]}{several[2]}</div></article>"
+    assert htmltext.main_text(f"<main>{inner}</main>").split("\n") == strong
+
+
 def test_long_and_odd_pages_end_soon():
     for page in ("<p>" * 50_000, '<a "' * 50_000, "<div><p>" * 20_000, "&amp" * 100_000, "</div>" * 50_000, "<li>" * 30_000):
         htmltext.main_text(page)
