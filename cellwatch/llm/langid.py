@@ -206,13 +206,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose text is in a known language, with their columns as they are."""
+    """The rows whose text is in a known language, with their columns as they are.
+
+    The bound is a score above 0: in some language more n-grams are found than false positives explain.
+    Texts without such a language go, whether they have letters or not.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text)):
-            names, _ = shared.value.predict(batch.column(text).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            names, score = shared.value.predict(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, score)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the labelled languages; those without a letter go."""
+    """Documents whose text is in one of the labelled languages; those in which no language is found go."""
     return langid.identified(docs, langid.train_on_documents(docs))
 
 

@@ -311,3 +311,12 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(5, 36, 5), (5, 36, 5), (7, 36, 5), (None, 36, 5), (None, 5, None)], key=str)
     assert ngramjoin.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_texts_in_no_known_language_go(spark):
+    table = docs(spark, [(i, words(i, 30), "a", None, None) for i in range(20)] + [(100 + i, words(i, 30, "uvwxyz"), "b", None, None) for i in range(20)])
+    model = langid.train(table)
+    odd = [(200, "ξεν γλω σσα", None, None, None), (201, "日本語", None, None, None), (202, "12 !", None, None, None), (203, None, None, None, None)]
+    got = langid.identified(table.unionByName(docs(spark, odd)), model).collect()
+    assert sorted(got) == sorted(table.collect())
+    assert langid.identify(docs(spark, odd), model).where("lang_pred <> 'und'").count() == 2
