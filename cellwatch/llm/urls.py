@@ -7,8 +7,8 @@ links carry block decisions from any member to members without a rule of their o
 url that a rule allows stays allowed whatever its aliases are; a url without a rule
 and without a blocked alias is allowed.
 
-Links come from the pages (``<link rel=canonical>`` and ``<meta http-equiv=refresh>``
-in the head) and, where given, from a table of crawled redirects.  A node is a url with its
+Links come from the pages (``<link rel=canonical>`` in the head and ``<meta http-equiv=refresh>``
+anywhere; tags in comments, scripts and other raw text are none) and, where given, from a table of crawled redirects.  A node is a url with its
 scheme and host in lower case and without its fragment.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits
@@ -93,6 +93,12 @@ def fitting_rule(host: Column, path: Column, among: list[Rule]) -> tuple[Column,
 _VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+#: A comment, an element of raw text, or a tag with its quoted values; what never ends goes to the page's end.
+_TOKEN = (
+    r"(?is)<!--(?:>|->|.*?(?:--!?>|\z))|<(script|style|title|textarea|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+    r"""|</?[a-z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+(?:>|\z)""")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     pattern = rf"(?is)[\s\"'/]{name}{_VALUE}"
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
@@ -118,17 +124,16 @@ def _resolved(found: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` nodes of canonical links and refresh redirects in the heads of pages."""
-    body = F.least(*[F.when(at > 0, at) for at in (F.instr(F.lower("html"), "<body"), F.instr(F.lower("html"), "</head"))])
-    head = F.when(body.isNull(), F.col("html")).otherwise(F.substring(F.col("html"), 1, body - 1))
-    head = F.regexp_replace(head, r"(?is)<!--.*?-->|<(script|style|title)\b.*?</\1", " ")
-    tags = pages.where("url is not null and html is not null").select(
-        "url", F.explode(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
+    """``(src, dst)`` nodes of canonical links in the heads and refresh redirects of pages."""
+    tokens = F.filter(F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:link|meta|body|/head)[\s/>]"))
+    found = pages.where("url is not null and html is not null").select("url", tokens.alias("tokens"))
+    ends = F.array_position(F.transform("tokens", lambda t: t.rlike(r"(?i)^<(?:body|/head)")), True)
+    tags = found.select("url", ends.alias("end"), F.posexplode("tokens").alias("at", "tag"))
     tag = F.col("tag")
     parts = tags.select(
-        "url", F.lower(F.substring("tag", 2, 4)).alias("kind"),
+        "url", ((F.col("end") == 0) | (F.col("at") + 1 < F.col("end"))).alias("in_head"), F.lower(F.substring("tag", 2, 4)).alias("kind"),
         *[_attribute(tag, name).alias(name) for name in ("rel", "href", "http-equiv", "content")])
-    canonical = F.when((F.col("kind") == "link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href"))
+    canonical = F.when(F.col("in_head") & (F.col("kind") == "link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href"))
     refresh = F.when(
         (F.col("kind") == "meta") & (F.lower("http-equiv") == "refresh"),
         F.regexp_extract("content", r"(?i)url\s*=\s*[\"']?([^\"']*)", 1))

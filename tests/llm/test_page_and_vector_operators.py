@@ -175,6 +175,19 @@ def test_blocks_reach_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block"}
 
 
+def test_links_behind_scripts_and_comments(spark):
+    canonical, refresh = '<link rel="canonical" href="http://b.com/{}">', '<meta http-equiv=refresh content="0; url=http://b.com/{}">'
+    bodies = [
+        "<head><script>x = '<body>'</script>" + canonical, "<head><!-- </head> <body> -->" + canonical,
+        "<head><meta content='a <script> or </head>'>" + canonical, "<head></head><body><p>it's</p>" + refresh,
+        "<body><script>'" + refresh + "'</script>", "<body><!-- " + refresh, "<body><textarea>" + refresh + "</textarea>",
+        "<head></head><body>" + canonical, "<head><script>x</SCRIPT ></head>" + canonical, "<head>" + "<a \"<!-- --><title>" * 3 + canonical]
+    rows = [(i, f"http://a.net/{i}", html.format(i)) for i, html in enumerate(bodies)]
+    got = {tuple(r) for r in urls.page_links(pages(spark, rows)).collect()}
+    assert got == {(f"http://a.net/{i}", f"http://b.com/{i}") for i in range(4)}
+    assert urls.page_links(pages(spark, [(1, "http://a.net/", x * 20_000) for x in ('<a "', '<a b="', "<!--", "<title>", "<meta ", "<")])).count() == 0
+
+
 # ---- vectors
 
 def vector_rows(n=260, d=24, seed=4):
