@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, embedjoin, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
+from cellwatch.llm import bpe, convtrie, embedjoin, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie_of_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_toxic_spans": op2_toxic_spans,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 
@@ -111,4 +116,7 @@ from judged
 
 def statements() -> dict[str, str]:
     """SQL of the operators that SQL expresses over whole tables; tests/llm compares the others with brute force."""
-    return {"op1_seekable_warc": WARC_SQL, "op4_url_equivalence": URL_SQL, "op9_poisson_mixing": mixing.oracle_sql()}
+    return {
+        "op1_seekable_warc": WARC_SQL, "op4_url_equivalence": URL_SQL, "op9_poisson_mixing": mixing.oracle_sql(),
+        "op11_conversation_trie": convtrie.oracle_sql(),
+    }
