@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, convtrie, embedjoin, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
+from cellwatch.llm import bpe, convtrie, embedjoin, hardneg, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie_of_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_toxic_spans": op2_toxic_spans,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op9_poisson_mixing": op9_poisson_mixing,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 
@@ -119,4 +124,5 @@ def statements() -> dict[str, str]:
     return {
         "op1_seekable_warc": WARC_SQL, "op4_url_equivalence": URL_SQL, "op9_poisson_mixing": mixing.oracle_sql(),
         "op11_conversation_trie": convtrie.oracle_sql(),
+        "op12_hard_negatives": hardneg.oracle_sql(),
     }
