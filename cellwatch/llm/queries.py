@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwatch.llm import bpe, convtrie, embedjoin, hardneg, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
+from cellwatch.llm import bpe, contextmix, convtrie, embedjoin, hardneg, htmltext, langid, lshforest, mixing, ngramjoin, toxicity, urls, warc
 from cellwatch.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_toxic_spans": op2_toxic_spans,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_bpe_codec": op10_bpe_codec,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_context_mixing": op13_context_mixing,
 }
 
 
