@@ -22,11 +22,11 @@ _LOWER[65:91] += 32
 _ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: lineage ends here."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
