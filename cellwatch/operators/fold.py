@@ -5,7 +5,8 @@ scans that may use its results.  Scans of one level need only columns of
 earlier levels, which fixes how many passes a cut order takes: per level one
 pass that summarizes each segment, then one pass that runs all of them.
 
-Orders that fit a task take a single pass after a single exchange.
+Orders that fit a task take a single pass after a single exchange.  In it the orders of an Arrow
+batch run side by side, a row of each at a time (``lanes.py``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle
+from .lanes import Lanes
 from .scans import Scan
 from .segments import SEGMENT, listed, split_long
 
@@ -65,6 +67,24 @@ class Program:
             cols = {**cols, **self.finish(cols)}
         return cols
 
+    def run_lanes(self, cols: dict, lengths: list[int], states: list[dict]) -> dict:
+        """``run`` of many orders whose rows follow each other, with the very same results.
+
+        ``lengths`` are the orders' rows, ``states`` the state each is entered with and, in the end, left with.
+        """
+        lanes = Lanes(np.array(lengths))
+        for level in self.levels:
+            if level.prepare:
+                cols = {**cols, **level.prepare(cols)}
+            for scan in level.scans:
+                out, after = scan.run_lanes(cols, lanes, [s[scan.name] for s in states])
+                for state, value in zip(states, after):
+                    state[scan.name] = value
+                cols = {**cols, **out}
+        if self.finish:
+            cols = {**cols, **self.finish(cols)}
+        return cols
+
     def columns(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         """The inputs of one Arrow batch as numpy columns, null numbers as NaN."""
         cols = {}
@@ -118,48 +138,51 @@ class _Walker:
 def _run_rows(program: Program, key: str, carry: list[str], schema: pa.Schema, with_state: bool):
     """Arrow map: every row with its results, and on request a state row per segment."""
 
-    def state_row(ident, states):
-        row = {key: ident[0], STATE: states if isinstance(states, str) else json.dumps(states)}
-        if SEGMENT in schema.names:
-            row[SEGMENT] = ident[1]
-        return pa.RecordBatch.from_pylist([row], schema=schema)
+    def state_rows(ended: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        for ident, states in ended:
+            row = {key: ident[0], STATE: states if isinstance(states, str) else json.dumps(states)}
+            if SEGMENT in schema.names:
+                row[SEGMENT] = ident[1]
+            rows.append(row)
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker, states, previous = _Walker(key), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = program.columns(batch)
-            results, ranges, finished = [], [], []
+            ranges, entered, finished = [], [], []
             for lo, hi, ident, begins, entry in walker.parts(batch):
                 if begins:
                     if with_state and previous is not None:
-                        finished.append(state_row(previous, states))
+                        finished.append((previous, states))
                     states, previous = {**program.initial(), **json.loads(entry or "{}")}, ident
                 if lo < hi:
                     ranges.append((lo, hi))
-                    done = program.run({n: c[lo:hi] for n, c in cols.items()}, states)
-                    results.append({n: done[n] for n in program.outputs})
-            if results:
+                    entered.append(states)
+            if ranges:
                 rows = batch
                 if sum(hi - lo for lo, hi in ranges) < batch.num_rows:
                     rows = batch.take(pa.array(np.concatenate([np.arange(*r) for r in ranges])))
+                # Orders of a batch run side by side; their states are updated in place.
+                done = program.run_lanes(program.columns(rows), [hi - lo for lo, hi in ranges], entered)
                 arrays = []
                 for field in schema:
                     if field.name in program.outputs:
-                        merged = np.concatenate([r[field.name] for r in results])
-                        arrays.append(pa.array(merged, type=field.type, from_pandas=False))
+                        arrays.append(pa.array(done[field.name], type=field.type, from_pandas=False))
                     elif field.name == STATE:
                         arrays.append(pa.nulls(rows.num_rows, field.type))
                     else:
                         arrays.append(rows.column(field.name).cast(field.type))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-            yield from finished
-            if with_state:
-                yield from (state_row(*kept) for kept in walker.kept)
+            if finished:
+                yield state_rows(finished)
+            if with_state and walker.kept:
+                yield state_rows(walker.kept)
             walker.kept.clear()
         if with_state and previous is not None:
-            yield state_row(previous, states)
+            yield state_rows([(previous, states)])
 
     return apply
 

@@ -18,6 +18,7 @@ import numpy as np
 
 from ..config import FourLevel, SPIKE_ROWS, TwoLevel
 from .alarms import alarm_table
+from .lanes import Lanes
 
 
 class Scan:
@@ -36,8 +37,60 @@ class Scan:
     def outputs(self) -> tuple[str, ...]:
         return (self.name,)
 
+    def run_lanes(self, cols, lanes: Lanes, states: list) -> tuple[dict, list]:
+        """``run`` of many orders: columns of all their rows, and the state each order ends in."""
+        parts, after = [], []
+        for lo, hi, state in zip(lanes.starts.tolist(), lanes.ends.tolist(), states):
+            out, state = self.run({n: cols[n][lo:hi] for n in self.inputs}, state)
+            parts.append(out)
+            after.append(state)
+        return {n: np.concatenate([p[n] for p in parts]) for n in self.outputs}, after
 
-class Decay(Scan):
+
+class Stepped(Scan):
+    """A recurrence that takes a row of all orders at a time.
+
+    ``packed`` turns states into arrays, one entry an order, and ``unpacked`` turns them back;
+    ``step`` takes these arrays and a row of each order and returns the arrays and outputs of
+    the types ``step_types``.  Rows and states get the same operations as in ``run``.
+    """
+
+    step_types: tuple = (np.float64,)
+
+    @property
+    def step_outputs(self) -> tuple[str, ...]:
+        return self.outputs
+
+    def step_inputs(self, cols) -> tuple[np.ndarray, ...]:
+        return (cols[self.inputs[0]],)
+
+    def outputs_of_steps(self, columns: list[np.ndarray], lanes: Lanes, states: list) -> dict:
+        return dict(zip(self.outputs, columns))
+
+    def run_lanes(self, cols, lanes, states):
+        ranked = lanes.ranked
+        now = self.packed([states[i] for i in ranked.tolist()])
+        parts: list[list[np.ndarray]] = [[] for _ in self.step_types]
+        for xs in lanes.steps(*self.step_inputs(cols)):
+            n = len(xs[0])
+            stepped, out = self.step(tuple(a[:n] for a in now), *xs)
+            for whole, some in zip(now, stepped):
+                whole[:n] = some
+            for part, values in zip(parts, out):
+                part.append(values)
+        columns = [lanes.collected(part, kind) for part, kind in zip(parts, self.step_types)]
+        ended = self.unpacked(now)
+        for rank, rows in lanes.rest():
+            out, ended[rank] = self.run({n: cols[n][rows] for n in self.inputs}, ended[rank])
+            for whole, name in zip(columns, self.step_outputs):
+                whole[rows] = out[name]
+        after = [None] * len(lanes)
+        for i, state in zip(ranked.tolist(), ended):
+            after[i] = state
+        return self.outputs_of_steps(columns, lanes, states), after
+
+
+class Decay(Stepped):
     """Exponential smoothing ``y = keep * y_before + (1 - keep) * x`` from 0.
 
     Its summary rounds otherwise than the rows do.
@@ -57,6 +110,16 @@ class Decay(Scan):
         ys = list(accumulate(cols[self.inputs[0]].tolist(), lambda y, x: keep * y + take * x, initial=state))
         return {self.name: np.array(ys[1:])}, ys[-1]
 
+    def packed(self, states):
+        return (np.array(states, np.float64),)
+
+    def unpacked(self, now):
+        return now[0].tolist()
+
+    def step(self, now, x):
+        y = self.keep * now[0] + (1 - self.keep) * x
+        return (y,), (y,)
+
     def unknown(self):
         return [1.0, 0.0]
 
@@ -69,7 +132,7 @@ class Decay(Scan):
         return summary[0] * state + summary[1]
 
 
-class Alarm(Scan):
+class Alarm(Stepped):
     """Reported level of a debounced alarm; the state is its state's name."""
 
     def __init__(self, name: str, x: str, thresholds: FourLevel | TwoLevel, with_state: bool = False):
@@ -101,6 +164,25 @@ class Alarm(Scan):
             out[f"{self.name}_state"] = np.array(names, dtype=object)[states[1:]]
         return out, names[states[-1]]
 
+    @property
+    def step_types(self):
+        return (self.table.level.dtype, object) if self.with_state else (self.table.level.dtype,)
+
+    def step_inputs(self, cols):
+        return (self.table.intervals(cols[self.inputs[0]]),)
+
+    def packed(self, states):
+        place = {name: i for i, name in enumerate(self.table.names)}
+        return (np.array([place[x] for x in states], np.int64),)
+
+    def unpacked(self, now):
+        return [self.table.names[i] for i in now[0].tolist()]
+
+    def step(self, now, offset):
+        at = offset + now[0]
+        after, level = self.table.next_state[at], self.table.level[at]
+        return (after,), (level, np.array(self.table.names, dtype=object)[after]) if self.with_state else (level,)
+
     def unknown(self):
         return list(range(len(self.table.names)))
 
@@ -127,7 +209,7 @@ def hold_step(count: int, held: float, x: float) -> tuple[int, float]:
     return count, x if count > SPIKE_ROWS else held
 
 
-class SpikeHold(Scan):
+class SpikeHold(Stepped):
     """Hold a value until the input has disagreed for more than ten rows.
 
     Whatever a segment was entered with, within ten rows it either meets the
@@ -159,6 +241,27 @@ class SpikeHold(Scan):
         before = np.concatenate(([state[1]], after[:-1]))
         return {self.name: after, f"{self.name}_before": before}, [count, held]
 
+    @property
+    def step_outputs(self):
+        return (self.name,)
+
+    def packed(self, states):
+        return np.array([s[0] for s in states], np.int64), np.array([s[1] for s in states], np.float64)
+
+    def unpacked(self, now):
+        return [list(s) for s in zip(now[0].tolist(), now[1].tolist())]
+
+    def step(self, now, x):
+        count, held = now
+        held = np.where(count == 0, x, held)
+        count = np.where(held == x, 1, np.minimum(count + 1, SPIKE_ROWS + 1))
+        held = np.where(count > SPIKE_ROWS, x, held)
+        return (count, held), (held,)
+
+    def outputs_of_steps(self, columns, lanes, states):
+        before = lanes.before(columns[0], np.array([s[1] for s in states], np.float64))
+        return {self.name: columns[0], f"{self.name}_before": before}
+
     def unknown(self):
         return {"seen": [], "met": [], "gave_up": []}
 
@@ -206,6 +309,10 @@ class Before(Scan):
         xs = cols[self.inputs[0]]
         return {self.name: np.concatenate(([state], xs[:-1]))}, float(xs[-1])
 
+    def run_lanes(self, cols, lanes, states):
+        xs = cols[self.inputs[0]]
+        return {self.name: lanes.before(xs, np.array(states, np.float64))}, xs[lanes.ends - 1].astype(float).tolist()
+
     def unknown(self):
         return self.default
 
@@ -242,6 +349,22 @@ class RunLength(Scan):
         out = {f"{self.name}_counter": counters, f"{self.name}_previous": previous_at}
         return out, [int(counters[-1]), int(previous_at[-1])]
 
+    def run_lanes(self, cols, lanes, states):
+        changed = cols[self.inputs[0]]
+        counter, previous = (np.array([s[i] for s in states], np.int64) for i in (0, 1))
+        at, of, since = np.arange(lanes.rows), lanes.of_row, lanes.since(changed)
+        changes = np.flatnonzero(changed)
+        # The run before a change began at the order's change before, or came in with it.
+        begun = np.concatenate(([-1], changes[:-1]))
+        entered = (lanes.starts - counter)[of[changes]]
+        lengths = np.zeros(lanes.rows, np.int64)
+        lengths[changes] = changes - np.where(begun >= lanes.starts[of[changes]], begun, entered)
+        counters = np.where(since >= 0, at - since + 1, (counter - lanes.starts)[of] + at + 1)
+        previous_at = np.where(since >= 0, lengths[np.maximum(since, 0)], previous[of])
+        last = lanes.ends - 1
+        after = [list(s) for s in zip(counters[last].tolist(), previous_at[last].tolist())]
+        return {f"{self.name}_counter": counters, f"{self.name}_previous": previous_at}, after
+
     def unknown(self):
         return {"lead": 0, "changes": 0, "counter": 0, "previous": 0}
 
@@ -275,6 +398,10 @@ class Total(Scan):
         sums = np.cumsum(cols[self.inputs[0]], dtype=np.int64) + state
         return {self.name: sums}, int(sums[-1])
 
+    def run_lanes(self, cols, lanes, states):
+        sums = lanes.running_sums(cols[self.inputs[0]], np.array(states, np.int64))
+        return {self.name: sums}, sums[lanes.ends - 1].tolist()
+
     def unknown(self):
         return 0
 
@@ -300,6 +427,17 @@ class LatestMarked(Scan):
         latest = values[source[-1]] if source[-1] >= 0 else latest
         return {self.name: picked[source + 1]}, [first, latest]
 
+    def run_lanes(self, cols, lanes, states):
+        values, marks = (cols[c] for c in self.inputs)
+        firsts = [v if s[0] is None else s[0] for s, v in zip(states, values[lanes.starts])]
+        entered = np.empty(len(lanes), dtype=object)
+        entered[:] = [f if s[1] is None else s[1] for s, f in zip(states, firsts)]
+        source = lanes.since(marks)
+        picked = np.where(source >= 0, values[np.maximum(source, 0)], entered[lanes.of_row])
+        last = source[lanes.ends - 1].tolist()
+        after = [[f, values[i] if i >= 0 else s[1]] for f, i, s in zip(firsts, last, states)]
+        return {self.name: picked}, after
+
     def unknown(self):
         return [None, None]
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from cellwatch.config import FourLevel, TwoLevel
+from cellwatch.operators.lanes import LEAST_LANES, Lanes
 from cellwatch.operators.scans import Alarm, Before, Decay, LatestMarked, RunLength, SpikeHold, Total
 
 FOUR = FourLevel(rise=(2, 4, 6, 8), settle=(1.5, 3.5, 5.5, 7.5), clear=(1, 3, 5, 7), debounce_rows=2)
@@ -110,3 +111,36 @@ def test_run_lengths(changes):
 def test_decay_keeps_nan():
     out, _ = Decay("s", "x", 0.9).run({"x": np.array([1.0, np.nan, 1.0])}, 0.0)
     assert out["s"][0] == pytest.approx(0.1) and np.isnan(out["s"][1:]).all()
+
+
+# Lengths of orders side by side: fewer and more than are stepped together, ragged, some of one row.
+LENGTHS = st.lists(st.integers(1, 30), min_size=1, max_size=2 * LEAST_LANES + 3)
+
+
+@pytest.mark.parametrize("scan", [*SCANS, Alarm("s", "x", FOUR, with_state=True)], ids=lambda s: type(s).__name__)
+@settings(max_examples=100, deadline=None)
+@given(lengths=LENGTHS, seed=st.integers(0, 10_000))
+def test_orders_side_by_side_equal_orders_alone(scan, lengths, seed):
+    r = np.random.default_rng(seed)
+    cols = columns(r.choice([0.0, 1.0, 2.5, 4.0, 6.5, 9.0, np.nan, 0.1], sum(lengths)).tolist())
+    lanes = Lanes(np.array(lengths))
+    # Some orders come with a state of earlier rows.
+    states = [scan.run(columns(r.choice([1.0, 4.0, 9.0], 5).tolist()), scan.initial())[1] if r.random() < 0.5 else scan.initial()
+              for _ in lengths]
+    got, after = scan.run_lanes(cols, lanes, json.loads(json.dumps(states)))
+    for i, (lo, hi) in enumerate(zip(lanes.starts, lanes.ends)):
+        out, end = scan.run({n: c[lo:hi] for n, c in cols.items()}, states[i])
+        assert json.dumps(after[i]) == json.dumps(end)
+        for name in scan.outputs:
+            a, b = got[name][lo:hi], out[name]
+            assert a.dtype == b.dtype or {a.dtype.kind, b.dtype.kind} <= set("if")
+            assert a.tolist() == b.tolist() or np.array_equal(a.astype(float), b.astype(float), equal_nan=True)
+
+
+def test_steps_and_rest_cover_every_row():
+    lanes = Lanes(np.array([3, 9, 1, 4, 9, 2, 5, 30]))
+    rows = np.arange(lanes.rows)
+    seen = [x for (xs,) in lanes.steps(rows) for x in xs.tolist()] + [x for _, part in lanes.rest() for x in rows[part].tolist()]
+    assert sorted(seen) == rows.tolist()
+    sizes = [len(xs) for (xs,) in lanes.steps(rows)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] == 8 and sizes[-1] >= LEAST_LANES
