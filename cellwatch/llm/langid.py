@@ -3,9 +3,10 @@
 Training counts each language's character n-grams (3 characters, letters in lower
 case, everything else a boundary) over all labelled texts.  A language's filter holds
 its n-grams that make up at least ``LEAST_SHARE`` of its n-grams and are not ``RIVAL``
-times rarer than in the language where they are most frequent.  All filters share one bit-sliced Bloom
-filter: a row of it is a bitmask of languages, and the AND of an n-gram's rows gives
-every language that contains it at once.
+times rarer than in the language where they are most frequent.  The filters of ``GROUP`` languages
+share one bit-sliced Bloom filter: a row of it is a bitmask of languages, and the AND of an
+n-gram's rows gives every language that contains it at once.  Each group's filter is as
+long as its own languages ask for, so any number of languages takes no more than their n-grams do.
 
 A text's n-grams are looked up, bits are counted per language, and the count is
 corrected for the filter's false positives: of ``n`` n-grams ``t`` in a language's
@@ -13,13 +14,15 @@ filter, ``t + (n - t) * f`` bits are expected at a false positive rate ``f``.  T
 language with the largest corrected count decides; the score is its part of all
 languages' corrected counts.
 
-What reaches the driver is bounded: a language has at most ``1 / LEAST_SHARE`` n-grams
-in its filter, and languages are a list of labels (``MOST_LANGUAGES``).
+What reaches the driver: a language has at most ``1 / LEAST_SHARE`` n-grams in its filter, so the
+model grows with the number of languages and not with the texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text
 none of whose n-grams is known gets the language with most training n-grams and score 0, as
 does, by the order of names, a tie of counts; without training rows every text is ``und``;
-a null lang or doc_id is never learned from, and a null doc_id is not held out.
+a null lang or doc_id is never learned from, and a null doc_id is not held out.  Rows that
+repeat are learned from and judged each by itself; texts are read whole, whatever their length;
+columns other than doc_id, text and lang are not looked at and stay as they are.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ from cellwatch.llm.shared import mixed, random_words, slices, stored
 
 LEAST_SHARE = 1e-5
 RIVAL = 10.0
-MOST_LANGUAGES = 512
+GROUP = 64
+#: Part of a text's n-grams that must be found in its language for the language to count as known.
+LEAST_FOUND = 0.25
 #: Rows of the filter for each n-gram in it, and rows set by an n-gram.
 ROWS_EACH = 16
 HASHES = 3
@@ -123,70 +128,80 @@ def _gram_counts(training: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class Model:
-    """Languages, the filter's rows (a word of bits each), false positive rates and training sizes."""
+    """Languages, each group's filter (a row a word of bits), false positive rates and training sizes."""
 
     languages: list[str]
-    rows: np.ndarray
+    filters: list[np.ndarray]
     rates: np.ndarray
     sizes: np.ndarray
 
-    def places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+    @staticmethod
+    def places(rows: int, hashes: np.ndarray) -> Iterator[np.ndarray]:
         step = mixed(hashes) | np.uint64(1)
         for i in range(HASHES):
-            yield ((hashes + np.uint64(i) * step) % np.uint64(len(self.rows))).astype(np.int64)
+            yield ((hashes + np.uint64(i) * step) % np.uint64(rows)).astype(np.int64)
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the words of its language bits."""
-        found = None
-        for place in self.places(hashes):
-            found = self.rows[place] if found is None else found & self.rows[place]
-        return found
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        hashes, bounds, has_letter = grams(texts)
+        """For each n-gram the words of its language bits, one for each group."""
+        out = np.empty((len(hashes), len(self.filters)), np.uint64)
+        for group, rows in enumerate(self.filters):
+            found = None
+            for place in self.places(len(rows), hashes):
+                found = rows[place] if found is None else found & rows[place]
+            out[:, group] = found
+        return out
+
+    def corrected(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each text and language how many of the text's n-grams are in its filter, less the false positives expected."""
         totals = np.diff(bounds).astype(np.float64)
-        corrected = np.zeros((len(texts), len(self.languages)))
-        if self.languages and len(hashes):
-            found = self.masks(hashes)
-            for i in range(len(self.languages)):
-                bits = (found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits, dtype=np.int64)])
-                hits = (sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.float64)
-                corrected[:, i] = np.maximum(0.0, (hits - totals * self.rates[i]) / (1.0 - self.rates[i]))
-        whole = corrected.sum(axis=1)
+        out = np.zeros((len(totals), len(self.languages)))
+        if not self.languages or not len(hashes):
+            return out
+        found = self.masks(hashes)
+        for i in range(len(self.languages)):
+            bits = (found[:, i // GROUP] >> np.uint64(i % GROUP)) & np.uint64(1)
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits, dtype=np.int64)])
+            hits = (sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.float64)
+            out[:, i] = np.maximum(0.0, (hits - totals * self.rates[i]) / (1.0 - self.rates[i]))
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and the part of the text's n-grams that are found in the language."""
+        hashes, bounds, has_letter = grams(texts)
+        corrected = self.corrected(hashes, bounds)
+        whole, most = corrected.sum(axis=1), corrected.max(axis=1, initial=0.0)
         best = np.argmax(corrected, axis=1) if self.languages else np.zeros(len(texts), np.int64)
         if self.languages:
             best = np.where(whole > 0, best, int(np.argmax(self.sizes)))
-        score = np.where(whole > 0, corrected.max(axis=1, initial=0.0) / np.where(whole > 0, whole, 1.0), 0.0)
+        score = np.where(whole > 0, most / np.where(whole > 0, whole, 1.0), 0.0)
         known = has_letter & bool(self.languages)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0)
+        part = np.where(known, most / np.maximum(np.diff(bounds), 1), 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0), part
 
 
 def train(training: DataFrame) -> Model:
     """A model of ``text`` and non-null ``lang``."""
     training = training.where("lang is not null and text is not null")
-    names = [r[0] for r in training.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names.sort()
+    names = sorted(r[0] for r in training.select("lang").distinct().collect())
     if not names:
-        return Model([], np.zeros((1, 1), np.uint64), np.zeros(0), np.zeros(0))
+        return Model([], [], np.zeros(0), np.zeros(0))
     counts = stored(_gram_counts(training, names), "grams")
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    whole = F.lit(1)
-    for lang, size in sizes.items():
-        whole = F.when(F.col("lang") == lang, F.lit(size)).otherwise(whole)
-    shares = counts.withColumn("share", F.col("n") / whole).where(F.col("share") >= LEAST_SHARE)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("size"))
+    sizes = {r["lang"]: r["size"] for r in totals.collect()}
+    shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("size")).where(F.col("share") >= LEAST_SHARE)
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
     kept = shares.join(most, "gram").where(F.col("share") * RIVAL >= F.col("most")).select("lang", "gram").toPandas()
     lang, gram = kept["lang"].to_numpy(np.int64), kept["gram"].to_numpy(np.int64).view(np.uint64)
-    rows = np.zeros((max(64, ROWS_EACH * len(np.unique(gram))), (len(names) + 63) // 64), np.uint64)
-    model = Model(names, rows, np.zeros(len(names)), np.array([float(sizes.get(i, 0)) for i in range(len(names))]))
-    for place in model.places(gram):
-        np.bitwise_or.at(rows, (place, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
-    for i in range(len(names)):
-        filled = ((rows[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()
-        model.rates[i] = filled ** HASHES
+    model = Model(names, [], np.zeros(len(names)), np.array([float(sizes.get(i, 0)) for i in range(len(names))]))
+    for first in range(0, len(names), GROUP):
+        here = lang // GROUP == first // GROUP
+        rows = np.zeros(max(64, ROWS_EACH * len(np.unique(gram[here]))), np.uint64)
+        for place in model.places(len(rows), gram[here]):
+            np.bitwise_or.at(rows, place, np.uint64(1) << (lang[here] % GROUP).astype(np.uint64))
+        model.filters.append(rows)
+        for i in range(first, min(first + GROUP, len(names))):
+            filled = ((rows >> np.uint64(i % GROUP)) & np.uint64(1)).mean()
+            model.rates[i] = filled ** HASHES
     return model
 
 
@@ -198,7 +213,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text)):
-            names, score = shared.value.predict(batch.column(text).to_pylist())
+            names, score, _ = shared.value.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score)], schema.names)
 
@@ -208,15 +223,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose text is in a known language, with their columns as they are.
 
-    The bound is a score above 0: in some language more n-grams are found than false positives explain.
-    Texts without such a language go, whether they have letters or not.
+    A language is known if at least ``LEAST_FOUND`` of the text's n-grams, beyond what false positives
+    explain, are in its filter.  Texts without such a language go, whether they have letters or not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text)):
-            names, score = shared.value.predict(batch.column(text).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, score)], pa.bool_()))
+            _, _, part = shared.value.predict(batch.column(text).to_pylist())
+            yield batch.filter(pa.array(part >= LEAST_FOUND))
 
     return docs.mapInArrow(work, docs.schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -217,11 +218,57 @@ def test_language_takes_odd_rows(spark):
     letters = {i: any(c.isalpha() for c in t or "") for i, t in enumerate(ODD)}
     for r in got:
         assert (r["lang_pred"] == "und") == (not letters[r["doc_id"]]) and 0.0 <= r["score"] <= 1.0
-    assert langid.identified(docs(spark, [(i, t, None, None, None) for i, t in enumerate(ODD)]), model).count() == sum(letters.values())
+    _, _, part = model.predict(ODD)
+    kept = langid.identified(docs(spark, [(i, t, None, None, None) for i, t in enumerate(ODD)]), model).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, p in enumerate(part) if p >= langid.LEAST_FOUND]
+    # Nothing of these is in a learned language.
+    assert not {ODD.index(t) for t in ODD if t and t.startswith("xxxx")} & {r["doc_id"] for r in kept}
     assert langid.predictions(docs(spark, [])).count() == 0
     assert {r["lang_pred"] for r in langid.predictions(docs(spark, [(1, "abc", None, None, None)])).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:03}": "".join(r.sample(letters, 5)) for k in range(600)}
+    rows = [(i, " ".join("".join(r.choice(own[lang]) for _ in range(6)) for _ in range(40)), lang, None, None)
+            for i, lang in enumerate([*own] * 4)]
+    got = langid.predictions(docs(spark, rows)).collect()
+    right = sum(x["lang_pred"] == rows[x["doc_id"]][2] for x in got if x["held_out"])
+    assert right > 0.9 * sum(x["held_out"] for x in got)
+    assert len(langid.train(docs(spark, rows)).filters) == 10
+
+
+def test_corrected_counts_are_those_of_sets(spark):
+    rows = language_rows()
+    table = docs(spark, rows)
+    model = langid.train(table)
+    counts = {}
+    for _, text, lang, _, _ in rows:
+        hashes, _, _ = langid.grams([text])
+        counts.setdefault(lang, Counter()).update(hashes.tolist())
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    kept = {lang: {g for g, x in own.items() if x >= langid.LEAST_SHARE and x * langid.RIVAL >= max(o.get(g, 0) for o in share.values())}
+            for lang, own in share.items()}
+    texts = [t for _, t, _, _, _ in rows[:60]]
+    hashes, bounds, _ = langid.grams(texts)
+    got = model.corrected(hashes, bounds)
+    for i in range(len(texts)):
+        mine = hashes[bounds[i]:bounds[i + 1]].tolist()
+        for k, lang in enumerate(model.languages):
+            assert got[i, k] == pytest.approx(sum(g in kept[lang] for g in mine), abs=1 + 0.02 * len(mine))
+
+
+def test_identification_of_repeated_and_long_rows(spark):
+    rows = language_rows()[:30]
+    model = langid.train(docs(spark, rows))
+    text = rows[0][1]
+    table = docs(spark, [(1, text, None, None, None)] * 3 + [(2, (text + " ") * 3000, None, None, None)]).withColumn("lang_pred", F.lit("own"))
+    got = langid.identify(table, model).collect()
+    assert {r["lang_pred"] for r in got} == {rows[0][2]} and len(got) == 4
+    assert langid.identified(table, model).columns == table.columns
+
+
 # ---- n-gram join
 
 def brute_components(rows):
