@@ -5,15 +5,17 @@ navigation, forms, and elements that are named or marked as menus, adverts, noti
 comments and the like) is left out.  Paragraphs pass points for their length and their
 commas to their ancestors: all to the parent, half to the grandparent, a third and so
 on beyond.  Points are discounted by the part of an element's text that is in links.
-The best element, or the article element around it, is the container; siblings of it
-that score well or are plain paragraphs are kept with it.
+The best element, or the article element around it, is the container.  Kept with it are
+siblings that score well, plain paragraphs, headings, lists, tables and quotations that are not mostly
+links, and divisions (not other articles) with a paragraph of their own and few links.  A page whose whole text
+stands in an article or main element named like something else is read without its names.
 
 The text has one line per block, in page order: character references decoded, white
 space inside a block (``<br>`` too) one space, blocks without text left out.
 
 Defined results: a null or empty html, and a page without any text, give an empty text;
 markup that never ends is read as far as it makes sense; repeated rows give a row each;
-pages of any length are read whole.
+pages of any length are read whole; of elements with equal scores the first is best.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ LEVELS = 5
 SIBLING_PART = 0.2
 SIBLING_LEAST = 10.0
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that go with an article's paragraphs.
+SUPPORT = frozenset("ul ol dl table figure details".split())
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
@@ -92,7 +98,8 @@ class Element:
             parent.children.append(self)
 
 
-def _left_out(tag: str, raw: str, in_article: bool) -> bool:
+def _left_out(tag: str, raw: str, in_article: bool, trusted: frozenset = frozenset()) -> bool:
+    """Whether an element is no part of a main text; elements of the tags ``trusted`` are not judged by their names."""
     if tag in LEFT_OUT:
         return True
     if tag == "header" and not in_article:
@@ -104,7 +111,7 @@ def _left_out(tag: str, raw: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").strip().lower() in LEFT_OUT_ROLES:
         return True
-    if tag in ("html", "body", "article", "main") or "articlebody" in found.get("itemprop", "").lower():
+    if tag in ("html", "body") or tag in trusted or "articlebody" in found.get("itemprop", "").lower():
         return False
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     content = not _CONTENT.isdisjoint(names)
@@ -120,8 +127,8 @@ def _left_out(tag: str, raw: str, in_article: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Element:
-    """The page's tree, texts decoded."""
+def parse(page: str, trusted: frozenset = frozenset()) -> Element:
+    """The page's tree, texts decoded; see ``_left_out`` for ``trusted``."""
     root = Element("html", None)
     here, at, size = root, 0, len(page)
     depth: dict[str, int] = {}  # open elements by tag, so that no search goes up in vain
@@ -191,7 +198,7 @@ def parse(page: str) -> Element:
         if tag == "br":
             text(" ")
             continue
-        node = Element(tag, here, here.out or _left_out(tag, token[3], bool(depth.get("article"))))
+        node = Element(tag, here, here.out or _left_out(tag, token[3], bool(depth.get("article")), trusted))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -268,6 +275,19 @@ def _score(order: list[Element]) -> None:
         node.score *= 1.0 - _density(node)
 
 
+def _has_paragraph(node: Element) -> bool:
+    """Whether an ordinary paragraph stands in the element."""
+    todo = [node]
+    while todo:
+        item = todo.pop()
+        if item.out:
+            continue
+        if _is_paragraph(item) and item.length >= LEAST_CHARACTERS:
+            return True
+        todo.extend(c for c in item.children if not isinstance(c, str))
+    return False
+
+
 def _container(order: list[Element]) -> list[Element]:
     """The best element, or the article around it, and the siblings that go with it."""
     best = max(order, key=lambda n: n.score)
@@ -292,7 +312,11 @@ def _container(order: list[Element]) -> list[Element]:
         elif sibling.tag in ("p", "pre", "blockquote") and sibling.length and (
                 density < 0.25 if sibling.length > 80 else density == 0.0 and bool(re.search(r"[.!?。！？]\W*$", _plain(sibling)))):
             kept.append(sibling)
-        elif sibling.tag in ("h1", "h2") and density < 0.25:
+        elif sibling.tag in HEADINGS and density < 0.25:
+            kept.append(sibling)
+        elif sibling.tag in SUPPORT and sibling.length and density < 0.5:
+            kept.append(sibling)
+        elif sibling.tag in ("div", "section") and sibling.length >= LEAST_CHARACTERS and density < 0.25 and _has_paragraph(sibling):
             kept.append(sibling)
     return kept
 
@@ -327,6 +351,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     order = _measure(parse(page))
+    if not order or not order[0].length:
+        # Everything stood in an article or main element with a name of something else.
+        order = _measure(parse(page, frozenset(("article", "main"))))
     if not order or not order[0].length:
         return ""
     _score(order)
