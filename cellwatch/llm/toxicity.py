@@ -9,7 +9,9 @@ transition table, by gradient steps on the log-likelihood.  A logistic model of
 chain's marginals (largest one, expected number of toxic tokens, that number per
 token) gives the document's score; it is weighted so that it holds for the labels' true
 proportion.  Both are fitted to a bounded sample: ``FIT_ROWS`` labelled documents a
-class at most, those with the smallest hash of their id.
+class at most, those with the smallest hash of their id, with ``FIT_BYTES`` of text, and one
+text of an id that several rows have; the chain to windows around ``FIT_TOKENS`` toxic tokens
+and as many others.
 
 Scoring runs the forward and backward passes over whole texts, all texts of a slice
 side by side.  Tokens whose marginal reaches 1/2 are the offending ones; runs of them
@@ -18,11 +20,13 @@ are spans, with offsets in code points.
 Defined results: null and empty texts score what a text without tokens scores; a
 repeated row scores alike; without labelled rows of both classes every score is the
 known share of toxic labels (0 without any); several labels of a document count as toxic if one is;
-a null doc_id is never learned from and is not held out.
+a null doc_id is never learned from and is not held out.  Other columns are not looked at; the
+stage that drops documents keeps them as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +38,12 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from cellwatch.llm.shared import Words, mixed, random_words, slices
 
 FIT_ROWS = 1500
+#: Bytes of a class's texts in the sample; a text that would go beyond is passed over.
+FIT_BYTES = 32 << 20
+#: The chain is fitted to windows around this many toxic tokens, and as many others, at most.
+FIT_TOKENS = 4000
+#: A feature that so many tokens of the sample have is known for contrast, even if it labels none.
+FREQUENT = 50
 PREFIXES = (4, 5, 6)
 #: A feature labels tokens if this many toxic documents have it, and if it is so many times as frequent in them.
 LEAST_DOCUMENTS = 5
@@ -199,8 +209,8 @@ def _fit_chain(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, voc
     where = np.flatnonzero(labels)
     generator = np.random.default_rng(7)
     picked = np.concatenate([
-        where if len(where) <= 4000 else generator.choice(where, 4000, replace=False),
-        generator.integers(0, features.shape[1], 4000)])
+        where if len(where) <= FIT_TOKENS else generator.choice(where, FIT_TOKENS, replace=False),
+        generator.integers(0, features.shape[1], FIT_TOKENS)])
     docs = np.searchsorted(bounds, picked, side="right") - 1
     begin = np.maximum(bounds[docs], picked - WINDOW // 2)
     size = np.minimum(bounds[docs + 1], begin + WINDOW) - begin
@@ -291,7 +301,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.md5(F.concat(F.lit("fit/"), F.col("doc_id").cast("string")))
     sample = [labelled.where(F.col("toxic") == F.lit(c)).orderBy(order).limit(FIT_ROWS) for c in (False, True)]
     ids = sample[0].unionByName(sample[1])  # at most twice FIT_ROWS rows, so their size is bounded
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").toArrow()
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    # Of an id that several rows have, one text; its size first, so that only texts within the bound come.
+    one = F.struct(F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"))
+    sizes = found.groupBy("doc_id", "toxic").agg(F.min(one).alias("one")).select("doc_id", "toxic", "one.size", "one.hash").collect()
+    kept, held = [], {False: 0, True: 0}
+    for row in sorted(sizes, key=lambda r: hashlib.md5(f"fit/{r['doc_id']}".encode()).digest()):
+        if held[row["toxic"]] + row["size"] <= FIT_BYTES:
+            held[row["toxic"]] += row["size"]
+            kept.append((row["doc_id"], row["hash"]))
+    wanted = docs.sparkSession.createDataFrame(kept, "doc_id long, hash long")
+    rows = (
+        found.withColumn("hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "hash"])
+        .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toArrow())
     seen, bounds, toxic = _sample_features(rows)
     if toxic.all() or not toxic.any() or not seen.shape[1]:
         whole = share[True] / (share[True] + share[False])
@@ -301,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     frequent = []
     for kind in seen:
         words, counts = np.unique(kind, return_counts=True)
-        frequent.append(words[(counts >= 50) & (words != 0)])
+        frequent.append(words[(counts >= FREQUENT) & (words != 0)])
     vocabulary = np.union1d(chosen, np.concatenate(frequent))
     model = Model()
     if len(vocabulary):
