@@ -15,7 +15,7 @@ counts; an empty table gives an empty result.  Columns of the input stay as they
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellwatch.llm.shared import own_column, stored
 
@@ -36,10 +36,11 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
                      others: float = 0.0) -> DataFrame:
     """``(source, rate)``; ``weights`` gives target shares, else shares to the power of ``smoothing``."""
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
-    total = F.sum("size").over(_everything())
+    sizes = stored(sizes, "mix-sizes")  # a row per source, read twice
+    totals = sizes.agg(F.sum("size").alias("size"), F.sum(F.pow(F.col("size"), F.lit(smoothing))).alias("smooth")).collect()[0]
+    total = F.lit(totals["size"] or 0.0)
     if weights is None:
-        raw = F.pow(F.col("size"), F.lit(smoothing))
-        target = raw / F.sum(raw).over(_everything()) * total
+        target = F.pow(F.col("size"), F.lit(smoothing)) / F.lit(totals["smooth"] or 1.0) * total
         rate = target / F.col("size")
     else:
         whole = float(sum(weights.values()))
@@ -49,20 +50,12 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
     return sizes.select("source", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # over one row per source
-
-
 def poisson_tables(rates: DataFrame) -> DataFrame:
     """``(source, cumulative)``: the distribution function at 0, 1, 2, ... up to where double precision ends.
 
     Its length grows with the rate, as the copies of each document do.  Probabilities
     are summed logarithms, so that a large rate doesn't underflow.
     """
-    from pyspark.sql import Window
-
     steps = rates.select(
         "source", "rate",
         F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int"))).alias("k"))
