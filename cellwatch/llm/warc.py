@@ -219,5 +219,7 @@ def read_archives(folder: str, index: DataFrame, payloads: bool = True) -> DataF
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
 
-    ordered = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "start")
+    # A task for each bundle: adaptive execution would go by the index's size, which is small.
+    bundles = max(1, index.select("bundle").distinct().count())
+    ordered = index.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "start")
     return ordered.mapInArrow(work, RECORD)
