@@ -439,6 +439,34 @@ def stream_equals_batch(spark, sf):
     return _round_events(events)
 
 
+def stream_of_late_rows(spark, sf):
+    """Events of a stream in which rows around the cut between its triggers have changed places."""
+    from ..streaming.stream import replay
+
+    telemetry = derived_telemetry(spark, sf)
+    near = F.abs(F.unix_timestamp(F.col("reltime").cast("timestamp")) - F.unix_timestamp(F.lit(RESUME_AT), "yyyy-MM-dd")) < 43_200
+    swapped = near & (F.col("event_id") % 3 == 0)
+    first = (F.col("dt") < RESUME_AT) != swapped
+    events, _ = replay(spark, [telemetry.where(first), telemetry.where(~first)], sample_grids(), Config(), TIE,
+                       extra=(F.col("wp").alias("wp_level"),), lateness="25 hours")
+    return _round_events(events)
+
+
+def stream_from_batch(spark, sf):
+    """Events of a batch run up to a date and of a stream that goes on from its states."""
+    from ..streaming.stream import replay
+
+    telemetry, grids = derived_telemetry(spark, sf), sample_grids()
+    path = scratch_path(spark, "first-run")
+    safety.safety_rows(telemetry.where(F.col("dt") < RESUME_AT), grids, tiebreak=TIE, with_state=True,
+                       sizes=order_sizes(spark, sf)).write.parquet(path)
+    folded, level = spark.read.parquet(path), F.col("wp").alias("wp_level")
+    events, _ = replay(spark, [telemetry.where(F.col("dt") >= RESUME_AT)], grids, Config(), TIE, extra=(level,),
+                       states=folded.where(F.col(STATE).isNotNull()).select(KEY, STATE))
+    first = safety.event_columns(folded.where(F.col(STATE).isNull()), ("event_id", level))
+    return _round_events(first.unionByName(events))
+
+
 QUERIES: dict[str, Query] = {
     "scan_date_range": scan_date_range,
     "grid_load": grid_load,
@@ -484,4 +512,6 @@ QUERIES: dict[str, Query] = {
     "resume_equals_full": resume_equals_full,
     "resume_after_failure": resume_after_failure,
     "stream_equals_batch": stream_equals_batch,
+    "stream_of_late_rows": stream_of_late_rows,
+    "stream_from_batch": stream_from_batch,
 }

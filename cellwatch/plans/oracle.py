@@ -480,6 +480,8 @@ def statements() -> dict[str, str]:
             source=HEAT_SOURCE.replace("from feat", "from sound")),
         "resume_equals_full": _safety(EVENT_SELECT),
         "stream_equals_batch": _safety(EVENT_SELECT),
+        "stream_of_late_rows": _safety(EVENT_SELECT),
+        "stream_from_batch": _safety(EVENT_SELECT),
         "sink_roundtrip": _safety('select dt "day", count(*) "rows", count(distinct row_id) events,'
                                   " sum(cap)::bigint cap_total from flagged group by 1"),
     }

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Config
 from ..operators.features import KEY, features, with_soc
-from ..operators.fold import ERROR, Program
+from ..operators.fold import ERROR, Program, STATE
 from ..plans.safety import TIME, event_columns, safety_program
 from ..session import scratch_path
 from ..sources.grids import Grids
@@ -21,40 +23,120 @@ from ..sources.sinks import DAY
 BATCH = "batch"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FAILED = "failed"
+#: Key of the row that ends a replay.
+NO_ORDER = "no order"
+
+
+#: Column by which the watermark goes, and seconds of telemetry that wait together.
+EVENT_TIME, BUCKET_SECONDS = "event_time", 600
+#: Rows of one call that are sorted at once; more go through the state store, bucket by bucket.
+CHUNK_ROWS = 50_000
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(raw)).read_all().to_pandas()
 
 
 class OrderProcessor(StatefulProcessor):
     """Runs the program over the rows that arrive for an order.
 
-    Rows of one micro-batch are put in order; rows of different micro-batches
-    have to arrive in order.  An order with an unusable row reports that row
-    once and yields nothing from then on; rows of earlier micro-batches are out.  What a call holds in memory is bounded by
-    what a trigger admits (``maxFilesPerTrigger`` and the like).
+    Without a lateness, rows of one micro-batch are put in order and run at once; rows of
+    different micro-batches have to arrive in order.  With one, rows wait in the state store, in
+    buckets of ``bucket_seconds``, until the watermark has passed their bucket, and then run in
+    order; rows that come later than that are left out by Spark, which counts them.
+
+    What a call holds is a chunk of ``chunk_rows`` or the rows of a bucket: a call with more rows puts
+    them into buckets as they come and runs these one after the other.  An order with an unusable
+    row reports that row once and yields nothing from then on; see ``sound_events`` for what it gave before.
     """
 
-    def __init__(self, program: Program, order: Sequence[str], columns: Sequence[str], keep_seconds: int | None = None):
+    def __init__(self, program: Program, order: Sequence[str], columns: Sequence[str], keep_seconds: int | None = None,
+                 waits: bool = False, bucket_seconds: int = BUCKET_SECONDS, chunk_rows: int = CHUNK_ROWS):
         self.program, self.order, self.columns, self.keep_seconds = program, list(order), list(columns), keep_seconds
+        self.waits, self.bucket_seconds, self.chunk_rows = waits, bucket_seconds, chunk_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         keep = None if self.keep_seconds is None else self.keep_seconds * 1000
+        self.handle = handle
         self.carried = handle.getValueState("carried", "states string", ttlDurationMs=keep)
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary", ttlDurationMs=keep)
+        self.parts = handle.getValueState("parts", "n long", ttlDurationMs=keep)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """An order goes on from the state that a batch run has left."""
+        self.carried.update((initialState[STATE].iloc[0],))
+
+    def _states(self) -> dict:
+        return {**self.program.initial(), **json.loads(self.carried.get()[0])} if self.carried.exists() else self.program.initial()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        states = json.loads(self.carried.get()[0]) if self.carried.exists() else self.program.initial()
-        if FAILED in states:
+        if FAILED in self._states():
             return
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
-        broken = arrived[arrived[ERROR].notna()].head(1)
-        if len(broken):
+        held, count, broken, spilled = [], 0, None, self.waits
+        for frame in rows:
+            bad = frame[frame[ERROR].notna()]
+            if len(bad):
+                broken = pd.concat([bad] if broken is None else [broken, bad]).sort_values(self.order, ignore_index=True).head(1)
+            if broken is not None:
+                continue
+            held.append(frame)
+            count += len(frame)
+            if spilled or count > self.chunk_rows:
+                for one in held:
+                    self._put(one)
+                held, spilled = [], True
+        if broken is not None:
+            self.waiting.clear()
             self.carried.update((json.dumps({FAILED: broken[ERROR].iloc[0]}),))
             yield broken.assign(**dict.fromkeys(self.program.outputs, None))[self.columns]
+        elif not spilled:
+            states = self._states()
+            yield self._run(held, states)
+            self.carried.update((json.dumps(states),))
+        elif not self.waits:
+            yield from self._release(None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(timerValues.getCurrentWatermarkInMs())
+
+    def _put(self, frame: pd.DataFrame) -> None:
+        """Rows into the state store, by bucket."""
+        number = self.parts.get()[0] if self.parts.exists() else 0
+        for bucket, part in frame.groupby((frame["epoch"] // self.bucket_seconds).astype("int64")):
+            self.waiting.updateValue((int(bucket), number), (_packed(part),))
+            number += 1
+            if self.waits:
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket_seconds * 1000)
+        self.parts.update((number,))
+
+    def _release(self, until: int | None) -> Iterator[pd.DataFrame]:
+        """Run the buckets that end by ``until`` (in milliseconds), all of them without one, in order."""
+        places = sorted((int(b), int(n)) for b, n in self.waiting.keys())
+        places = [p for p in places if until is None or (p[0] + 1) * self.bucket_seconds * 1000 <= until]
+        if not places:
             return
+        states = self._states()
+        for _, group in groupby(places, key=lambda p: p[0]):
+            here = list(group)
+            yield self._run([_unpacked(bytes(self.waiting.getValue(p)[0])) for p in here], states)
+            for place in here:
+                self.waiting.removeKey(place)
+        self.carried.update((json.dumps(states),))
+
+    def _run(self, frames: list[pd.DataFrame], states: dict) -> pd.DataFrame:
+        arrived = pd.concat(frames).sort_values(self.order, ignore_index=True)
         cols = {n: arrived[n].to_numpy() for n in self.program.inputs}
         cols = {n: c if n in self.program.text_inputs else c.astype(float) for n, c in cols.items()}
         results = self.program.run(cols, states)
-        self.carried.update((json.dumps(states),))
-        out = arrived.assign(**{n: results[n] for n in self.program.outputs})
-        yield out[self.columns]
+        return arrived.assign(**{n: results[n] for n in self.program.outputs})[self.columns]
 
     def close(self) -> None:
         pass
@@ -62,13 +144,18 @@ class OrderProcessor(StatefulProcessor):
 
 def stream_rows(
     telemetry: DataFrame, grids: Grids, config: Config = Config(), tiebreak: Sequence[str] = (),
-    keep_seconds: int | None = None,
+    keep_seconds: int | None = None, lateness: str | None = None, states: DataFrame | None = None,
 ) -> DataFrame:
     """Processed rows of a telemetry stream, and one ``error`` row per failed order.
 
     An order's state goes ``keep_seconds`` after its last rows, by default never; rows
-    that come later start anew.  Rows without an order are left out.
+    that come later start anew.  Rows without an order are left out.  With a ``lateness``
+    (``"30 minutes"``) rows may come out of order across micro-batches by so much, and wait
+    as long; it excludes ``keep_seconds``.  ``states`` (order, ``state``) are what a batch run has left, from
+    which the stream's first micro-batch goes on.
     """
+    if lateness is not None and keep_seconds is not None:
+        raise ValueError("a stream that waits for late rows goes by event time and cannot drop states by processing time")
     program = safety_program(config, grids)
     feats = with_soc(features(telemetry, tuple(tiebreak)), grids)
     carry = [KEY, *tiebreak, TIME, "dt", "batteryid", "volt_min", "temp_id", "temp_max", ERROR]
@@ -76,21 +163,36 @@ def stream_rows(
         [T.StructField(c, feats.schema[c].dataType) for c in carry]
         + [T.StructField(n, t) for n, t in program.outputs.items()])
     needed = list(dict.fromkeys([*carry, *program.inputs]))
-    return feats.select(*needed).where(F.col(KEY).isNotNull()).groupBy(KEY).transformWithStateInPandas(
-        statefulProcessor=OrderProcessor(program, [TIME, *tiebreak], schema.names, keep_seconds),
-        outputStructType=schema, outputMode="Append", timeMode="None" if keep_seconds is None else "ProcessingTime")
+    rows = feats.select(*needed).where(F.col(KEY).isNotNull())
+    if lateness is not None:
+        rows = rows.withColumn(EVENT_TIME, F.timestamp_seconds("epoch")).withWatermark(EVENT_TIME, lateness)
+    mode = "EventTime" if lateness is not None else "None" if keep_seconds is None else "ProcessingTime"
+    return rows.groupBy(KEY).transformWithStateInPandas(
+        statefulProcessor=OrderProcessor(program, [TIME, *tiebreak], schema.names, keep_seconds, lateness is not None),
+        outputStructType=schema, outputMode="Append", timeMode=mode,
+        initialState=None if states is None else states.select(KEY, STATE).groupBy(KEY))
+
+
+def sound_events(events: DataFrame, failed: DataFrame) -> DataFrame:
+    """Events of the orders that have not failed.
+
+    A stream has written an order's events before it meets the row that fails it; the batch leaves such an
+    order out.  Reading the event table this way gives what the batch gives.
+    """
+    return events.join(failed.select(KEY).distinct(), KEY, "left_anti").select(*events.columns)
 
 
 def start_events(
     telemetry: DataFrame, target: str, failed: str, checkpoint: str, grids: Grids, config: Config = Config(),
     tiebreak: Sequence[str] = (), trigger: dict | None = None, keep_seconds: int | None = None,
-    extra: Sequence[Column | str] = (),
+    extra: Sequence[Column | str] = (), lateness: str | None = None, states: DataFrame | None = None,
 ):
     """Start the stream into two parquet folders, the event table and the failed orders; returns the streaming query.
 
     Events have the columns of the batch job, those of ``tiebreak`` and ``extra``, and are
     partitioned by ``day`` and micro-batch.  The source should bound a micro-batch
-    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): an order's rows of one are in memory together.
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``), as each is written as a whole.  For ``lateness`` and
+    ``states`` see ``stream_rows``; ``states`` count when the checkpoint is new.
     ``config`` must not change between runs on one checkpoint.
     """
     telemetry.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -104,7 +206,7 @@ def start_events(
         rows.unpersist()
 
     return (
-        stream_rows(telemetry, grids, config, tiebreak, keep_seconds)
+        stream_rows(telemetry, grids, config, tiebreak, keep_seconds, lateness, states)
         .writeStream.foreachBatch(write).outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -113,13 +215,20 @@ def start_events(
 
 def replay(
     spark: SparkSession, parts: Sequence[DataFrame], grids: Grids, config: Config = Config(),
-    tiebreak: Sequence[str] = (), extra: Sequence[Column | str] = (),
+    tiebreak: Sequence[str] = (), extra: Sequence[Column | str] = (), lateness: str | None = None, states: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Feed ``parts`` to one stream, a run each, and return the events and the failed orders it has written."""
+    """Feed ``parts`` to one stream, a run each, and return the events of sound orders and the failed orders.
+
+    With a ``lateness``, a row of no order, far ahead in time, comes last, so that no row is left waiting.
+    """
     work = scratch_path(spark, "replay")
+    if lateness is not None:
+        kind = parts[-1].schema[TIME].dataType
+        parts = [*parts, parts[-1].limit(1).withColumns({KEY: F.lit(NO_ORDER), TIME: F.lit("2200-01-01 00:00:00").cast(kind)})]
     for part in parts:
         part.write.mode("append").parquet(f"{work}/in")
         source = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1000).parquet(f"{work}/in")
-        start_events(source, f"{work}/events", f"{work}/failed", f"{work}/state", grids, config, tiebreak, extra=extra).awaitTermination()
+        start_events(source, f"{work}/events", f"{work}/failed", f"{work}/state", grids, config, tiebreak, extra=extra,
+                     lateness=lateness, states=states).awaitTermination()
     failed = spark.read.schema(f"{KEY} string, {ERROR} string, {BATCH} int").parquet(f"{work}/failed")
-    return spark.read.parquet(f"{work}/events").drop(DAY, BATCH), failed.drop(BATCH)
+    return sound_events(spark.read.parquet(f"{work}/events").drop(DAY, BATCH), failed), failed.drop(BATCH)

@@ -174,3 +174,72 @@ def test_stream_keeps_state_and_drops_failed_orders(spark, telemetry, grids, tmp
     assert lost not in set(got[KEY]) and len(got) == len(want)
     for c in EVENT_COLUMNS:
         assert (got[c] == want[c]).all(), c
+
+
+def test_stream_waits_for_late_rows_and_takes_back_what_failed_orders_gave(spark, telemetry, grids):
+    some = telemetry.where(F.col("event_id") % 2 == 0).withColumn(
+        "bcs_currentmeasure", F.when(F.col("event_id") == 950, "off").otherwise(F.col("bcs_currentmeasure").cast("string")))
+    lost = some.where("event_id = 950").first()[KEY]
+    # Rows of two days change places across the triggers.
+    cut, swapped = F.col("dt") >= "2024-01-15", F.col("dt").isin("2024-01-14", "2024-01-15") & (F.col("event_id") % 4 == 0)
+    parts = [some.where(cut == swapped), some.where(cut != swapped)]
+    events, failed = replay(spark, parts, grids, tiebreak=TIE, lateness="3 days")
+    assert [r[KEY] for r in failed.collect()] == [lost]
+    got, want = frame(events), frame(safety.event_columns(safety.safety_rows(some, grids, tiebreak=TIE), TIE))
+    assert lost not in set(got[KEY]) and len(got) == len(want)
+    for c in EVENT_COLUMNS:
+        assert (got[c] == want[c]).all(), c
+
+
+class Store:
+    """What the processor keeps, in memory."""
+
+    def __init__(self):
+        self.values, self.entries, self.most = {}, {}, 0
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        store = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in store)
+            get = staticmethod(lambda: store[name])
+            update = staticmethod(lambda v: store.__setitem__(name, v))
+
+        return Value
+
+    def getMapState(self, name, key, value, ttlDurationMs=None):
+        class Map:
+            keys = staticmethod(lambda: iter(list(self.entries)))
+            getValue = staticmethod(lambda k: self.entries[k])
+            updateValue = staticmethod(lambda k, v: self.entries.__setitem__(k, v))
+            removeKey = staticmethod(lambda k: self.entries.pop(k))
+            clear = staticmethod(self.entries.clear)
+
+        return Map
+
+
+def test_a_call_with_many_rows_runs_bucket_by_bucket(telemetry, grids):
+    """A million rows would be the same: what is sorted at once is a bucket, not the call."""
+    from cellwatch.operators.features import features, with_soc
+    from cellwatch.streaming.stream import OrderProcessor
+
+    rows = with_soc(features(telemetry, TIE), grids).where("error is null").withColumn(KEY, F.lit("one")).toPandas()
+    program = safety_program(Config(), grids)
+    columns = [KEY, "event_id", "reltime", *program.outputs]
+
+    def run(chunk_rows):
+        processor = OrderProcessor(program, ["reltime", "event_id"], columns, bucket_seconds=86_400, chunk_rows=chunk_rows)
+        store = Store()
+        processor.init(store)
+        shuffled = rows.sample(frac=1, random_state=3)
+        calls = [shuffled.iloc[i:i + 100] for i in range(0, len(shuffled), 100)]
+        out = list(processor.handleInputRows(("one",), iter(calls), None))
+        assert not store.entries
+        return out, store.values["carried"]
+
+    (whole,), state = run(10**9)
+    parts, state_of_parts = run(200)
+    assert len(parts) > 20 and max(map(len, parts)) < len(rows) / 10 and state == state_of_parts
+    import pandas as pd
+
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
