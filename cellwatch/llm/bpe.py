@@ -276,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary_path(vocabulary))
-        for batch in (part for whole in batches for part in slices(whole, text, 5 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, text, 2 << 20)):
             rows = codec.encode_all(batch.column(text).to_pylist())
             columns = [batch.column(f.name) for f in kept] + [
                 pa.array([r[0] for r in rows], pa.int64()),
