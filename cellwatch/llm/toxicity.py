@@ -177,7 +177,7 @@ def _sample_features(rows: pa.Table, minima: int = 8, alike: int = 3) -> tuple[n
                 continue
             for mark in set(marks):
                 seen.setdefault(mark, []).append(len(lengths))
-            features.append(own[:, low:high])
+            features.append(own[:, low:high].copy())  # a view would hold the slice's features
             lengths.append(high - low)
             toxic.append(label)
     joined = np.concatenate(features, axis=1) if features else np.zeros((1 + len(PREFIXES), 0), np.uint64)
@@ -201,7 +201,11 @@ def _token_labels(features: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -
         sure = (bad >= max(LEAST_DOCUMENTS, LEAST_PART * toxic.sum())) & (ratio >= LEAST_RATIO) & (bad - 3 * np.sqrt(bad) > 3 * np.sqrt(good + 1))
         chosen.append(words[sure])
     telling = np.unique(np.concatenate(chosen))
-    return telling, np.isin(features, telling).any(axis=0) & toxic[docs]
+    # Kind by kind: what numpy's isin needs for all of them at once is many times their size.
+    found = np.zeros(features.shape[1], bool)
+    for hashes in features if len(telling) else ():
+        found |= telling[np.minimum(np.searchsorted(telling, hashes), len(telling) - 1)] == hashes
+    return telling, found & toxic[docs]
 
 
 def _fit_chain(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
