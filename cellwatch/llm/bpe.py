@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cellwatch.llm.shared import slices
+from cellwatch.llm.shared import giving_back, slices
 
 #: Distinct words a worker keeps before it starts anew.
 MOST_WORDS = 500_000
@@ -288,4 +288,4 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [f.name for f in added])
 
     names_needed = list(dict.fromkeys([f.name for f in kept] + [text]))
-    return docs.select(*names_needed).mapInArrow(work, StructType(kept + added))
+    return docs.select(*names_needed).mapInArrow(giving_back(work), StructType(kept + added))

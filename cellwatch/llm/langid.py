@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from cellwatch.llm.shared import mixed, random_words, slices, stored
+from cellwatch.llm.shared import giving_back, mixed, random_words, slices, stored
 
 LEAST_SHARE = 1e-5
 RIVAL = 10.0
@@ -122,7 +122,7 @@ def _gram_counts(training: DataFrame, names: list[str]) -> DataFrame:
                 size = 0
         yield from flush()
 
-    counted = training.select("lang", "text").mapInArrow(work, "lang int, gram long, n long")
+    counted = training.select("lang", "text").mapInArrow(giving_back(work), "lang int, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score)], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(giving_back(work), schema)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -233,7 +233,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _, _, part = shared.value.predict(batch.column(text).to_pylist())
             yield batch.filter(pa.array(part >= LEAST_FOUND))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(giving_back(work), docs.schema)
 
 
 FOLDS, HELD_OUT = 4, 2

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cellwatch.llm.components import components
-from cellwatch.llm.shared import Words, mixed, own_column, random_words, slices, stored
+from cellwatch.llm.shared import Words, giving_back, mixed, own_column, random_words, slices, stored
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -92,7 +92,7 @@ def text_keys(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key", "n"])
 
     schema = StructType([docs.schema["doc_id"], StructField("key", BinaryType()), StructField("n", LongType())])
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(work), schema)
 
 
 def _pack(grams: np.ndarray) -> bytes:
@@ -172,7 +172,7 @@ def segments(docs: DataFrame, bits: int) -> DataFrame:
             if rows is not None:
                 yield rows
 
-    return docs.select("text").mapInArrow(work, SEGMENT)
+    return docs.select("text").mapInArrow(giving_back(work), SEGMENT)
 
 
 #: What a fragment returns to a slice: its n-grams that other texts have too, each with a rank that

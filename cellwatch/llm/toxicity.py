@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from cellwatch.llm.shared import Words, mixed, random_words, slices
+from cellwatch.llm.shared import Words, giving_back, mixed, random_words, slices
 
 FIT_ROWS = 1500
 #: Bytes of a class's texts in the sample; a text that would go beyond is passed over.
@@ -376,7 +376,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 *batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(np.diff(found.bounds)),
                 pa.array(np.bincount(docs_of, minlength=len(found)).astype(np.int64)), pa.array(spans, span_type)], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(giving_back(work), schema)
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -390,7 +390,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = marginals(model.emissions(token_features(found)), found.bounds, model.transitions)
             yield batch.filter(pa.array(model.document_score(document_features(p, found.bounds)) < 0.5))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(giving_back(work), docs.schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
