@@ -8,7 +8,8 @@ a shared prefix is worked out once, and no merge list is applied to any word.
 
 Whether one token may follow another depends on the two alone: undoing their merges
 from the latest to the earliest, no merge across their border may come before the
-ones undone.  Answers are kept in a table.
+ones undone.  Answers are kept in a table.  A worker keeps its vocabulary, answers and words
+from task to task; their numbers are bounded, and what is left out is worked out again.
 
 Defined results: a null text is an empty one, with no tokens; rows stay as they are,
 so repeated ids give repeated rows; texts of any length are encoded whole.  Output
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from cellwatch.llm.shared import giving_back, slices
 
-#: Distinct words a worker keeps before it starts anew.
-MOST_WORDS = 500_000
+#: Distinct words a worker keeps; beyond that, it goes on with those of the slice at hand.
+MOST_WORDS = 150_000
+#: Pairs of tokens whose answer is kept.
+MOST_PAIRS = 500_000
 #: White_Space of Unicode, fixed values.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the characters that stand for a byte at a word's end begin; the private use area.
@@ -194,12 +198,16 @@ class Codec:
         self.space = regex.compile(f"[{WHITE_SPACE}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.vocabulary.special)) + ")") \
             if self.vocabulary.special else None
-        self.forget()
-
-    def forget(self) -> None:
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
 
+    def keep(self, words: set[str]) -> None:
+        """Forget all words but these, and answers if there are too many."""
+        self.ids = {w: x for w, x in self.ids.items() if w in words}
+        self.decoded = {w: x for w, x in self.decoded.items() if w in words}
+        if len(self.vocabulary.known_follows) > MOST_PAIRS:
+            self.vocabulary.known_follows.clear()
+
     def learn(self, words: set[str]) -> None:
         pieces = {}
         for word in words:
@@ -239,9 +247,10 @@ class Codec:
             for words in part:
                 if not isinstance(words, int):
                     met.update(words)
-        if len(self.ids) + len(met) > MOST_WORDS:
-            self.forget()
-        self.learn(met - self.ids.keys())
+        new = met - self.ids.keys()
+        if len(self.ids) + len(new) > MOST_WORDS:
+            self.keep(met)
+        self.learn(new)
         names, known, decoded = self.vocabulary.texts, self.ids.__getitem__, self.decoded.__getitem__
         rows = []
         for part in parts:
@@ -252,6 +261,12 @@ class Codec:
         return rows
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The codec of a worker, for all its tasks."""
+    return Codec(path)
+
+
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """Tokens joined by a space, as a file without a decoder asks for; unknown ids are passed over."""
     return " ".join(vocabulary.texts[i] for i in ids if i in vocabulary.texts)
@@ -275,7 +290,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
     kept = [docs.schema[c] for c in keep if c.lower() not in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary_path(vocabulary))
+        codec = codec_of(vocabulary_path(vocabulary))
         for batch in (part for whole in batches for part in slices(whole, text, 2 << 20)):
             rows = codec.encode_all(batch.column(text).to_pylist())
             columns = [batch.column(f.name) for f in kept] + [

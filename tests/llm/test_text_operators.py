@@ -102,6 +102,18 @@ def test_encodings_are_the_librarys(library):
         assert decoded == bpe.decode(want, codec.vocabulary)
 
 
+def test_encodings_with_few_kept_words_are_the_same(library, monkeypatch):
+    codec = bpe.Codec(bpe.vocabulary_path())
+    monkeypatch.setattr(bpe, "MOST_WORDS", 20)
+    monkeypatch.setattr(bpe, "MOST_PAIRS", 30)
+    r = random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(r.choices("aeinst", k=r.randint(1, 7))) for _ in range(r.randint(0, 30))) for _ in range(5)]
+        for text, (_, ids, _) in zip(texts, codec.encode_all(texts)):
+            assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+        assert len(codec.ids) == len(codec.decoded) <= 20 + 5 * 30
+
+
 def test_bpe_query_takes_odd_rows(spark, library):
     table = docs(spark, [(i, t, None, None, None) for i, t in enumerate(ODD)] + [(0, None, None, None, None)]).withColumn("ids", F.lit(5))
     got = bpe.encode(table).collect()
