@@ -8,8 +8,9 @@ a shared prefix is worked out once, and no merge list is applied to any word.
 
 Whether one token may follow another depends on the two alone: undoing their merges
 from the latest to the earliest, no merge across their border may come before the
-ones undone.  Answers are kept in a table.  A worker keeps its vocabulary, answers and words
-from task to task; their numbers are bounded, and what is left out is worked out again.
+ones undone.  Answers are kept in a table.  A worker keeps its vocabulary and answers
+from task to task, and words within a task; their numbers are bounded, and what is left out is
+worked out again.
 
 Defined results: a null text is an empty one, with no tokens; rows stay as they are,
 so repeated ids give repeated rows; texts of any length are encoded whole.  Output
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 from cellwatch.llm.shared import giving_back, slices
 
 #: Distinct words a worker keeps; beyond that, it goes on with those of the slice at hand.
-MOST_WORDS = 150_000
+MOST_WORDS = 200_000
 #: Pairs of tokens whose answer is kept.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 200_000
 #: White_Space of Unicode, fixed values.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where the characters that stand for a byte at a word's end begin; the private use area.
@@ -131,6 +132,12 @@ class Vocabulary:
                 right, before = right_parts[1], 2 * right_parts[0] + 2
 
 
+@lru_cache(maxsize=1)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The vocabulary of a worker, for all its tasks."""
+    return Vocabulary(path)
+
+
 def encode_words(words: list[str], vocabulary: Vocabulary) -> dict[str, list[int]]:
     """Token ids of distinct words, given as pieces: one walk over their trie, depth first."""
     trie: dict = {}
@@ -191,7 +198,7 @@ class Codec:
     """Texts to token ids, with the words met so far kept."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary_of(path)
         symbols = byte_symbols()
         self.inner = symbols
         self.last = [chr(_LAST + ord(s)) for s in symbols]
@@ -261,12 +268,6 @@ class Codec:
         return rows
 
 
-@lru_cache(maxsize=1)
-def codec_of(path: str) -> Codec:
-    """The codec of a worker, for all its tasks."""
-    return Codec(path)
-
-
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """Tokens joined by a space, as a file without a decoder asks for; unknown ids are passed over."""
     return " ".join(vocabulary.texts[i] for i in ids if i in vocabulary.texts)
@@ -290,7 +291,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", text: str = "
     kept = [docs.schema[c] for c in keep if c.lower() not in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(vocabulary_path(vocabulary))
+        codec = Codec(vocabulary_path(vocabulary))
         for batch in (part for whole in batches for part in slices(whole, text, 2 << 20)):
             rows = codec.encode_all(batch.column(text).to_pylist())
             columns = [batch.column(f.name) for f in kept] + [
