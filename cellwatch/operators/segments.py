@@ -56,11 +56,12 @@ def split_long(
     # At most `limit` rows are meant for a segment, so this many parts; an order's end and the next one's start share one.
     parts = max(2, ceil(total / limit))
     bound = parts + count
-    names = listed(keys.select(key), bound)
+    names = listed(keys.select(F.col(key).alias("long_key")), bound)
+    is_long = F.col(key).eqNullSafe(F.col("long_key"))  # rows without a key are one order
     cut = (
-        rows.join(names, key, "left_semi")
+        rows.join(names, is_long, "left_semi")
         .repartitionByRange(parts, key, *order)
         .sortWithinPartitions(key, *order)
         .withColumn(SEGMENT, F.spark_partition_id())
     )
-    return Split(rows.join(names, key, "left_anti"), settle(cut), keys, bound)
+    return Split(rows.join(names, is_long, "left_anti"), settle(cut), keys, bound)

@@ -41,12 +41,14 @@ class Timeline:
             local = Window.partitionBy(self.key, SEGMENT).orderBy(*self.order)
             earlier = Window.partitionBy(self.key).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
             parts = self.long.groupBy(self.key, SEGMENT).agg(part.alias("part"))
-            carried = parts.select(self.key, SEGMENT, combine(F.col("part")).over(earlier).alias("carried"))
+            carried = parts.select(F.col(self.key).alias("of_key"), F.col(SEGMENT).alias("of_segment"),
+                                   combine(F.col("part")).over(earlier).alias("carried"))
+            same = F.col(self.key).eqNullSafe(F.col("of_key")) & (F.col(SEGMENT) == F.col("of_segment"))
             self.long = settle(
-                self.long.join(listed(carried, self.bound), [self.key, SEGMENT], "left")
+                self.long.join(listed(carried, self.bound), same, "left")
                 .withColumn("first_row", F.row_number().over(local) == 1)
                 .withColumn(name, joined(running(local), F.col("carried")))
-                .drop("carried", "first_row"))
+                .drop("of_key", "of_segment", "carried", "first_row"))
         return self
 
     def with_column(self, name: str, value: Column) -> "Timeline":

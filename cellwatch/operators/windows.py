@@ -67,3 +67,9 @@ def fault_rates(faults: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     rows = sizes.groupBy(key).agg(F.count("*").alias("rows"))
     return totals.join(rows, key).select(
         key, "rows", *[(F.col(f"{f}_total") / F.col("rows")).alias(f"{f}_rate") for f in FAULTS])
+
+
+def running_fault_rates(totals: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Add the faults so far per row of the whole order, where skipped rows count as rows."""
+    rows = sizes.groupBy(key).agg(F.count("*").alias("rows"))
+    return totals.join(rows, key).withColumns({f"{f}_rate": F.col(f"{f}_total") / F.col("rows") for f in FAULTS}).drop("rows")

@@ -268,6 +268,11 @@ def fault_rate(spark, sf):
     return r6_all(rates, "isc_rate", "cap_rate", "heat_rate")
 
 
+def running_fault_rate(spark, sf):
+    rates = windows.running_fault_rates(_fault_rows(spark, sf), order_sizes(spark, sf), KEY)
+    return rates.select("event_id", *[F.round(f"{f}_rate", 9).alias(f"{f}_rate") for f in windows.FAULTS])
+
+
 # --- keyed folds -------------------------------------------------------------
 
 def _fold(spark, sf, rows: DataFrame, scans, inputs, outputs) -> DataFrame:
@@ -495,6 +500,7 @@ QUERIES: dict[str, Query] = {
     "last_fault_dt": last_fault_dt,
     "distinct_orders": distinct_orders,
     "fault_rate": fault_rate,
+    "running_fault_rate": running_fault_rate,
     "ewma": ewma,
     "ewma_delta": ewma_delta,
     "temp_hold": temp_hold,

@@ -1,16 +1,40 @@
 """The registered queries in SQL for an independent engine.
 
 Column and window queries are plain SQL.  Keyed folds are recursive queries
-that walk each order row by row.
+that walk each order row by row.  Thresholds, cell constants, breaks and grids are
+stated here by themselves, so that a wrong constant of the pipeline shows.
 """
 
 from __future__ import annotations
 
-from ..config import Cell, Config, FourLevel, TwoLevel
-from ..sources.grids import SAMPLE_BREAKS
+from typing import NamedTuple
+
 from . import catalog
 
-CONFIG = Config()
+
+class Levels(NamedTuple):
+    """Thresholds of an alarm, from level 1 up."""
+
+    rise: tuple[float, ...]
+    settle: tuple[float, ...]
+    clear: tuple[float, ...]
+
+
+# Alarm thresholds.
+WP = Levels((1.03, 1.23, 1.43, 1.63), (0.93, 1.13, 1.33, 1.53), (0.85, 1.05, 1.25, 1.45))
+WSOC = Levels((0.066, 0.106, 0.146, 0.186), (0.056, 0.096, 0.136, 0.176), (0.046, 0.086, 0.126, 0.166))
+WTT = Levels((7.0, 11.0, 15.0, 19.0), (6.0, 10.0, 14.0, 18.0), (5.0, 9.0, 13.0, 17.0))
+WV = Levels((0.07, 0.12), (0.05, 0.1), (0.03, 0.08))
+WT = Levels((8.0, 12.0), (7.0, 11.0), (6.0, 10.0))
+# Thresholds of single queries.
+SCALED_WP = Levels((5.0, 10.0, 20.0, 40.0), (4.0, 8.0, 16.0, 32.0), (3.0, 6.0, 12.0, 24.0))
+VALUE_LEVELS = Levels((20.0, 40.0, 60.0, 80.0), (15.0, 35.0, 55.0, 75.0), (10.0, 30.0, 50.0, 70.0))
+
+# Breaks of the sample grids.
+TEMPS = (-20.0, 0.0, 25.0, 60.0)
+RATES = (0.0, 0.5, 1.0, 4.0)
+SOC = (0.0, 0.05, 0.15, 0.9, 0.95, 1.0)
+OCV = (3.0, 3.3, 3.4, 3.5, 3.6, 4.2)
 
 
 def d(x: float) -> str:
@@ -65,9 +89,6 @@ def curve(x: str, xs, ys) -> str:
     return f"case {cases} else {pieces[-1]} end"
 
 
-OCV, SOC = SAMPLE_BREAKS["OCV_break"], SAMPLE_BREAKS["SOC_break"]
-
-
 def clamp(x: str, lo: float, hi: float) -> str:
     return f"greatest({d(lo)}, least({d(hi)}, {x}))"
 
@@ -95,7 +116,7 @@ feat as (select *, volt_avg - volt_min delta_v, temp_max - temp_avg delta_t,
 
 # --- alarms --------------------------------------------------------------------
 
-def _reached(t: FourLevel | TwoLevel, x: str, above: int) -> list[tuple[int, str]]:
+def _reached(t: Levels, x: str, above: int) -> list[tuple[int, str]]:
     """(level, condition) for levels over ``above``, highest first."""
     return [(k, f"{x} >= {d(t.rise[k - 1])}") for k in range(len(t.rise), above, -1)]
 
@@ -104,9 +125,9 @@ def _rest(level: int) -> str:
     return f"warn{level}" if level else "normal"
 
 
-def alarm_sql(t: FourLevel | TwoLevel, state: str, x: str) -> tuple[str, str]:
+def alarm_sql(t: Levels, state: str, x: str) -> tuple[str, str]:
     """Next state and reported level, as expressions over the state before and the input."""
-    top, four = len(t.rise), isinstance(t, FourLevel)
+    top, four = len(t.rise), len(t.rise) == 4
     next_, level = [f"when {state} = 'start' then 'normal'"], [f"when {state} = 'start' then 0"]
     for k in range(1, top + 1):
         at = f"{state} = 'pending{k}'"
@@ -175,12 +196,11 @@ HEAT_STATE = {
 }
 
 
-def heat_stages(cell: Cell) -> list[dict[str, str]]:
-    keep = cell.heat_decay
+def heat_stages() -> list[dict[str, str]]:
+    keep = 0.999
 
     def power(slope: str, excess: str) -> str:
-        return (f"{slope} * {d(cell.mass)} * {d(cell.heat_capacity)} + "
-                f"{excess} * {d(cell.convection)} * {d(cell.area)}")
+        return f"{slope} * 1.0e0 * 900e0 + {excess} * 15e0 * 0.01e0"
 
     return [
         *HOLD_STAGES,
@@ -215,11 +235,11 @@ SAFETY_STATE = {
     **HEAT_STATE, "delta_p": ZERO, "delta_soc": ZERO, "drift": ZERO, **_alarm_state("wp", "wsoc", "wtt", "wv", "wt"),
 }
 SAFETY_STAGES = [
-    *heat_stages(CONFIG.cell),
+    *heat_stages(),
     SMOOTH_STAGE,
-    {**_alarm_stage("wp", CONFIG.wp, "n_delta_p"), **_alarm_stage("wsoc", CONFIG.wsoc, "n_delta_soc"),
-     **_alarm_stage("wtt", CONFIG.wtt, "n_drift"), **_alarm_stage("wv", CONFIG.wv, "delta_v"),
-     **_alarm_stage("wt", CONFIG.wt, "delta_t")},
+    {**_alarm_stage("wp", WP, "n_delta_p"), **_alarm_stage("wsoc", WSOC, "n_delta_soc"),
+     **_alarm_stage("wtt", WTT, "n_drift"), **_alarm_stage("wv", WV, "delta_v"),
+     **_alarm_stage("wt", WT, "delta_t")},
 ]
 FLAGS = """
 flagged as (select r.*, o.reltime, o.batteryid, o.dt, o.volt_min, o.temp_id, o.temp_max,
@@ -247,41 +267,97 @@ EVENT_SELECT = """select row_id event_id, wp wp_level, reltime, orderid, isc "IS
 
 
 # --- Kalman SOC ------------------------------------------------------------------
-# The sample grids are linear in each direction, so their bilinear lookup is the
-# formula itself at clamped coordinates.
-
-def resistance(scale: float, temp: str, y: str) -> str:
-    return f"({d(scale)} * (1 + {y}) * (1 - {temp} / 200))"
-
 
-def model_sql(temp: str, current: str, soc: str) -> dict[str, str]:
-    t = clamp(temp, -20.0, 60.0)
-    rate, s = clamp(f"abs({current} / 150e0)", 0.0, 4.0), clamp(soc, 0.0, 1.0)
-    mirrored = [20 + 40 * y for y in reversed(SOC)]
+def grid_nodes() -> dict[str, list[float]]:
+    """The nodes of all grids by the formulas of the test data, row by row; tau runs the other way along its rows."""
+    def nodes(value, across) -> list[float]:
+        return [value(x, y) for x in TEMPS for y in across]
+
+    resistances = {
+        "R0_C": lambda x, y: 0.002 * (1 + 0.917364813 * y ** 2) * (1 - x / 200),
+        "R0_D": lambda x, y: 0.003 * (2 - 0.051736481 * y ** 2) * (1 + x ** 2 / 9000),
+        "R1_C": lambda x, y: 0.001 * (1 + y + 0.817364813 * y ** 2) * (1 - x / 200),
+        "R1_D": lambda x, y: 0.0015 * (1 + 0.517364813 * y ** 2) * (1 + x ** 2 / 8000),
+    }
     return {
-        "r0": f"{resistance(0.002, t, rate)} * {resistance(0.002, t, s)}",
-        "r1": f"{resistance(0.001, t, rate)} * {resistance(0.001, t, s)}",
-        "tao": curve(f"({s})", SOC, mirrored),
-        "ocv": f"(3.2e0 + 0.6e0 * {s} + 0.0005e0 * {t})",
-        "dvds": "0.6e0",
+        **{f"TI2{name}": nodes(value, RATES) for name, value in resistances.items()},
+        **{f"TSOC2{name}": nodes(value, SOC) for name, value in resistances.items()},
+        "TSOC2tao_C": nodes(lambda x, y: 20 + 40 * y + 0.0917364813 * (x + 20) * y ** 2, SOC[::-1]),
+        "TSOC2tao_D": nodes(lambda x, y: 30 + 25.17364813 * y ** 2 + x / 10, SOC[::-1]),
+        "TSOC2OCV": nodes(lambda x, y: 3.2 + 0.5 * y + 0.1173648129 * y ** 2 + 0.0000053719 * x ** 2, SOC),
+        "TSOC2dVdS": nodes(lambda x, y: 0.6 + 0.3173648129 * y ** 2 + 0.001 * x, SOC),
     }
 
 
+def item(values, at: str) -> str:
+    return f"([{', '.join(map(d, values))}])[{at}]"
+
+
+def bracket(x: str, breaks) -> str:
+    """Number, from 1, of the break at or before ``x``, the last one apart."""
+    return f"len(list_filter([{', '.join(map(d, breaks[:-1]))}], lambda b: b <= {x}))"
+
+
+def bilinear(grid: str, t: str, ti: str, y: str, yi: str) -> str:
+    """Value of a grid inside its cell ``ti``, ``yi``: each corner counts by the rectangle opposite to it."""
+    nodes, across = grid_nodes()[grid], RATES if grid.startswith("TI") else SOC
+    x0, x1 = item(TEMPS, ti), item(TEMPS, f"{ti} + 1")
+    y0, y1 = item(across, yi), item(across, f"{yi} + 1")
+
+    def corner(i: int, j: int) -> str:
+        return item(nodes, f"({ti} - 1 + {i}) * {len(across)} + {yi} + {j}")
+
+    return (f"(({corner(0, 0)} * ({x1} - {t}) * ({y1} - {y}) + {corner(1, 0)} * ({t} - {x0}) * ({y1} - {y})"
+            f" + {corner(0, 1)} * ({x1} - {t}) * ({y} - {y0}) + {corner(1, 1)} * ({t} - {x0}) * ({y} - {y0}))"
+            f" / (({x1} - {x0}) * ({y1} - {y0})))")
+
+
+def model_stages(p: str, temp: str, current: str, soc: str) -> list[dict[str, str]]:
+    """Stages that end in ``r0``, ``r1``, ``tao``, ``ocv`` and ``dvds``; charge and discharge have tables of their own."""
+    t, rate, s = f"n_{p}t", f"n_{p}rate", f"n_{p}s"
+
+    def by_rate(name: str) -> str:
+        return bilinear(f"TI2{name}", t, f"{t}i", rate, f"{rate}i")
+
+    def by_soc(name: str) -> str:
+        return bilinear(f"TSOC2{name}", t, f"{t}i", s, f"{s}i")
+
+    def directed(value) -> str:
+        return f"case when {current} > 0 then {value('C')} else {value('D')} end"
+
+    return [
+        {f"{p}t": clamp(temp, TEMPS[0], TEMPS[-1]), f"{p}rate": clamp(f"abs({current} / 150e0)", RATES[0], RATES[-1]),
+         f"{p}s": clamp(soc, SOC[0], SOC[-1])},
+        {f"{p}ti": bracket(t, TEMPS), f"{p}ratei": bracket(rate, RATES), f"{p}si": bracket(s, SOC)},
+        {f"{p}r0": directed(lambda c: f"{by_rate(f'R0_{c}')} * {by_soc(f'R0_{c}')}"),
+         f"{p}r1": directed(lambda c: f"{by_rate(f'R1_{c}')} * {by_soc(f'R1_{c}')}"),
+         f"{p}tao": directed(lambda c: by_soc(f"tao_{c}")), f"{p}ocv": by_soc("OCV"), f"{p}dvds": by_soc("dVdS")},
+    ]
+
+
+def staged(source: str, stages: list[dict[str, str]]) -> str:
+    """``source`` with the columns of each stage, named ``n_`` and the name."""
+    for stage in stages:
+        source = f"(select *, {', '.join(f'{e} as n_{n}' for n, e in stage.items())} from {source})"
+    return source
+
+
 def kalman(side: str, temp: str, volt: str) -> tuple[dict[str, str], list[dict[str, str]]]:
     p = f"{side}_"
-    model = model_sql(temp, "current", f"{p}soc")
+    m, slope, spread = f"n_{p}m_", f"n_{p}m_dvds", f"n_{p}spread"
     state = {f"{p}soc": ZERO, f"{p}rows": "0", f"{p}var": ZERO, f"{p}at": "0::bigint", f"{p}u1": ZERO,
              f"{p}r1": ZERO, f"{p}i": ZERO, f"{p}result": ZERO, f"{p}model": ZERO}
     stages = [
+        *model_stages(f"{p}m_", temp, "current", f"{p}soc"),
         {f"{p}elapsed": f"epoch - {p}at", f"{p}v": clamp(volt, OCV[0], OCV[-1])},
         {f"{p}gap": f"case when n_{p}elapsed > 100 or n_{p}elapsed <= 0 then 20 else n_{p}elapsed end",
          f"{p}reset": f"{p}rows <= 1 or n_{p}elapsed > 1800", f"{p}spread": f"0.01e0 + {p}var"},
         {f"{p}fade": f"exp(-n_{p}gap / 1.0e0)",
-         f"{p}gain": f"n_{p}spread * 0.6e0 / (0.6e0 * 0.6e0 * n_{p}spread + 0.001e0) / n_{p}gap"},
-        {f"{p}var": f"(1 - n_{p}gain * 0.6e0) * n_{p}spread",
-         f"{p}u1": f"n_{p}fade * {p}u1 + {p}r1 * {p}i * (1 - n_{p}fade)", f"{p}r1": model["r1"],
+         f"{p}gain": f"{spread} * {slope} / ({slope} * {slope} * {spread} + 0.001e0) / n_{p}gap"},
+        {f"{p}var": f"(1 - n_{p}gain * {slope}) * {spread}",
+         f"{p}u1": f"n_{p}fade * {p}u1 + {p}r1 * {p}i * (1 - n_{p}fade)", f"{p}r1": f"{m}r1",
          f"{p}i": "current", f"{p}at": "epoch", f"{p}rows": f"{p}rows + 1", f"{p}open": soc_of(volt)},
-        {f"{p}model": f"n_{p}u1 + {model['ocv']} + {model['r0']} * current"},
+        {f"{p}model": f"n_{p}u1 + {m}ocv + {m}r0 * current"},
         {f"{p}next": f"greatest(0.0e0, least(1.0e0, {p}soc + n_{p}gap * {p}i / 150e0 * 0.999e0 / 3600"
                      f" + n_{p}gain * (n_{p}v - n_{p}model)))"},
         {f"{p}result": f"case when n_{p}reset then n_{p}open else n_{p}next end",
@@ -290,20 +366,6 @@ def kalman(side: str, temp: str, volt: str) -> tuple[dict[str, str], list[dict[s
     return state, stages
 
 
-def grid_nodes() -> dict[str, list[float]]:
-    """The nodes of all grids by the formulas of the test data, row by row; tau runs the other way along its rows."""
-    temps, rates = SAMPLE_BREAKS["T_break"], SAMPLE_BREAKS["CRate_break"]
-    nodes = {}
-    for side in "CD":
-        for part, scale in (("R0", 0.002), ("R1", 0.001)):
-            nodes[f"TI2{part}_{side}"] = [scale * (1 + y) * (1 - x / 200) for x in temps for y in rates]
-            nodes[f"TSOC2{part}_{side}"] = [scale * (1 + y) * (1 - x / 200) for x in temps for y in SOC]
-        nodes[f"TSOC2tao_{side}"] = [20 + 40 * y for _ in temps for y in reversed(SOC)]
-    nodes["TSOC2OCV"] = [3.2 + 0.6 * y + 0.0005 * x for x in temps for y in SOC]
-    nodes["TSOC2dVdS"] = [0.6 for _ in temps for _ in SOC]
-    return nodes
-
-
 def _events_ekf() -> str:
     """The event job on the filtered state of charge: both recurrences in one walk."""
     avg_state, avg_stages = kalman("avg", "temp_avg", "volt_avg")
@@ -316,9 +378,8 @@ def _events_ekf() -> str:
 
 def _events_drift() -> str:
     """The event job with the drift alarm on the temperature gap, and another heat alarm."""
-    config = catalog.DRIFT_CONFIG
     stages = [{**s, "drift": smooth("drift", "delta_t", 0.9)} if "drift" in s else s for s in SAFETY_STAGES[:-1]]
-    stages.append({**SAFETY_STAGES[-1], **_alarm_stage("wp", config.wp, "n_delta_p")})
+    stages.append({**SAFETY_STAGES[-1], **_alarm_stage("wp", SCALED_WP, "n_delta_p")})
     return (f"with recursive {FEATURES}, {fold_sql(HEAT_SOURCE, SAFETY_STATE, stages)}, {FLAGS} select row_id event_id,"
             " wp, wsoc, wtt, wv, wt, isc, cap, heat, isc_ret, cap_ret, heat_ret, event_dt from events_out")
 
@@ -369,7 +430,6 @@ def statements() -> dict[str, str]:
     tel = f"with {TELEMETRY}"
     arrays = f"{tel}, {ARRAYS}"
     feat = f"with {FEATURES}"
-    model = model_sql("temp_avg", "current", "soc_avg")
     digits = {"r0": 12, "r1": 12, "tao": 6, "ocv": 6, "dvds": 6}
     scan_lo, scan_hi = catalog.RANGE
     cells_text = """case when event_id % 29 = 0 then '[3.1, x]' when event_id % 31 = 0 then ''
@@ -377,7 +437,7 @@ def statements() -> dict[str, str]:
  when event_id % 43 = 0 then '[3.4d, 3.5]' else bmv_singlevolt end"""
     nodes = grid_nodes()
     order = "(partition by orderid order by reltime, event_id)"
-    four_next, four_level = alarm_sql(catalog.VALUE_ALARM, "level_state", "value")
+    four_next, four_level = alarm_sql(VALUE_LEVELS, "level_state", "value")
     current = "case when current > 0 then 1 else -1 end"
     return {
         "scan_date_range": f"{tel} select event_id, orderid, dt, cell_min_volt from tel "
@@ -417,12 +477,13 @@ def statements() -> dict[str, str]:
                     + ", ".join(f"round({c}, 6) {c}" for c in catalog.FEATURE_COLUMNS) + " from feat",
         "crate_sign": f"{feat} select event_id, round(abs(current / 150e0), 6) crate, {current} direction from feat",
         "interp_1d": f"{tel} select event_id, round({curve(f'({INTERP_X})', OCV, SOC)}, 6) y from tel",
-        "interp_2d": f"""{tel} select event_id,
- round({resistance(0.002, clamp(PLANE_X, -20.0, 60.0), clamp(PLANE_Y, 0.0, 1.0))}, 9) r0,
- round(3.2e0 + 0.6e0 * {clamp(PLANE_Y, 0.0, 1.0)} + 0.0005e0 * {clamp(PLANE_X, -20.0, 60.0)}, 6) ocv from tel""",
+        "interp_2d": f"{tel} select event_id, round({bilinear('TSOC2R0_C', 'n_t', 'n_ti', 'n_s', 'n_si')}, 9) r0,"
+                     f" round({bilinear('TSOC2OCV', 'n_t', 'n_ti', 'n_s', 'n_si')}, 6) ocv from " + staged("tel", [
+                         {"t": clamp(PLANE_X, TEMPS[0], TEMPS[-1]), "s": clamp(PLANE_Y, SOC[0], SOC[-1])},
+                         {"ti": bracket("n_t", TEMPS), "si": bracket("n_s", SOC)}]),
         "soc_ocv": f"{feat} select event_id, round(soc_avg, 6) soc_avg, round(soc_min, 6) soc_min from feat",
-        "lookup_params": f"{feat} select event_id, "
-                         + ", ".join(f"round({e}, {digits[n]}) {n}" for n, e in model.items()) + " from feat",
+        "lookup_params": f"{feat} select event_id, {', '.join(f'round(n_{n}, {k}) {n}' for n, k in digits.items())} from "
+                         + staged("feat", model_stages("", "temp_avg", "current", "soc_avg")),
         "order_row_number": f"{tel} select event_id, orderid, (row_number() over {order})::int \"row_number\" from tel",
         "gap_seconds": f"""{feat}, g as (select event_id, epoch - lag(epoch, 1, 0) over {order} gap from feat)
  select event_id, case when gap > 100 or gap <= 0 then 20 else gap end soc_gap,
@@ -443,6 +504,9 @@ def statements() -> dict[str, str]:
         "fault_rate": _safety("""select orderid, "rows", round(isc / "rows", 6) isc_rate, round(cap / "rows", 6) cap_rate,
  round(heat / "rows", 6) heat_rate from (select orderid, sum(isc)::double isc, sum(cap)::double cap,
   sum(heat)::double heat from flagged group by orderid) join
+ (select orderid, count(*) "rows" from tel group by orderid) using (orderid)"""),
+        "running_fault_rate": _safety("""select row_id event_id, round(isc_total::double / "rows", 9) isc_rate,
+ round(cap_total::double / "rows", 9) cap_rate, round(heat_total::double / "rows", 9) heat_rate from events_out join
  (select orderid, count(*) "rows" from tel group by orderid) using (orderid)"""),
         "ewma": _fold(VALUES, "select * from vals", {"smooth": ZERO},
                       [{"smooth": smooth("smooth", "value", catalog.VALUE_DECAY)}],
@@ -453,7 +517,7 @@ def statements() -> dict[str, str]:
         "temp_hold": _fold(FEATURES, "select * from feat", HOLD_STATE, HOLD_STAGES,
                            "select row_id event_id, held from r where row_id is not null"),
         "heat_power": _fold(FEATURES, HEAT_SOURCE, {**HEAT_STATE, "p_max": ZERO, "p_avg": ZERO, "delta_p": ZERO},
-                            heat_stages(CONFIG.cell),
+                            heat_stages(),
                             "select row_id event_id, round(p_max, 6) p_max, round(p_avg, 6) p_avg,"
                             " round(delta_p, 6) delta_p from r where row_id is not null"),
         "soc_ekf": _soc_ekf(),
@@ -461,8 +525,8 @@ def statements() -> dict[str, str]:
                                   [{"level_state": four_next, "level": four_level}],
                                   "select row_id event_id, level, level_state from r where row_id is not null"),
         "alarm_two_level": _fold(FEATURES, "select * from feat", _alarm_state("wv", "wt"),
-                                 [{**_alarm_stage("wv", CONFIG.wv, "delta_v"),
-                                   **_alarm_stage("wt", CONFIG.wt, "delta_t")}],
+                                 [{**_alarm_stage("wv", WV, "delta_v"),
+                                   **_alarm_stage("wt", WT, "delta_t")}],
                                  "select row_id event_id, wv, wv_state, wt, wt_state from r where row_id is not null"),
         "fault_flags": _safety("select row_id event_id, wsoc, wtt, wv, wt, isc, cap, heat from flagged"),
         "event_output": _safety(EVENT_SELECT),

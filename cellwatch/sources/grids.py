@@ -103,12 +103,17 @@ SAMPLE_BREAKS = {
 }
 
 
+# Curved between nodes and other for charge than for discharge, so that a wrong node or table shows; the odd
+# factors keep values off the middle between two rounded ones.
 SAMPLE_FORMULAS = {
-    "R0": lambda x, y: 0.002 * (1 + y) * (1 - x / 200),
-    "R1": lambda x, y: 0.001 * (1 + y) * (1 - x / 200),
-    "tao": lambda x, y: 20 + 40 * y,
-    "OCV": lambda x, y: 3.2 + 0.6 * y + 0.0005 * x,
-    "dVdS": lambda x, y: 0.6,
+    "R0_C": lambda x, y: 0.002 * (1 + 0.917364813 * y * y) * (1 - x / 200),
+    "R0_D": lambda x, y: 0.003 * (2 - 0.051736481 * y * y) * (1 + x * x / 9000),
+    "R1_C": lambda x, y: 0.001 * (1 + y + 0.817364813 * y * y) * (1 - x / 200),
+    "R1_D": lambda x, y: 0.0015 * (1 + 0.517364813 * y * y) * (1 + x * x / 8000),
+    "tao_C": lambda x, y: 20 + 40 * y + 0.0917364813 * (x + 20) * y * y,
+    "tao_D": lambda x, y: 30 + 25.17364813 * y * y + x / 10,
+    "OCV": lambda x, y: 3.2 + 0.5 * y + 0.1173648129 * y * y + 0.0000053719 * x * x,
+    "dVdS": lambda x, y: 0.6 + 0.3173648129 * y * y + 0.001 * x,
 }
 
 
@@ -116,7 +121,7 @@ def _sample_rows() -> list[tuple]:
     """Rows of the sample grid table in the columns of ``GRID_SCHEMA``."""
     rows = [(name, i, None, x, None, None) for name, values in SAMPLE_BREAKS.items() for i, x in enumerate(values)]
     for name in RATE_GRIDS + SOC_GRIDS:
-        formula = next(f for part, f in SAMPLE_FORMULAS.items() if name.split("2")[1].startswith(part))
+        formula = SAMPLE_FORMULAS[name.split("2")[1]]
         y_axis = SAMPLE_BREAKS["CRate_break" if name in RATE_GRIDS else "SOC_break"]
         for ix, x in enumerate(SAMPLE_BREAKS["T_break"]):
             rows += [(name, ix, iy, x, y, float(formula(x, y))) for iy, y in enumerate(y_axis)]

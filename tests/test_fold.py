@@ -140,6 +140,16 @@ def test_cut_windows_equal_whole_windows(feats, column):
     assert_same(whole, cut)
 
 
+def test_rows_without_a_key_are_cut_as_one_order(feats):
+    rows = feats.select("event_id", F.when(F.col(KEY) != "big", F.col(KEY)).alias(KEY), "reltime", "epoch", "temp_max")
+    split = split_long(rows, KEY, ORDER, limit=CUT)
+    without = F.col(KEY).isNull()
+    assert split.short.where(without).count() == 0
+    assert split.long.where(without).count() == rows.where(without).count() > CUT
+    for column in (windows.row_numbers, windows.gaps, lambda line: windows.run_lengths(line, "temp_max")):
+        assert_same(*(column(Timeline(rows, KEY, ORDER, limit=limit)).drop(KEY) for limit in (WHOLE, CUT)))
+
+
 def test_windows_and_fold_agree(feats, grids):
     rows = settle(safety.fold_features(feats, grids, tiebreak=TIE))
     line = rows.select("event_id", KEY, "reltime", "dt", "isc", "cap", "heat")

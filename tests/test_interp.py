@@ -60,3 +60,12 @@ def test_column_model_matches_the_filters_model(spark, grids):
         profiles = scan._profiles(np.array([r.temp_avg]), np.array([r.current]))
         got = [np.interp(r.soc_avg, grids.soc, p[0]) for p in profiles]
         assert got == pytest.approx([r.r0, r.r1, r.tao, r.ocv, r.dvds], abs=1e-12)
+
+
+def test_sample_grids_tell_directions_and_neighbours_apart(grids):
+    """Otherwise a lookup in a wrong table or cell could give a right value."""
+    for name, table in grids.tables.items():
+        if name.endswith("_C"):
+            assert not np.isclose(table, grids.tables[name[:-1] + "D"]).any(), name
+        steps = np.diff(table, axis=1) / np.diff(grids.rate if name.startswith("TI") else grids.soc)
+        assert not np.isclose(steps[:, 1:], steps[:, :-1], rtol=1e-6).all(), name
