@@ -165,3 +165,24 @@ def test_null_numbers_become_nan_and_stay(spark):
     program = Program((Level(None, (Decay("y", "x", 0.5),)),), ("x",), {"y": T.DoubleType()})
     got = [r.y for r in keyed_fold(rows, program, KEY, ["i"], ["i"]).orderBy("i").collect()]
     assert got[:2] == [0.5, 0.75] and got[2] != got[2] and got[3] != got[3]
+
+
+def test_tasks_grow_with_rows_and_not_with_cuts(feats):
+    split = split_long(feats, KEY, ORDER, limit=5)
+    parts = split.long.groupBy(KEY, SEGMENT).count().collect()
+    assert split.long.rdd.getNumPartitions() == 2 and len(parts) > 150
+    assert max(p["count"] for p in parts) <= 5 and len(parts) <= split.bound
+
+
+def test_segments_too_many_to_broadcast(feats, grids, monkeypatch):
+    from cellwatch.operators import fold, segments
+
+    early = F.col("dt") < "2024-01-12"
+    whole = safety.fold_features(feats, grids, tiebreak=TIE, limit=WHOLE)
+    monkeypatch.setattr(segments, "TASK_ROWS", 50)
+    for module in (fold, segments):
+        monkeypatch.setattr(module, "MOST_BROADCAST_ROWS", 0)
+    first = settle(safety.fold_features(feats.where(early), grids, tiebreak=TIE, with_state=True, limit=7))
+    states = first.where(F.col(STATE).isNotNull()).select(KEY, STATE)
+    second = safety.fold_features(feats.where(~early), grids, tiebreak=TIE, states=states, limit=7)
+    assert_same(whole, first.where(F.col(STATE).isNull()).drop(STATE).unionByName(second))
