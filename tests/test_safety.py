@@ -243,3 +243,68 @@ def test_a_call_with_many_rows_runs_bucket_by_bucket(telemetry, grids):
     import pandas as pd
 
     pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), whole)
+
+
+class WaitingStore(Store):
+    """Counts timers and entries."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers, self.written = [], 0
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        value = super().getValueState(name, schema, ttlDurationMs)
+        value.clear = staticmethod(lambda: self.values.pop(name, None))
+        return value
+
+    def getMapState(self, name, key, value, ttlDurationMs=None):
+        entries = super().getMapState(name, key, value, ttlDurationMs)
+
+        def put(k, v):
+            self.written += 1
+            self.entries[k] = v
+
+        entries.updateValue = staticmethod(put)
+        return entries
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_rows_that_wait_cost_few_entries_and_timers(telemetry, grids):
+    """Rows of one order far apart, out of order: what is run is in order, whatever part of the rows waits by bucket."""
+    import pandas as pd
+
+    from cellwatch.operators.features import features, with_soc
+    from cellwatch.streaming.stream import OrderProcessor
+
+    rows = with_soc(features(telemetry, TIE), grids).where("error is null").withColumn(KEY, F.lit("one")).toPandas()
+    program = safety_program(Config(), grids)
+    columns = [KEY, "event_id", "reltime", *program.outputs]
+    rows = rows.sort_values(["reltime", "event_id"], ignore_index=True)
+    whole = OrderProcessor(program, ["reltime", "event_id"], columns)._run([rows], program.initial())
+    shuffled = rows.sample(frac=1, random_state=5)
+    for chunk_rows in (10**9, 400, 1):
+        processor = OrderProcessor(program, ["reltime", "event_id"], columns, waits=True, chunk_rows=chunk_rows)
+        store, out = WaitingStore(), []
+        processor.init(store)
+        for at in range(0, len(rows), 100):
+            assert not list(processor.handleInputRows(("one",), iter([shuffled.iloc[at:at + 100]]), None))
+        assert len(store.timers) <= 10
+        if chunk_rows > len(rows):
+            assert store.written == 10
+        for share in (0.3, 0.30001, 0.8, 2):
+            at = rows["epoch"].min() + share * (rows["epoch"].max() - rows["epoch"].min())
+            calls = len(store.timers)
+            out += list(processor.handleExpiredTimer(("one",), Watermark(int(at * 1000)), None))
+            assert sum(map(len, out)) <= (rows["epoch"] <= at).sum() and len(store.timers) <= calls + 1
+        assert not store.entries and store.values.get("loose", (0,)) == (0,)
+        pd.testing.assert_frame_equal(pd.concat(out, ignore_index=True), whole)
