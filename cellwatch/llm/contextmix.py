@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from cellwatch.llm.langid import bucket
-from cellwatch.llm.shared import Words, _LOWER, mixed, slices, stored
+from cellwatch.llm.shared import Words, _LOWER, giving_back, giving_back_of_group, giving_back_of_pair, mixed, slices, stored
 
 #: Bytes of context of each predictor, the longest last.
 ORDERS = (1, 3, 5)
@@ -110,7 +110,7 @@ def _sliced(docs: DataFrame, fixed: int | None = None) -> DataFrame:
                 pa.array([pack.compress(line.buffers()[2])], pa.binary())], schema=BLOCKS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "train", "text").mapInArrow(
-        work, "slice long, ids array<long>, train array<boolean>, sizes array<int>, packed binary")
+        giving_back(work), "slice long, ids array<long>, train array<boolean>, sizes array<int>, packed binary")
 
 
 class Block:
@@ -232,7 +232,7 @@ def _contents(blocks: DataFrame, buckets: int) -> DataFrame:
         if seen is not None:
             yield seen.rows(buckets)
 
-    return blocks.mapInArrow(work, "bucket int, slice long, words binary, entries binary")
+    return blocks.mapInArrow(giving_back(work), "bucket int, slice long, words binary, entries binary")
 
 
 class Places:
@@ -412,7 +412,7 @@ def _answers(contents: DataFrame) -> DataFrame:
             out["entries"].append(packed(entries[every], sums[every]))
         return pa.table(out).select(ANSWERS.names).cast(ANSWERS)
 
-    return contents.groupBy("bucket").applyInArrow(work, "slice long, words binary, entries binary, n long, firsts long")
+    return contents.groupBy("bucket").applyInArrow(giving_back_of_group(work), "slice long, words binary, entries binary, n long, firsts long")
 
 
 class Knowledge:
@@ -460,7 +460,7 @@ def _fitted(blocks: DataFrame, answers: DataFrame) -> Mixer:
             out = fit(np.concatenate([places.find(c.grams) for c in coded]), np.concatenate([[0], np.cumsum(lengths)]), seen, level)
         return pa.table({"weights": pa.array([out.weights.tobytes()], pa.binary()), "table": pa.array([out.table.tobytes()], pa.binary())})
 
-    found = blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(work, "weights binary, table binary").collect()
+    found = blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(giving_back_of_pair(work), "weights binary, table binary").collect()
     mixer = Mixer.initial()
     if found:
         mixer.weights = np.frombuffer(found[0]["weights"], np.float32).reshape(mixer.weights.shape)
@@ -497,7 +497,7 @@ def _scores(blocks: DataFrame, answers: DataFrame, mixer: Mixer, whole: float) -
         return pa.Table.from_batches(out, RESULT)
 
     return blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
-        work, "doc_id long, n_words long, known_words long, word_logs double, score double, n_bytes long, bits_per_byte double")
+        giving_back_of_pair(work), "doc_id long, n_words long, known_words long, word_logs double, score double, n_bytes long, bits_per_byte double")
 
 
 def is_held_out(doc_id: str = "doc_id"):
