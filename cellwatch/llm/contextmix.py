@@ -14,9 +14,15 @@ does not depend on the texts beside it.
 Counts are tables that grow with the corpus.  Texts are put into slices, in compressed blocks; a
 slice gives its counts of each distinct word and context once, dealt into buckets by hash; a
 bucket's task adds up the counts and answers each slice that has asked; one task scores a
-slice with its answers.  Buckets are as many as the corpus is long.  No table is broadcast and none reaches the driver but
-the fitted weights, a few hundred numbers.  These are fitted to at most ``FIT_DOCS`` training
-documents (one in ``FIT_EVERY`` by id, the first by a hash), whose own counts are taken off.
+slice with its answers.  Buckets are as many as the corpus is long.  Slots that end in the same
+``SHARED`` bytes of context lie in one bucket.
+
+The weights that all texts start with, and the table, are fitted to every byte of every
+training text, less that byte's own count.  Bytes after the same longest context have the same
+votes, so a bucket's entries of the longest order with their counts stand for them, in any
+text.  Newton's method finds the weights of least loss; each round adds up the buckets' losses,
+slopes and curvatures.  No table is broadcast and none reaches the driver but these sums, some
+hundred numbers, and the counts of pairs of bytes (65,536 at most), which each bucket needs.
 
 Beside it stands the base: words and the end as tokens, each with its smoothed frequency.
 
@@ -29,7 +35,7 @@ training texts every bit has probability 1/2 until the weights learn better, and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,7 +68,12 @@ RATE, PRIOR = 0.02, 200.0
 STEPS, STEP = 24, 0.5
 #: Strongest vote, and the least share of right or wrong votes.
 STRONGEST, LEAST = 11.99, 1e-5
-FIT_DOCS, FIT_EVERY, FIT_ROUNDS = 256, 20, 4
+#: Most rounds of the fit, the share of the loss from which on a gain is worth one, and how strongly weights are held to their first values.
+FIT_ROUNDS, FIT_GAIN, FIT_PULL = 12, 1e-7, 1.0
+#: Grams that are fitted to at a time.
+FIT_PIECE = 1 << 15
+#: Bytes of context by which slots are dealt into buckets; contexts that are shorter are shared by all.
+SHARED = 3
 END, SPACE = 0x0A, 0x20
 #: Tokens' smoothing in the base.
 BASE = 0.1
@@ -92,8 +103,8 @@ BLOCKS = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("trai
                     ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
 
 
-def _sliced(docs: DataFrame, fixed: int | None = None) -> DataFrame:
-    """Blocks of compressed lines; slices are numbered by task, or all ``fixed``."""
+def _sliced(docs: DataFrame) -> DataFrame:
+    """Blocks of compressed lines; slices are numbered by task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, 0
@@ -105,7 +116,7 @@ def _sliced(docs: DataFrame, fixed: int | None = None) -> DataFrame:
                 number, held = number + 1, 0
             held += int(offsets[-1])
             yield pa.RecordBatch.from_arrays([
-                pa.array([number if fixed is None else fixed]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                pa.array([number]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([batch.column("train").to_pylist()], pa.list_(pa.bool_())), pa.array([np.diff(offsets)], pa.list_(pa.int32())),
                 pa.array([pack.compress(line.buffers()[2])], pa.binary())], schema=BLOCKS)
 
@@ -207,7 +218,8 @@ class _Seen:
         entries = [_summed(entries_of(grams, order), counts) for order in ORDERS]
         dealt = []
         for keys, n, slots in ((*self.merged("words"), False), (*[np.concatenate(x) for x in zip(*entries)], True)):
-            of = (mixed((keys >> 8 if slots else keys).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            dealt_by = keys >> 8 & ((1 << (8 * SHARED)) - 1) if slots else keys
+            of = (mixed(dealt_by.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(of, kind="stable")  # keys stay in order within a bucket
             ends = np.searchsorted(of[order], np.arange(1, buckets))
             dealt.append([packed(k, c) for k, c in zip(np.split(keys[order], ends), np.split(n[order], ends))])
@@ -272,11 +284,11 @@ class Mixer:
         return Mixer(np.full((SETS, 8, len(ORDERS)), 0.4, np.float32), np.tile(1 / (1 + np.exp(-strength)), (8, 1)).astype(np.float32))
 
 
-def votes(grams: np.ndarray, entries: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def votes(grams: np.ndarray, entries: np.ndarray, counts: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Of each gram, the votes for its bits (gram, bit, predictor), and the number of its weight set.
 
     ``entries`` (sorted) and ``counts`` say how often a next byte followed a context.  A vote is positive
-    where the counts speak for the bit that came.
+    where the counts speak for the bit that came.  ``own`` is how often a gram itself is left out of the counts.
     """
     sums = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros((len(grams), 8, len(ORDERS)), np.float32)
@@ -288,7 +300,7 @@ def votes(grams: np.ndarray, entries: np.ndarray, counts: np.ndarray) -> tuple[n
         way = []
         for j in range(9):
             low = (asked >> (8 - j)) << (8 - j)
-            way.append(sums[np.searchsorted(entries, low + (1 << (8 - j)))] - sums[np.searchsorted(entries, low)])
+            way.append(sums[np.searchsorted(entries, low + (1 << (8 - j)))] - sums[np.searchsorted(entries, low)] - own)
         found = np.stack([np.log((way[j + 1] + SMALL) / (way[j] - way[j + 1] + SMALL)) for j in range(8)], axis=1)
         out[:, :, k] = found if back is None else found[back]
         if order == LONGEST:
@@ -365,40 +377,109 @@ def code(ids: np.ndarray, bounds: np.ndarray, seen: np.ndarray, level: np.ndarra
     return total, final, right_sums, all_sums
 
 
-def fit(ids: np.ndarray, bounds: np.ndarray, seen: np.ndarray, level: np.ndarray) -> Mixer:
-    """The mixer that texts end with on average, found by going over them a few times."""
-    mixer, lengths = Mixer.initial(), np.diff(bounds).astype(np.float64)
+@dataclass
+class Sums:
+    """Over grams, by weight set and bit: the loss, its slope and its curvature, and by step, right votes and all."""
+
+    loss: np.ndarray
+    slope: np.ndarray
+    curve: np.ndarray
+    right: np.ndarray
+    tried: np.ndarray
+
+    @staticmethod
+    def none() -> "Sums":
+        k = len(ORDERS)
+        return Sums(*[np.zeros(shape) for shape in ((SETS, 8), (SETS, 8, k), (SETS, 8, k, k), (SETS, 8, STEPS), (SETS, 8, STEPS))])
+
+    def add(self, seen: np.ndarray, level: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> None:
+        """Grams that came ``counts`` times; ``seen`` and ``level`` come from ``votes``."""
+        for s in range(SETS):
+            mine = np.flatnonzero((level == s) & (counts > 0))
+            x, n = np.ascontiguousarray(seen[mine].transpose(1, 2, 0)), counts[mine].astype(np.float64)  # (bit, predictor, gram)
+            z = np.matmul(weights[s, :, None].astype(np.float32), x)[:, 0]
+            odds = np.exp(-np.clip(z, -STRONGEST, STRONGEST))
+            miss = odds / (1 + odds)
+            self.loss[s] += np.log1p(odds) @ n
+            change = x * (n.astype(np.float32) * miss)[:, None]
+            self.slope[s] += change.sum(axis=2, dtype=np.float64)
+            self.curve[s] += np.matmul(change * (1 - miss)[:, None], x.transpose(0, 2, 1))
+            step = np.minimum(np.abs(z) / np.float32(STEP), STEPS - 1).astype(np.int64) + np.arange(8)[:, None] * STEPS
+            every = np.broadcast_to(n, z.shape)
+            self.right[s] += np.bincount(step.ravel(), (every * (z >= 0)).ravel(), 8 * STEPS).reshape(8, STEPS)
+            self.tried[s] += np.bincount(step.ravel(), every.ravel(), 8 * STEPS).reshape(8, STEPS)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in vars(self).values()])
+
+    @staticmethod
+    def of(flat: np.ndarray) -> "Sums":
+        shapes = [x.shape for x in vars(Sums.none()).values()]
+        parts = np.split(flat, np.cumsum([math.prod(shape) for shape in shapes])[:-1])
+        return Sums(*[part.reshape(shape) for part, shape in zip(parts, shapes)])
+
+
+def searched(sums_at: Callable[[np.ndarray], Sums]) -> Mixer:
+    """The mixer of least loss; ``sums_at`` adds up all grams' sums with given weights."""
+    first, found = Mixer.initial(), Sums.none()
+    start = first.weights.astype(np.float64)
+    at, step, found.loss[:] = start.copy(), np.zeros_like(start), np.inf
     for _ in range(FIT_ROUNDS):
-        _, final, right, tried = code(ids, bounds, seen, level, mixer)
-        weights = np.einsum("l,lsbk->sbk", lengths / max(1.0, lengths.sum()), final).astype(np.float32) if len(lengths) else mixer.weights
-        mixer = Mixer(weights, ((right + 8 * mixer.table) / (tried + 8)).astype(np.float32))
-    return mixer
+        weights = at + step
+        sums = sums_at(weights)
+        away = weights - start
+        sums.loss += FIT_PULL / 2 * (away ** 2).sum(axis=2)
+        sums.slope -= FIT_PULL * away
+        sums.curve += FIT_PULL * np.eye(len(ORDERS))
+        better = sums.loss <= found.loss
+        at[better] = weights[better]
+        for mine, other in zip(vars(found).values(), vars(sums).values()):
+            mine[better] = other[better]
+        newton = np.linalg.solve(sums.curve, sums.slope[..., None])[..., 0]
+        step = np.where(better[..., None], newton, step / 2)  # a step that went too far is halved
+        if (found.slope * step).sum() <= 2 * FIT_GAIN * found.loss.sum():
+            break
+    table = (found.right.sum(axis=0) + 8 * first.table) / (found.tried.sum(axis=0) + 8)
+    return Mixer(at.astype(np.float32), table.astype(np.float32))
+
+
+def fit(ids: np.ndarray, bounds: np.ndarray, seen: np.ndarray, level: np.ndarray) -> Mixer:
+    """The mixer fitted to texts at hand, given as for ``code``."""
+    counts = np.bincount(ids, minlength=len(level))
+
+    def sums_at(weights: np.ndarray) -> Sums:
+        sums = Sums.none()
+        sums.add(seen, level, counts, weights)
+        return sums
+
+    return searched(sums_at)
 
 
+#: The slice of a bucket's row that answers the fit.
+CORPUS = -1
 ANSWERS = pa.schema([("slice", pa.int64()), ("words", pa.binary()), ("entries", pa.binary()), ("n", pa.int64()), ("firsts", pa.int64())])
 
 
 def _answers(contents: DataFrame) -> DataFrame:
     """For each slice and bucket the corpus's counts of its words, and of all entries of its slots.
 
+    For ``CORPUS`` and each bucket, of all its entries.
     ``n`` are the slice's own training words there; of the slices that have a word one counts it among its ``firsts``.
     """
 
     def work(rows: pa.Table) -> pa.Table:
-        numbers = rows.column("slice").to_numpy()
-        order = np.argsort(-numbers, kind="stable")  # the slice of texts that are there twice comes last
-        out = {"slice": numbers[order]}
-        parts = [unpacked(rows.column("words")[i].as_buffer()) for i in order]
+        out = {"slice": np.append(rows.column("slice").to_numpy(), CORPUS)}
+        parts = [unpacked(raw.as_buffer()) for raw in rows.column("words")]
         sizes = [len(k) for k, _ in parts]
         keys, counts = (np.concatenate(x) for x in zip(*parts))
         found, first, back = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.bincount(back, counts, minlength=len(found)).astype(np.int64)
         of = np.repeat(np.arange(len(parts)), sizes)
-        out["firsts"] = np.bincount(of[first[sums > 0]], minlength=len(parts))
-        out["n"] = np.bincount(of, counts, minlength=len(parts)).astype(np.int64)
+        out["firsts"] = np.bincount(of[first[sums > 0]], minlength=len(parts) + 1)
+        out["n"] = np.bincount(of, counts, minlength=len(parts) + 1).astype(np.int64)
         totals, ends = sums[back], np.cumsum(sizes)[:-1]
-        out["words"] = [packed(k[t > 0], t[t > 0]) for k, t in zip(np.split(keys, ends), np.split(totals, ends))]
-        parts = [unpacked(rows.column("entries")[i].as_buffer()) for i in order]
+        out["words"] = [packed(k[t > 0], t[t > 0]) for k, t in zip(np.split(keys, ends), np.split(totals, ends))] + [None]
+        parts = [unpacked(raw.as_buffer()) for raw in rows.column("entries")]
         entries, sums = _summed(*[np.concatenate(x) for x in zip(*parts)])
         entries, sums = entries[sums > 0], sums[sums > 0]
         slots, starts, lengths = np.unique(entries >> 8, return_index=True, return_counts=True)
@@ -410,6 +491,7 @@ def _answers(contents: DataFrame) -> DataFrame:
             n = lengths[at]
             every = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             out["entries"].append(packed(entries[every], sums[every]))
+        out["entries"].append(packed(entries, sums))
         return pa.table(out).select(ANSWERS.names).cast(ANSWERS)
 
     return contents.groupBy("bucket").applyInArrow(giving_back_of_group(work), "slice long, words binary, entries binary, n long, firsts long")
@@ -428,44 +510,51 @@ class Knowledge:
 
         (self.words, self.word_counts), (self.entries, self.counts) = whole("words"), whole("entries")
 
-    def without(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        """Take off counts that these grams have themselves added."""
-        for order in ORDERS:
-            mine, n = _summed(entries_of(grams, order), counts)
-            at = np.searchsorted(self.entries, mine)
-            there = np.flatnonzero(at < len(self.entries))
-            there = there[self.entries[at[there]] == mine[there]]
-            self.counts[at[there]] = np.maximum(self.counts[at[there]] - n[there], 0)
 
-
-def _prepared(blocks: pa.Table, known: Knowledge, own: bool):
+def _prepared(blocks: pa.Table, known: Knowledge):
     """A slice's blocks, and places and votes of its distinct grams."""
     blocks = blocks.combine_chunks()
-    parts = [_distinct(Block(blocks, i).coded.grams) for i in range(blocks.num_rows)]
-    grams, counts = _summed(*[np.concatenate(x) for x in zip(*parts)])
-    if own:
-        known.without(grams, counts)
+    grams, _ = _summed(*[np.concatenate(x) for x in zip(*[_distinct(Block(blocks, i).coded.grams) for i in range(blocks.num_rows)])])
     return (Block(blocks, i) for i in range(blocks.num_rows)), Places(grams), *votes(grams, known.entries, known.counts)
 
 
-def _fitted(blocks: DataFrame, answers: DataFrame) -> Mixer:
-    """The mixer fitted to one slice, whose texts are training texts."""
+def _pairs(corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of order 1 and their counts: pairs of bytes."""
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = Mixer.initial()
-        if left.num_rows:
-            texts, places, seen, level = _prepared(left, Knowledge(right), own=True)
-            coded = [b.coded for b in texts]
-            lengths = np.concatenate([np.diff(c.bounds) for c in coded])
-            out = fit(np.concatenate([places.find(c.grams) for c in coded]), np.concatenate([[0], np.cumsum(lengths)]), seen, level)
-        return pa.table({"weights": pa.array([out.weights.tobytes()], pa.binary()), "table": pa.array([out.table.tobytes()], pa.binary())})
-
-    found = blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(giving_back_of_pair(work), "weights binary, table binary").collect()
-    mixer = Mixer.initial()
-    if found:
-        mixer.weights = np.frombuffer(found[0]["weights"], np.float32).reshape(mixer.weights.shape)
-        mixer.table = np.frombuffer(found[0]["table"], np.float32).reshape(mixer.table.shape)
-    return mixer
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw in (x for batch in batches for x in batch.column("entries")):
+            entries, counts = unpacked(raw.as_buffer())
+            mine = slice(0, int(np.searchsorted(entries, 2 << 56)))
+            yield pa.RecordBatch.from_arrays([pa.array(entries[mine]), pa.array(counts[mine])], ["entry", "count"])
+
+    rows = corpus.mapInArrow(giving_back(work), "entry long, count long").toArrow().sort_by("entry")
+    return rows.column("entry").to_numpy(), rows.column("count").to_numpy()
+
+
+def _fitted(corpus: DataFrame) -> Mixer:
+    """The mixer fitted to all training texts; ``corpus`` has the entries of each bucket."""
+    pairs, pair_counts = _pairs(corpus)
+
+    def sums_at(weights: np.ndarray) -> Sums:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = Sums.none()
+            for raw in (x for batch in batches for x in batch.column("entries")):
+                entries, counts = unpacked(raw.as_buffer())
+                mine = entries >> 56 >= SHARED
+                entries, counts = np.append(pairs, entries[mine]), np.append(pair_counts, counts[mine])
+                for at in range(int(np.searchsorted(entries, LONGEST << 56)), len(entries), FIT_PIECE):
+                    grams = entries[at:at + FIT_PIECE] & ((1 << (8 * (LONGEST + 1))) - 1)
+                    sums.add(*votes(grams, entries, counts, own=1), counts[at:at + FIT_PIECE], weights)
+            flat = sums.flat()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["place", "value"])
+
+        found = corpus.mapInArrow(giving_back(work), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        flat = Sums.none().flat()
+        for row in found:
+            flat[row["place"]] = row["value"]
+        return Sums.of(flat)
+
+    return searched(sums_at)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("known_words", pa.int64()), ("word_logs", pa.float64()),
@@ -483,7 +572,7 @@ def _scores(blocks: DataFrame, answers: DataFrame, mixer: Mixer, whole: float) -
             return RESULT.empty_table()
         known = Knowledge(right)
         words, logs = Places(known.words), np.log10((np.append(known.word_counts, 0) + BASE) / whole)
-        blocks, places, seen, level = _prepared(left, known, own=False)
+        blocks, places, seen, level = _prepared(left, known)
         out = []
         for block in blocks:
             n, in_words = len(block.ids), block.words()
@@ -508,14 +597,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of all texts, learned from those that are not held out."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     train = F.col("doc_id").isNotNull() & ~is_held_out()
-    marked = docs.withColumn("train", train)
-    order = F.xxhash64("doc_id", "text").alias("order")
-    could = marked.where(train & (bucket("doc_id", FIT_EVERY) == 1)).select("*", order)
-    firsts = could.select("order").distinct().orderBy("order").limit(FIT_DOCS).agg(F.max("order").alias("last")).collect()[0]["last"]
-    sample = could.where(F.col("order") <= F.lit(firsts)).dropDuplicates(["order"]).withColumn("train", F.lit(False))
-    blocks = stored(_sliced(marked).unionByName(_sliced(sample, fixed=-1)), "blocks")
-    fitting, scoring = F.col("slice") < 0, F.col("slice") >= 0
-    known = blocks.where(scoring).agg(
+    blocks = stored(_sliced(docs.withColumn("train", train)), "blocks")
+    known = blocks.agg(
         F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"),
         F.sum(F.size(F.filter("train", lambda t: t))).alias("ends")).collect()[0]
     ends = known["ends"] or 0
@@ -523,8 +606,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = answers.agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).collect()[0]
     tokens, kinds = (words["n"] or 0) + ends, (words["firsts"] or 0) + int(ends > 0)
     whole = tokens + BASE * (kinds + 1)
-    mixer = _fitted(blocks.where(fitting), answers.where(fitting))
-    scored = _scores(blocks.where(scoring), answers.where(scoring), mixer, whole)
+    mixer = _fitted(stored(answers.where(F.col("slice") == CORPUS).select("entries"), "corpus"))
+    scored = _scores(blocks, answers.where(F.col("slice") != CORPUS), mixer, whole)
     return scored.select(
         "doc_id", is_held_out().alias("held_out"), (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("known_words") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

@@ -179,6 +179,68 @@ def test_scores_of_a_table(spark):
         assert x["score"] == pytest.approx(by_id[x["doc_id"]]["score"], rel=1e-4)
 
 
+def brute_sums(texts, mixer):
+    """Loss, slope and curvature by set and bit, and the table, of all bytes of ``texts``, each left out of the counts."""
+    after, grams = {}, Counter()
+    for (context, byte), n in brute_counts(texts).items():
+        after.setdefault(context, Counter())[byte] = n
+        if len(context) == cm.LONGEST:
+            grams[context, byte] = n
+    k = len(cm.ORDERS)
+    loss, slope, curve = (np.zeros((cm.SETS, 8, *rest)) for rest in ((), (k,), (k, k)))
+    right, tried = np.zeros((8, cm.STEPS)), np.zeros((8, cm.STEPS))
+    for (context, byte), n in grams.items():
+        of_order = [after[context[-order:]] for order in cm.ORDERS]
+        s = sum(sum(of_order[-1].values()) - 1 >= least for least in cm.LEVELS)
+        for j in range(8):
+            votes = []
+            for counts in of_order:
+                way = [sum(c for y, c in counts.items() if y >> (8 - b) == byte >> (8 - b)) - 1 for b in (j, j + 1)]
+                votes.append(math.log((way[1] + cm.SMALL) / (way[0] - way[1] + cm.SMALL)))
+            votes = np.array(votes)
+            z = float(votes @ mixer.weights[s, j])
+            miss, step = 1 / (1 + math.exp(z)), min(int(abs(z) / cm.STEP), cm.STEPS - 1)
+            loss[s, j] += n * math.log1p(math.exp(-z))
+            slope[s, j] += n * miss * votes
+            curve[s, j] += n * miss * (1 - miss) * np.outer(votes, votes)
+            tried[j, step] += n
+            right[j, step] += n * (z >= 0)
+    first = cm.Mixer.initial()
+    away = mixer.weights - first.weights
+    return (loss.sum(), slope - cm.FIT_PULL * away, curve + cm.FIT_PULL * np.eye(k),
+            (right + 8 * first.table) / (tried + 8))
+
+
+def test_weights_and_table_are_fitted_to_every_training_text(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(random_texts(8, 700, 12))] + [(None, "zebra zebra"), (701, None)]
+    used, scores = [], cm._scores
+    monkeypatch.setattr(cm, "_scores", lambda blocks, answers, mixer, whole: used.append(mixer) or scores(blocks, answers, mixer, whole))
+    monkeypatch.setattr(cm, "BUCKET", 1 << 12)  # several buckets
+    cm.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    loss, slope, curve, table = brute_sums([t for i, t in rows if i is not None and not held_out(i)], used[0])
+    step = np.linalg.solve(curve, slope[..., None])[..., 0]
+    assert (slope * step).sum() < 1e-5 * loss  # nothing is left to gain over all texts
+    assert used[0].table == pytest.approx(table, abs=0.02)
+    assert np.abs(used[0].weights - cm.Mixer.initial().weights).max() > 0.1
+
+
+def test_a_step_of_the_fit_that_goes_too_far_is_halved():
+    seen = np.zeros((2, 8, len(cm.ORDERS)), np.float32)
+    seen[0], seen[1] = 11, -0.1
+    counts, level = np.array([1000, 1]), np.full(2, cm.SETS - 1, np.int8)
+    losses = []
+
+    def sums_at(weights):
+        sums = cm.Sums.none()
+        sums.add(seen, level, counts, weights)
+        losses.append(sums.loss.sum())
+        return sums
+
+    mixer, last = cm.searched(sums_at), cm.Sums.none()
+    last.add(seen, level, counts, mixer.weights)
+    assert last.loss.sum() <= losses[0] and np.isfinite(mixer.weights).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "lost words"), (3, "x" * 60_000), (3, "again"), (3, "again"), (4, " \n"), (5, "\x00 \x85 日"),
             (20, "the <|endoftext|> end"), (21, "a " * 20_000)]
