@@ -332,22 +332,23 @@ def code(ids: np.ndarray, bounds: np.ndarray, seen: np.ndarray, level: np.ndarra
             here = np.arange(size) < left[:, None]
             gram = ids[bounds[lanes[:n], None] + at + np.minimum(np.arange(size), left[:, None] - 1)]
             x, sets = np.take(flat, gram, axis=0), level[gram]
-            matrix = np.zeros((n, 8, 8 * k), np.float32)
-            matrix[:, bit, pick] = weights[:n, usual]
-            z = np.matmul(matrix, x.transpose(0, 2, 1))
+            matrix = np.zeros((n, 8 * k, 8), np.float32)
+            matrix[:, pick, bit] = weights[:n, usual]
+            z = np.ascontiguousarray(np.matmul(x, matrix).transpose(0, 2, 1))  # quicker than turning x
             lane, byte = np.nonzero(sets != usual)
             if len(lane):
                 rare, of = x[lane, byte].reshape(-1, 8, k), sets[lane, byte]
                 z[lane, :, byte] = (rare * weights[lane, of]).sum(axis=2)
-            np.clip(z, -STRONGEST, STRONGEST, out=z)
+            np.minimum(z, np.float32(STRONGEST), out=z)  # quicker than clip
+            np.maximum(z, np.float32(-STRONGEST), out=z)
             p = np.exp(-z)
             p += 1
             np.reciprocal(p, out=p)
             # The refining table: how often votes of this strength were right; below zero, wrong.
             share = np.clip(right[:n] / tried[:n], LEAST, 1 - LEAST).astype(np.float32)
             signed = np.concatenate([1 - share[:, :, ::-1], share], axis=2)
-            cell = (z * np.float32(1 / STEP) + np.float32(STEPS)).astype(np.int32)
-            cell += (np.arange(n * 8, dtype=np.int32) * (2 * STEPS)).reshape(n, 8, 1)
+            cell = (z * np.float32(1 / STEP) + np.float32(STEPS)).astype(np.int64)
+            cell += (np.arange(n * 8) * (2 * STEPS)).reshape(n, 8, 1)
             refined = signed.reshape(-1)[cell]
             if not z.all():
                 refined[z == 0] = 0.5
