@@ -236,6 +236,30 @@ def test_vector_links_are_those_of_all_pairs(spark, monkeypatch, home, others):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_vectors_are_stored_once_however_many_meet(spark, monkeypatch):
+    """Each vector lies in one tile, pairs of tiles take no exchange, and tiles out of reach do not meet."""
+    monkeypatch.setattr(embedjoin, "HOME_ROWS", 30)
+    seen, store = {}, embedjoin.stored
+
+    def stored(df, label):
+        seen[label] = df._jdf.queryExecution().executedPlan().toString(), store(df, label)
+        return seen[label][1]
+
+    monkeypatch.setattr(embedjoin, "stored", stored)
+    r = np.random.default_rng(4)
+    groups = np.repeat(np.eye(16, 8, dtype=np.float64) - np.eye(16, 8, -8), 40, axis=0)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate((groups + 0.05 * r.standard_normal(groups.shape)).astype(np.float32))]
+    got = embedjoin.near_duplicates(spark.createDataFrame(rows + rows[:5], VECTORS)).collect()
+    assert len(got) == 645 and len({x["component_id"] for x in got}) == 16
+    plan, tiles = seen["vector-tiles"]
+    held = [np.frombuffer(x["ids"], np.int64) for x in tiles.select("ids").collect()]
+    assert "Exchange" in plan and sorted(map(len, held))[-1] <= 30 and len(np.unique(np.concatenate(held))) == sum(map(len, held)) == 640
+    assert "Exchange" not in seen["vector-links"][0] and "CartesianProduct" in seen["vector-links"][0]
+    blocks = embedjoin.fit_blocks(np.array([v for _, v in rows]), 8, 0.9)
+    other = tiles.select(*[F.col(c).alias(f"other_{c}") for c in tiles.columns])
+    assert len(held) <= tiles.crossJoin(other).where(embedjoin._within_reach(blocks)).count() < len(held) ** 2 / 2
+
+
 def test_budgets_miss_no_pair():
     r = np.random.default_rng(0)
     sample = r.standard_normal((500, 24)) * np.linspace(2, 0.1, 24)
