@@ -308,3 +308,83 @@ def test_rows_that_wait_cost_few_entries_and_timers(telemetry, grids):
             assert sum(map(len, out)) <= (rows["epoch"] <= at).sum() and len(store.timers) <= calls + 1
         assert not store.entries and store.values.get("loose", (0,)) == (0,)
         pd.testing.assert_frame_equal(pd.concat(out, ignore_index=True), whole)
+
+
+def test_orders_that_wait_share_calls(telemetry, grids):
+    """Orders of a group take one entry, one timer and one run at a time, and give what each gives alone."""
+    import pandas as pd
+
+    from cellwatch.operators.features import features, with_soc
+    from cellwatch.operators.fold import Program
+    from cellwatch.streaming import stream
+
+    rows = with_soc(features(telemetry, TIE), grids).where("error is null").toPandas()
+    program, runs = safety_program(Config(), grids), []
+
+    class Counted(Program):
+        def run_lanes(self, cols, lengths, states):
+            runs.append(len(lengths))
+            return super().run_lanes(cols, lengths, states)
+
+    counted = Counted(**{f: getattr(program, f) for f in ("levels", "inputs", "outputs", "finish", "text_inputs")})
+    columns = [KEY, "event_id", "reltime", "error", *program.outputs]
+    orders = sorted(set(rows[KEY]))
+    bad, worse = orders[1], orders[2]
+    rows.loc[rows[rows[KEY] == bad].index[-1], "error"] = "unusable"
+    rows.loc[rows[rows[KEY] == worse].index[:2], "error"] = ["second", "first"]
+    single = stream.OrderProcessor(program, ["reltime", "event_id"], columns)
+    want = [single._run([rows[rows[KEY] == o]], program.initial()) for o in orders if o not in (bad, worse)]
+
+    class Maps(WaitingStore):
+        """With a map for each name."""
+
+        def getMapState(self, name, key, value, ttlDurationMs=None):
+            if name == "waiting":
+                return super().getMapState(name, key, value, ttlDurationMs)
+            kept = self.values.setdefault(name, {})
+
+            class Map:
+                keys = staticmethod(lambda: iter(list(kept)))
+                getValue = staticmethod(lambda k: kept.get(k))
+                updateValue = staticmethod(lambda k, v: kept.__setitem__(k, v))
+
+            return Map
+
+    rows[stream.GROUP] = 5
+    cut = rows["epoch"].median()
+    for chunk_rows in (10**9, 300):
+        runs.clear()
+        processor, store, out = stream.GroupProcessor(counted, ["reltime", "event_id"], columns, chunk_rows=chunk_rows), Maps(), []
+        processor.init(store)
+        for part, until in ((rows["epoch"] < cut, cut - 90_000), (rows["epoch"] >= cut, 2 * cut)):
+            frame = rows[part].sample(frac=1, random_state=2)
+            out += list(processor.handleInputRows((5,), iter([frame.iloc[i:i + 150] for i in range(0, len(frame), 150)]), None))
+            out += list(processor.handleExpiredTimer((5,), Watermark(int(until * 1000)), None))
+        if chunk_rows > len(rows):
+            assert len(runs) == 2 and min(runs) > 5 and store.written == 3 and len(store.timers) <= 3
+        assert not store.entries and store.values.get("loose", (0,)) == (0,)
+        whole = pd.concat([o.astype(object) for o in out if len(o)])
+        failed = whole[whole["error"].notna()]
+        first = rows[rows["error"].notna()].sort_values(["reltime", "event_id"]).drop_duplicates(KEY)
+        assert sorted(zip(failed[KEY], failed["error"])) == sorted(zip(first[KEY], first["error"])) and len(failed) == 2
+        sound = whole[whole["error"].isna() & ~whole[KEY].isin([bad, worse])]
+        got = sound.sort_values([KEY, "reltime", "event_id"], ignore_index=True)
+        pd.testing.assert_frame_equal(got, pd.concat(want, ignore_index=True), check_dtype=False)
+        assert not (whole[KEY] == worse)[whole["error"].isna()].any()
+
+
+def test_stream_of_grouped_orders_goes_on_from_states(spark, telemetry, grids, monkeypatch):
+    from cellwatch.operators.fold import STATE
+    from cellwatch.streaming import stream
+
+    monkeypatch.setattr(stream, "ORDER_GROUPS", 2)
+    cut = F.col("dt") >= "2024-01-15"
+    folded = safety.safety_rows(telemetry.where(~cut), grids, tiebreak=TIE, with_state=True)
+    states = folded.where(F.col(STATE).isNotNull()).select(KEY, STATE)
+    events, failed = replay(spark, [telemetry.where(cut)], grids, tiebreak=TIE, lateness="3 days", states=states)
+    got = frame(events)
+    want = frame(safety.event_columns(safety.safety_rows(telemetry, grids, tiebreak=TIE), TIE))
+    want = want[want["reltime"].astype(str) >= "2024-01-15"].reset_index(drop=True)
+    assert failed.count() == 0 and len(got) == len(want) > 100
+    for c in EVENT_COLUMNS:
+        assert (got[c] == want[c]).all(), c
